@@ -1,4 +1,4 @@
-"""Checks of submitted batches. Each function returns the accepted and the rejected rows.
+"""Checks of submitted batches. Each function returns the judged rows (see `Checked`).
 
 The first rule a row breaks is its reason. Rows of one batch are judged in `submitted_seq`
 order where an earlier row matters; `submitted_seq` is unique within a batch.
@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 import tempfile
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import pandas as pd
@@ -28,8 +29,17 @@ FIRST_BLOCK, LAST_BLOCK = 1, 15
 
 
 class Checked(NamedTuple):
-    accepted: DataFrame
-    rejected: DataFrame
+    """All rows of a batch with `reason`, NULL where the row is accepted."""
+
+    judged: DataFrame
+
+    @property
+    def accepted(self) -> DataFrame:
+        return self.judged.where(F.col("reason").isNull()).drop("reason")
+
+    @property
+    def rejected(self) -> DataFrame:
+        return self.judged.where(F.col("reason").isNotNull())
 
 
 def judge(df: DataFrame, *rules: tuple[Column, str]) -> DataFrame:
@@ -37,11 +47,6 @@ def judge(df: DataFrame, *rules: tuple[Column, str]) -> DataFrame:
     return df.withColumn("reason", F.coalesce(*[F.when(broken, F.lit(reason)) for broken, reason in rules]))
 
 
-def split(judged: DataFrame) -> Checked:
-    ok = F.col("reason").isNull()
-    return Checked(judged.where(ok).drop("reason"), judged.where(~ok))
-
-
 def _any(test, *columns: str) -> Column:
     broken = test(F.col(columns[0]))
     for column in columns[1:]:
@@ -72,7 +77,7 @@ def check_subscribers(batch: DataFrame, sub: DataFrame) -> Checked:
     first = own.groupBy("contract_no").agg(F.min(takes).alias("_first"))
     repeated = F.when(F.col("submitted_seq") > F.col("_first"), F.lit("contract repeated in batch"))
     judged = own.join(first, "contract_no", "left").withColumn("reason", F.coalesce("reason", repeated))
-    return split(judged.select(*batch.columns, "reason"))
+    return Checked(judged.select(*batch.columns, "reason"))
 
 
 def check_readings(batch: DataFrame, reading: DataFrame, hot_rows: int = HOT_ROWS) -> Checked:
@@ -97,7 +102,7 @@ def check_readings(batch: DataFrame, reading: DataFrame, hot_rows: int = HOT_ROW
         (_negative("index_m3"), "negative index"),
         (F.col("_last").isNull(), "no earlier reading"),
     )
-    return split(judged.select(*batch.columns, "prev_index", "mgmt_fee", "loss_fee", "reason"))
+    return Checked(judged.select(*batch.columns, "prev_index", "mgmt_fee", "loss_fee", "reason"))
 
 
 def check_membership_payments(
@@ -106,8 +111,8 @@ def check_membership_payments(
     """Membership payments: fields filled and amount within the credit still open.
 
     Accepting a payment lowers the credit that later payments of the contract are held
-    against. Contracts with at most `hot_rows` candidate rows are walked in one pass per
-    contract; larger ones go through `_accept_in_steps`, which never walks a contract's rows
+    against. Contracts with at most `hot_rows` candidate rows are walked in order, many to a
+    task; larger ones go through `_accept_in_steps`, which never walks a contract's rows
     one by one.
     """
     credit = membership_credit(sub, mpay).select("contract_no", F.col("credit").alias("_credit"))
@@ -122,31 +127,33 @@ def check_membership_payments(
     open_rows = own.where(F.col("reason").isNull()).select("contract_no", "submitted_seq", "amount", "_credit")
     hot = hot_keys(open_rows, ["contract_no"], hot_rows)
     flagged = flag_hot(open_rows, hot, ["contract_no"])
-    walked = (
+    taken = (
         flagged.where(~F.col("_hot"))
         .drop("_hot")
-        .groupBy("contract_no")
-        .applyInPandas(_walk_contract, "contract_no string, submitted_seq long")
+        .repartition("contract_no")
+        .sortWithinPartitions("contract_no", "submitted_seq")
+        .mapInPandas(_walk, "submitted_seq long")
     )
-    taken = walked
     if hot.take(1):
-        taken = walked.unionByName(_accept_in_steps(flagged.where("_hot").drop("_hot")))
-    taken = taken.select("submitted_seq", F.lit(True).alias("_taken"))
+        taken = taken.unionByName(_accept_in_steps(flagged.where("_hot").drop("_hot")))
+    taken = taken.withColumn("_taken", F.lit(True))
     exceeds = F.when(F.col("_taken").isNull(), F.lit("amount exceeds credit"))
     judged = own.join(taken, "submitted_seq", "left").withColumn("reason", F.coalesce("reason", exceeds))
-    return split(judged.select(*batch.columns, "reason"))
+    return Checked(judged.select(*batch.columns, "reason"))
 
 
-def _walk_contract(rows: pd.DataFrame) -> pd.DataFrame:
-    """Accepted rows of one contract: take a payment if it fits what is left."""
-    rows = rows.sort_values("submitted_seq")
-    left = rows["_credit"].iloc[0] if len(rows) else 0.0
-    taken = []
-    for seq, amount in zip(rows["submitted_seq"], rows["amount"]):
-        if amount <= left:
-            left -= amount
-            taken.append(seq)
-    return pd.DataFrame({"contract_no": rows["contract_no"].iloc[0] if len(rows) else None, "submitted_seq": taken})
+def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Accepted rows of a task's contracts, sorted by contract and sequence: take a payment if
+    it fits what is left. Only the open credit of the current contract is kept between rows."""
+    contract, left = None, 0.0
+    for rows in batches:
+        taken = []
+        for name, amount, credit in zip(rows["contract_no"], rows["amount"], rows["_credit"]):
+            if name != contract:
+                contract, left = name, credit
+            taken.append(amount <= left)
+            left -= amount if taken[-1] else 0.0
+        yield rows.loc[taken, ["submitted_seq"]]
 
 
 def _accept_in_steps(rows: DataFrame) -> DataFrame:
@@ -164,11 +171,10 @@ def _accept_in_steps(rows: DataFrame) -> DataFrame:
     _ensure_checkpoint_dir(spark)
     rows = rows.checkpoint()
     # amounts of zero always fit
-    free = rows.where(F.col("amount") == 0).select("contract_no", "submitted_seq")
+    accepted = rows.where(F.col("amount") == 0).select("submitted_seq")
     payments = rows.where(F.col("amount") > 0)
     state = payments.groupBy("contract_no").agg(F.max("_credit").alias("left")).withColumn("after", F.lit(None).cast("long"))
     spans = payments.agg(F.max("_credit").alias("top"), F.min("amount").alias("low")).first()
-    accepted = free
     if spans["top"] is None or spans["top"] <= 0:
         return accepted
     for power in range(math.frexp(spans["top"])[1] - 1, math.frexp(spans["low"])[1] - 2, -1):
@@ -198,7 +204,7 @@ def _accept_in_steps(rows: DataFrame) -> DataFrame:
             F.col("_stop").isNull() | (F.col("submitted_seq") <= F.col("_stop.submitted_seq"))
         )
         taken = done.where((F.col("amount") < line) | (F.col("submitted_seq") == F.col("_stop.submitted_seq")))
-        accepted = accepted.unionByName(taken.select("contract_no", "submitted_seq").checkpoint())
+        accepted = accepted.unionByName(taken.select("submitted_seq").checkpoint())
         moved = ended.where(F.col("_stop").isNotNull()).select(
             "contract_no", F.col("_stop.left").alias("left"), F.col("_stop.submitted_seq").alias("after")
         )
@@ -217,11 +223,11 @@ def _ensure_checkpoint_dir(spark) -> None:
 def check_consumption_payments(batch: DataFrame) -> Checked:
     """Consumption payments: amount not negative; the entry fees are added, no credit limit."""
     entered = batch.withColumn("mgmt_fee", F.lit(ENTRY_MGMT_FEE)).withColumn("loss_fee", F.lit(ENTRY_LOSS_FEE))
-    return split(judge(entered, (_negative("amount"), "negative amount")))
+    return Checked(judge(entered, (_negative("amount"), "negative amount")))
 
 
 def check_block_readings(batch: DataFrame) -> Checked:
-    return split(
+    return Checked(
         judge(
             batch,
             (~in_range(F.col("block_no"), FIRST_BLOCK, LAST_BLOCK), "unknown block"),
@@ -234,19 +240,19 @@ def check_purchases(batch: DataFrame) -> Checked:
     """Purchases: all six fields given and not zero; the amount is added."""
     required = ("product", "bought_on", "qty", "unit_price", "receipt_no", "vendor")
     priced = batch.withColumn("amount", F.col("qty") * F.col("unit_price"))
-    return split(judge(priced, (_missing(batch, required), "missing field"), *_not_below_zero("qty", "unit_price")))
+    return Checked(judge(priced, (_missing(batch, required), "missing field"), *_not_below_zero("qty", "unit_price")))
 
 
 def check_uses(batch: DataFrame) -> Checked:
     """Uses: all four fields given and not zero; stock on hand is not a limit."""
     required = ("product", "used_on", "qty", "note")
-    return split(judge(batch, (_missing(batch, required), "missing field"), *_not_below_zero("qty")))
+    return Checked(judge(batch, (_missing(batch, required), "missing field"), *_not_below_zero("qty")))
 
 
 def check_supplier_bills(batch: DataFrame) -> Checked:
     """Supplier bills: month and amount given; the month is kept as its first day."""
     monthly = batch.withColumn("month", F.trunc("month", "month").cast("date"))
-    return split(
+    return Checked(
         judge(monthly, (_missing(batch, ("month", "amount_due")), "missing field"), *_not_below_zero("amount_due"))
     )
 
@@ -254,7 +260,7 @@ def check_supplier_bills(batch: DataFrame) -> Checked:
 def check_supplier_payments(batch: DataFrame) -> Checked:
     monthly = batch.withColumn("month", F.trunc("month", "month").cast("date"))
     required = ("month", "amount", "receipt_no", "paid_on")
-    return split(judge(monthly, (_missing(batch, required), "missing field"), *_not_below_zero("amount")))
+    return Checked(judge(monthly, (_missing(batch, required), "missing field"), *_not_below_zero("amount")))
 
 
 def _missing(df: DataFrame, columns: tuple[str, ...]) -> Column:

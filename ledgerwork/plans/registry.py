@@ -66,25 +66,19 @@ def _invoices(t: Tables) -> DataFrame:
     return invoices.invoices(unpaid, membership, requests)
 
 
-def _both(checked: checks.Checked, *columns: str) -> DataFrame:
-    """Accepted and rejected rows of a batch in one frame."""
-    rows = checked.accepted.unionByName(checked.rejected, allowMissingColumns=True)
-    return rows.select(*columns) if columns else rows
-
-
 def _check_subscribers(t: Tables) -> DataFrame:
     existing = t.subscriber.where(F.col("contract_no").cast("long") % 2 == 0)
     checked = checks.check_subscribers(t.subscriber_batch, existing)
-    return _both(checked, "submitted_seq", "contract_no", "name", "joining_fee", "reason")
+    return checked.judged.select("submitted_seq", "contract_no", "name", "joining_fee", "reason")
 
 
 def _check_membership_payments(t: Tables) -> DataFrame:
-    return _both(checks.check_membership_payments(t.membership_batch, t.subscriber, t.paid_before))
+    return checks.check_membership_payments(t.membership_batch, t.subscriber, t.paid_before).judged
 
 
 def _check_consumption_payments(t: Tables) -> DataFrame:
     amount = F.when(F.col("receipt_no").cast("long") % 11 == 0, -F.col("amount")).otherwise(F.col("amount"))
-    return _both(checks.check_consumption_payments(t.consumption_payment.withColumn("amount", amount)))
+    return checks.check_consumption_payments(t.consumption_payment.withColumn("amount", amount)).judged
 
 
 def _check_purchases(t: Tables) -> DataFrame:
@@ -92,7 +86,7 @@ def _check_purchases(t: Tables) -> DataFrame:
     batch = t.purchase.withColumn("qty", F.when(key % 7 == 0, 0.0).otherwise(F.col("qty"))).withColumn(
         "vendor", F.when(key % 9 == 0, "").otherwise(F.col("vendor"))
     )
-    return _both(checks.check_purchases(batch.drop("purchase_id")))
+    return checks.check_purchases(batch.drop("purchase_id")).judged
 
 
 def _check_uses(t: Tables) -> DataFrame:
@@ -100,7 +94,7 @@ def _check_uses(t: Tables) -> DataFrame:
     batch = t.product_use.withColumn("qty", F.when(key % 7 == 0, 0.0).otherwise(F.col("qty"))).withColumn(
         "note", F.when(key % 11 == 0, "").otherwise(F.col("note"))
     )
-    return _both(checks.check_uses(batch))
+    return checks.check_uses(batch).judged
 
 
 def _split_maintenance(t: Tables) -> checks.MaintenanceSplit:
@@ -111,13 +105,13 @@ def _split_maintenance(t: Tables) -> checks.MaintenanceSplit:
 
 def _check_supplier_bills(t: Tables) -> DataFrame:
     empty = F.when(F.month("month") % 5 == 0, 0.0).otherwise(F.col("amount_due"))
-    return _both(checks.check_supplier_bills(t.supplier_bill.withColumn("amount_due", empty)))
+    return checks.check_supplier_bills(t.supplier_bill.withColumn("amount_due", empty)).judged
 
 
 def _check_supplier_payments(t: Tables) -> DataFrame:
     empty = F.when(F.month("month") % 7 == 0, "").otherwise(F.col("receipt_no"))
     batch = t.supplier_payment.withColumn("receipt_no", empty)
-    return _both(checks.check_supplier_payments(batch.drop("payment_id")))
+    return checks.check_supplier_payments(batch.drop("payment_id")).judged
 
 
 def _office(t: Tables) -> DataFrame:
@@ -196,10 +190,10 @@ JOBS: dict[str, Job] = {
     .withColumn("amount", F.col("amount_raw").cast("double"))
     .drop("amount_raw"),
     "check_subscribers": _check_subscribers,
-    "check_readings": lambda t: _both(checks.check_readings(t.reading_batch, t.older_reading)),
+    "check_readings": lambda t: checks.check_readings(t.reading_batch, t.older_reading).judged,
     "check_membership_payments": _check_membership_payments,
     "check_consumption_payments": _check_consumption_payments,
-    "check_block_readings": lambda t: _both(checks.check_block_readings(t.block_reading)),
+    "check_block_readings": lambda t: checks.check_block_readings(t.block_reading).judged,
     "check_purchases": _check_purchases,
     "check_uses": _check_uses,
     "split_maintenance_jobs": lambda t: _split_maintenance(t).jobs,
