@@ -23,6 +23,11 @@ def month_name(day: Column) -> Column:
     return F.date_format(day, "MMMM yyyy")
 
 
+def money_text(amount: Column) -> Column:
+    """Display text with thousands commas and two decimals, `1,234.50`."""
+    return F.format_number(amount, 2)
+
+
 def in_days_of(day: Column, year: int, month: int | None = None) -> Column:
     """True inside the year or month. A plain range, so that Parquet scans can skip by it."""
     first, last = (1, 12) if month is None else (month, month)

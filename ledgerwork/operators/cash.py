@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerwork.functions.text import in_days_of
+from ledgerwork.functions.text import in_days_of, money_text
 
 MEMBERSHIP = "membership"
 CONSUMPTION = "consumption"
@@ -76,6 +76,11 @@ def cash_totals(book: DataFrame) -> DataFrame:
     return sums.withColumn("balance", balance)
 
 
+def cash_totals_text(totals: DataFrame) -> DataFrame:
+    """The totals as display text."""
+    return totals.select(*[money_text(F.col(c)).alias(c) for c in totals.columns])
+
+
 def filter_cash(book: DataFrame, year: int, month: int | None = None, reason: str | None = None) -> DataFrame:
     """Movements of a year, optionally one month and one reason.
 

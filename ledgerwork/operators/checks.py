@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerwork.functions.fill import number_rows
@@ -212,12 +212,17 @@ def _accept_in_steps(rows: DataFrame) -> DataFrame:
     return accepted
 
 
-def _ensure_checkpoint_dir(spark) -> None:
-    """Use the session's checkpoint folder; only a session without one gets a local folder."""
+def _ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Checkpoints go to the shared folder the session names, so that they outlive executors.
+    A local folder is used only by a local session that names none."""
     context = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared and context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared)
     if context.getCheckpointDir() is None:
-        shared = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
 
 
 def check_consumption_payments(batch: DataFrame) -> Checked:

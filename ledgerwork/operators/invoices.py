@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerwork.operators.ledger import unpaid_totals
 from ledgerwork.operators.readings import PRICE_PER_M3
 
 # Fixed values printed on every invoice.
@@ -19,16 +18,21 @@ def invoices(unpaid: DataFrame, membership: DataFrame, requests: DataFrame, pric
     The month's amount adds the fixed fees whatever the bill itself charged, and sums the
     quantity over the unpaid rows of that month. A contract that is up to date has no open sum.
     """
-    totals = unpaid_totals(unpaid).select("contract_no", F.col("credit_total").alias("consumption_credit"))
-    used = unpaid.groupBy("contract_no", "month").agg(F.sum("qty_m3").alias("qty_m3"))
+    monthly = unpaid.groupBy("contract_no", "month").agg(
+        F.sum("remaining").alias("remaining"), F.sum("qty_m3").alias("qty_m3")
+    )
+    # one row per contract, so that `unpaid` is computed once; the map holds one entry per month
+    per_contract = monthly.groupBy("contract_no").agg(
+        F.sum("remaining").alias("consumption_credit"),
+        F.map_from_entries(F.collect_list(F.struct("month", "qty_m3"))).alias("_used"),
+    )
     people = membership.select("contract_no", "name", F.col("credit").alias("membership_credit"))
     zero = F.lit(0.0)
     rows = (
         requests.join(people, "contract_no")
-        .join(totals, "contract_no", "left")
-        .join(used, ["contract_no", "month"], "left")
+        .join(per_contract, "contract_no", "left")
         .withColumn("consumption_credit", F.coalesce("consumption_credit", zero))
-        .withColumn("qty_m3", F.coalesce("qty_m3", zero))
+        .withColumn("qty_m3", F.coalesce(F.try_element_at("_used", F.col("month")), zero))
     )
     fees = INVOICE_MGMT_FEE + INVOICE_LOSS_FEE
     return rows.select(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerwork.functions.skew import HOT_ROWS, left_join_salted
+from ledgerwork.functions.text import month_name
 
 
 def supplier_account(bill: DataFrame, payment: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -16,6 +17,7 @@ def supplier_account(bill: DataFrame, payment: DataFrame, hot_rows: int = HOT_RO
     joined = left_join_salted(owed, paid, ["month"], hot_rows)
     return joined.select(
         "month",
+        month_name(F.col("month")).alias("month_name"),
         "index_m3",
         "amount_due",
         "invoice_no",

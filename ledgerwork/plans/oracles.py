@@ -116,7 +116,7 @@ CTES = {
     "subscriber_rows": """SELECT q.contract_no, s.name, s.block_no, strftime(q.read_on, '%m-%Y') month_label, q.index_m3,
         q.index_m3 - COALESCE(LAG(q.index_m3) OVER (PARTITION BY q.contract_no ORDER BY strftime(q.read_on, '%Y-%m')), 0) usage_m3
         FROM meter_reading q JOIN subscriber s ON s.contract_no = q.contract_no""",
-    "account": """SELECT c.month, c.index_m3, c.amount_due, c.invoice_no, p.paid_on, p.receipt_no, c.amount_due - COALESCE(p.amount, 0) credit
+    "account": """SELECT c.month, strftime(c.month, '%B %Y') month_name, c.index_m3, c.amount_due, c.invoice_no, p.paid_on, p.receipt_no, c.amount_due - COALESCE(p.amount, 0) credit
         FROM supplier_bill c LEFT JOIN supplier_payment p ON c.month = p.month""",
     "book": """SELECT contract_no id, paid_on moved_on, 'membership' reason, CAST(NULL AS DOUBLE) mgmt_fee, CAST(NULL AS DOUBLE) loss_fee, amount debit, CAST(NULL AS DOUBLE) credit FROM membership_payment
         UNION ALL SELECT contract_no, settled_on, 'consumption', mgmt_fee, loss_fee, amount, NULL FROM consumption_payment
@@ -223,6 +223,8 @@ QUERIES = {
         FROM maintenance m JOIN maintenance_detail d ON m.job_id = d.job_id WHERE strftime(m.done_on, '%Y-%m') = '1998-07'""",
     "cash_book": "SELECT * FROM book",
     "cash_totals": f"SELECT {CASH} FROM book",
+    "cash_totals_text": "SELECT " + ", ".join(f"format('{{:,.2f}}', {c}) {c}" for c in "mgmt_total loss_total debit_total credit_total balance".split())
+    + f" FROM (SELECT {CASH} FROM book) t",
     "cash_filtered": "SELECT * FROM book WHERE year(moved_on) = 1997 AND month(moved_on) = 7",
     "cash_filtered_totals": f"SELECT {CASH} FROM book WHERE year(moved_on) = 1997 AND reason = 'consumption'",
     "cash_years": "SELECT DISTINCT CAST(year(moved_on) AS INT) AS year FROM book",

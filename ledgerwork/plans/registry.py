@@ -161,6 +161,7 @@ JOBS: dict[str, Job] = {
     "maintenance_history_year": lambda t: maintenance.maintenance_history(t.maintenance, t.maintenance_detail, 7, 1998),
     "cash_book": lambda t: _book(t, ordered=True),
     "cash_totals": lambda t: cash.cash_totals(_book(t)),
+    "cash_totals_text": lambda t: cash.cash_totals_text(cash.cash_totals(_book(t))),
     "cash_filtered": lambda t: cash.filter_cash(_book(t), 1997, 7),
     "cash_filtered_totals": lambda t: cash.cash_totals(cash.filter_cash(_book(t), 1997, reason=cash.CONSUMPTION)),
     "cash_years": lambda t: cash.cash_years(_book(t)),

@@ -8,17 +8,13 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
+from ledgerwork import session as settings  # noqa: E402
+
 
 def session() -> SparkSession:
-    spark = (
-        SparkSession.builder.master("local[8]")
-        .appName("ledgerwork-tests")
-        .config("spark.sql.shuffle.partitions", "8")
-        .config("spark.driver.memory", "8g")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.ui.enabled", "false")
-        .getOrCreate()
-    )
+    builder = SparkSession.builder.master("local[8]").appName("ledgerwork-tests")
+    builder = builder.config("spark.driver.memory", "8g").config("spark.ui.enabled", "false")
+    spark = settings.apply(builder, 8).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 

@@ -44,10 +44,6 @@ PAYMENTS = {
     "04": [(9, 21.0), (6, 70.0), (11, 14.0)],
     "05": [(6, 7.0)],
 }
-PRODUCTS = [
-    "Compteur", "Pompe", "Filtre", "Réservoir", "Tuyau irrigation", "Capteur de niveau", "Vanne à bille",
-    "Distributeur", "Adoucisseur", "Kit de traitement", "Divers",
-]
 
 
 def subscribers(spark):

@@ -6,6 +6,7 @@ import pytest
 import seeds
 
 from ledgerwork.operators import analytics, ledger, members, readings, stock
+from ledgerwork.sources import defaults
 
 
 def test_membership_credit(spark):
@@ -65,8 +66,8 @@ def test_credit_per_contract(spark, hot_rows):
 
 
 def test_products_without_movement(spark):
-    product = spark.createDataFrame([(p,) for p in seeds.PRODUCTS], "product string")
+    product = defaults.products(spark)
     purchase = spark.createDataFrame([("Pompe", 3.0)], "product string, qty double")
     use = spark.createDataFrame([("Pompe", 1.0), ("Filtre", 2.0)], "product string, qty double")
     got = {r["product"]: r.stock for r in stock.stock_on_hand(product, purchase, use).collect()}
-    assert got == {p: {"Pompe": 2.0, "Filtre": -2.0}.get(p, 0.0) for p in seeds.PRODUCTS}
+    assert got == {p: {"Pompe": 2.0, "Filtre": -2.0}.get(p, 0.0) for p in defaults.PRODUCTS}

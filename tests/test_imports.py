@@ -52,6 +52,22 @@ def test_clean_payments_options(spark):
     assert {r.reason for r in clean.rejected.collect()} == {"no contract", "receipt is not a number"}
 
 
+def test_payment_fixes_by_position(spark):
+    from ledgerwork.functions.fill import number_rows
+    from ledgerwork.sources import defaults
+
+    sheet = spark.range(2000).select(
+        (F.col("id") * 7).alias("byte_no"), F.lit("1").alias("contract_raw"), F.lit("2024-01-01").alias("due_raw"),
+        F.lit("NR").alias("settled_raw"), F.lit("1234").alias("receipt_raw"), F.lit("10").alias("mgmt_raw"),
+        F.lit("5").alias("loss_raw"), F.lit("9").alias("amount_raw"),
+    )
+    placed = number_rows(sheet, "byte_no", -1, "row_no").drop("byte_no")
+    clean = imports.clean_payments(placed, defaults.payment_fixes(spark)).accepted
+    assert clean.count() == 2000 - imports.SKIP_ROWS
+    settled = {r.settled_on: r["count"] for r in clean.groupBy("settled_on").count().collect()}
+    assert settled == {None: 2000 - 12 - 5, D("2025-01-02"): 2, D("2024-10-11"): 1, D("2024-08-30"): 1, D("2024-11-04"): 1}
+
+
 def test_index_sheet(spark):
     names = [c for c, _ in imports.INDEX_MONTHS]
     raw = spark.createDataFrame([("7", *[str(i) for i in range(1, 10)], None, "20"), (None, *["x"] * 11)], ["contract_raw", *names])

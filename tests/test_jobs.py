@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerwork.operators import blocks, cash, invoices, maintenance, members, readings, stock, supplier
+from ledgerwork.sources import defaults
 
 D = date.fromisoformat
 READING = "contract_no string, read_on date, index_m3 double, prev_index double, mgmt_fee double, loss_fee double"
@@ -81,6 +82,12 @@ def test_corrections(spark):
     assert got == {"73": -4.0, "073": 50.0, "3": 308.0, "4": None}
 
 
+def test_known_corrections(spark):
+    df = make_readings(spark, [("102", "2024-01-01", 1.0, 0.0), ("102", "2024-02-01", 1.0, 0.0), ("3", "2024-03-01", 310.0, 0.0), ("103", "2024-03-01", 1.0, 0.0)])
+    got = [(r.contract_no, r.prev_index) for r in readings.apply_corrections(df, defaults.reading_fixes(spark)).orderBy("contract_no", "read_on").collect()]
+    assert got == [("102", 286.0), ("102", 1.0), ("103", 0.0), ("3", 308.0)]
+
+
 @pytest.fixture(scope="module")
 def block_frames(spark):
     block = spark.createDataFrame(
@@ -134,6 +141,7 @@ def test_supplier(spark, hot_rows):
     )
     account = supplier.supplier_account(bill, pay, hot_rows)
     assert sorted(r.credit for r in account.collect()) == [30.0, 40.0, 60.0, 70.0]
+    assert {r.month_name for r in account.collect()} == {"January 2024", "February 2024", "March 2024"}
     assert tuple(supplier.supplier_totals(account).first()) == (200.0, 1)
     net = {r.month.month: r.credit for r in supplier.supplier_account_net(bill, pay).collect()}
     assert net == {1: 0.0, 2: 70.0, 3: 30.0}
