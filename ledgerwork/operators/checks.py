@@ -26,6 +26,8 @@ from ledgerwork.sources.tables import in_range
 ENTRY_MGMT_FEE = 10.0
 ENTRY_LOSS_FEE = 5.0
 FIRST_BLOCK, LAST_BLOCK = 1, 15
+# A contract up to this size is walked within one task, row by row in constant memory.
+WALK_ROWS = 10_000_000
 
 
 class Checked(NamedTuple):
@@ -106,7 +108,7 @@ def check_readings(batch: DataFrame, reading: DataFrame, hot_rows: int = HOT_ROW
 
 
 def check_membership_payments(
-    batch: DataFrame, sub: DataFrame, mpay: DataFrame, hot_rows: int = HOT_ROWS
+    batch: DataFrame, sub: DataFrame, mpay: DataFrame, hot_rows: int = WALK_ROWS
 ) -> Checked:
     """Membership payments: fields filled and amount within the credit still open.
 
@@ -157,58 +159,51 @@ def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _accept_in_steps(rows: DataFrame) -> DataFrame:
-    """The same acceptance for contracts too large for one task, in passes over all of them.
+    """The same acceptance for contracts too large for one task, in rounds over all of them.
 
     Take a contract whose open credit lies in [2^k, 2^(k+1)). While it does, payments below
     2^k always fit, and those of 2^(k+1) or more never do. The first payment that leaves less
     than 2^k open is found from a running sum: a small one that brings the sum over the line,
     or one of at least 2^k that fits what the small ones before it left. Everything up to it is
     settled and the contract moves on to a lower power of two; no such payment settles it
-    whole. So there are at most as many passes as powers of two between the largest credit and
-    the smallest amount, whatever the number of rows. Progress is one row per hot contract.
+    whole. So there are at most as many rounds as powers of two between the largest credit and
+    the smallest amount, whatever the number of rows. The driver keeps one line per hot
+    contract, at most TOP_KEYS of them.
     """
     spark = rows.sparkSession
     _ensure_checkpoint_dir(spark)
     rows = rows.checkpoint()
     # amounts of zero always fit
     accepted = rows.where(F.col("amount") == 0).select("submitted_seq")
-    payments = rows.where(F.col("amount") > 0)
-    state = payments.groupBy("contract_no").agg(F.max("_credit").alias("left")).withColumn("after", F.lit(None).cast("long"))
-    spans = payments.agg(F.max("_credit").alias("top"), F.min("amount").alias("low")).first()
-    if spans["top"] is None or spans["top"] <= 0:
-        return accepted
-    for power in range(math.frexp(spans["top"])[1] - 1, math.frexp(spans["low"])[1] - 2, -1):
-        line = math.ldexp(1.0, power)
-        now = state.where((F.col("left") >= line) & (F.col("left") < 2 * line))
-        if not now.take(1):
-            continue
-        # at most TOP_KEYS hot contracts, hence the broadcast
-        live = payments.drop("_credit").join(F.broadcast(now), "contract_no").where(
-            (F.col("after").isNull() | (F.col("submitted_seq") > F.col("after"))) & (F.col("amount") < 2 * line)
-        )
-        small = F.when(F.col("amount") < line, F.col("amount")).otherwise(0.0)
-        chunk = F.floor(F.col("submitted_seq") / CHUNK_ROWS)
-        summed = prefix_before(
-            live.withColumn("_small", small), ["contract_no"], ["submitted_seq"], chunk, F.col("_small"), "sum", "_before", None
-        )
-        open_now = F.col("left") - F.coalesce("_before", F.lit(0.0))
-        fits = F.col("amount") <= open_now
-        tips = (open_now >= line) & fits & (open_now - F.col("amount") < line)
-        step = summed.withColumn("_open", open_now).withColumn("_tips", tips)
-        stop = step.where("_tips").groupBy("contract_no").agg(
-            F.min(F.struct("submitted_seq", (F.col("_open") - F.col("amount")).alias("left"))).alias("_stop")
+    payments = rows.where(F.col("amount") > 0).select("contract_no", "submitted_seq", "amount", "_credit")
+    start = payments.groupBy("contract_no").agg(F.max("_credit").alias("left"), F.min("amount").alias("low")).collect()
+    low = {r.contract_no: r.low for r in start}
+    open_now = [(r.contract_no, r.left, None) for r in start if r.left >= r.low]
+    chunk = F.floor(F.col("submitted_seq") / CHUNK_ROWS)
+    while open_now:
+        lines = [(c, left, after, math.ldexp(1.0, math.frexp(left)[1] - 1)) for c, left, after in open_now]
+        state = spark.createDataFrame(lines, "contract_no string, left double, after long, line double")
+        live = payments.drop("_credit").join(F.broadcast(state), "contract_no").where(
+            (F.col("after").isNull() | (F.col("submitted_seq") > F.col("after"))) & (F.col("amount") < 2 * F.col("line"))
         )
-        ended = now.join(F.broadcast(stop), "contract_no", "left")
-        # without a stop the small payments all fit and nothing else of this contract is left
-        done = step.join(F.broadcast(stop), "contract_no", "left").where(
-            F.col("_stop").isNull() | (F.col("submitted_seq") <= F.col("_stop.submitted_seq"))
+        small = F.when(F.col("amount") < F.col("line"), F.col("amount")).otherwise(0.0)
+        still_open = F.col("left") - F.coalesce("_before", F.lit(0.0))
+        step = (
+            prefix_before(live, ["contract_no"], ["submitted_seq"], chunk, small, "sum", "_before", None)
+            .select("contract_no", "submitted_seq", "amount", "line", still_open.alias("_open"))
+            .checkpoint()
         )
-        taken = done.where((F.col("amount") < line) | (F.col("submitted_seq") == F.col("_stop.submitted_seq")))
-        accepted = accepted.unionByName(taken.select("submitted_seq").checkpoint())
-        moved = ended.where(F.col("_stop").isNotNull()).select(
-            "contract_no", F.col("_stop.left").alias("left"), F.col("_stop.submitted_seq").alias("after")
+        rest = F.col("_open") - F.col("amount")
+        tips = (F.col("_open") >= F.col("line")) & (rest >= 0) & (rest < F.col("line"))
+        first = F.min(F.struct("submitted_seq", rest.alias("left")))
+        stops = step.where(tips).groupBy("contract_no").agg(first.alias("at")).select("contract_no", "at.*").collect()
+        ends = spark.createDataFrame([(r.contract_no, r.submitted_seq) for r in stops], "contract_no string, _end long")
+        reached = step.join(F.broadcast(ends), "contract_no", "left").where(
+            F.col("_end").isNull() | (F.col("submitted_seq") <= F.col("_end"))
         )
-        state = state.join(F.broadcast(now.select("contract_no")), "contract_no", "left_anti").unionByName(moved).checkpoint()
+        taken = reached.where((F.col("amount") < F.col("line")) | (F.col("submitted_seq") == F.col("_end")))
+        accepted = accepted.unionByName(taken.select("submitted_seq"))
+        open_now = [(r.contract_no, r.left, r.submitted_seq) for r in stops if r.left >= low[r.contract_no]]
     return accepted
 
 
