@@ -99,7 +99,9 @@ def prefix_before(
         # the struct tells "no earlier row" from "earlier row holds NULL"
         "_value", F.struct(value.alias("v")) if how == "previous" else value
     )
-    windowed = rows.withColumn(
+    # explicit, because an input already partitioned by the key alone would satisfy the window and
+    # keep all chunks of a hot key in one task
+    windowed = rows.repartition(*keys, "_hot", "_chunk").withColumn(
         "_here", _earlier(how, "_value", Window.partitionBy(*keys, "_hot", "_chunk").orderBy(*order))
     )
     summary = rows.where("_hot").groupBy(*keys, "_chunk").agg(_total(how, "_value", order).alias("_total"))
