@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerwork.llm import bpe_transducer, chat
+from ledgerwork.llm import bpe_transducer, chat, superminhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,9 +32,14 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_transducer.round_trip(docs, path, public_tokenizers.PATTERN)
 
 
+def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superminhash.near_duplicates(_table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
 QUERIES: dict[str, Query] = {
     "op4_chat_format": op4_chat_format,
     "op8_byte_bpe": op8_byte_bpe,
+    "op10_superminhash": op10_superminhash,
 }
 
 SQL: dict[str, str] = {}
