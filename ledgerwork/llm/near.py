@@ -28,10 +28,11 @@ SPREAD = 64
 Sets = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 
 
-def links(entries: DataFrame, texts: DataFrame, sets: Sets, percent: int) -> DataFrame:
-    """`entries` (id, size, bands), `texts` (id, text) -> (id, component) of every item that is linked.
+def links(entries: DataFrame, fetch: Callable[[DataFrame], DataFrame], sets: Sets, percent: int) -> DataFrame:
+    """`entries` (id, size, bands) -> (id, component) of every item that is linked.
 
-    `sets` gives the distinct members of each text's set; two items are linked if 100 * shared >= percent * union."""
+    `fetch` turns some ids (id) into texts (id, text); `sets` gives the distinct members of each text's set.
+    Two items are linked if 100 * shared >= percent * union."""
     spread = entries.select("id", "size", F.explode("bands").alias("key"))
     order = F.xxhash64("id", "key")
     buckets = (
@@ -45,7 +46,7 @@ def links(entries: DataFrame, texts: DataFrame, sets: Sets, percent: int) -> Dat
         .drop("items")
     )
     members = runtime.keep(spread.join(buckets, "key"))
-    involved = runtime.keep(texts.join(members.select("id").distinct(), "id", "left_semi"))
+    involved = runtime.keep(fetch(members.select("id").distinct()))
 
     pairs = members.where(_sizes_allow("size", "pivot_size", percent)).select("id", "pivot").where("id != pivot").distinct()
     first = runtime.keep(compare(pairs, involved, sets, percent))

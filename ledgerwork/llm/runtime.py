@@ -30,6 +30,8 @@ def keep(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # shuffle files go when the driver collects its garbage; the table replaces those of its plan
+    spark._jvm.System.gc()
     kept = spark.read.schema(df.schema).parquet(path)
     kept._kept_path = path
     return kept

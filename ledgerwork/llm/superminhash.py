@@ -145,8 +145,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         F.min("doc_id").alias("id"), F.first("bands").alias("bands")
     )
     entries = classes.select("id", F.col("n_shingles").alias("size"), "bands")
+    by_id = texts.withColumnRenamed("doc_id", "id")
     linked = near.links(
-        entries, texts.withColumnRenamed("doc_id", "id"), lambda column: shingles.word_shingles(column, words), percent
+        entries,
+        lambda ids: by_id.join(ids, "id", "left_semi"),
+        lambda column: shingles.word_shingles(column, words),
+        percent,
     )
     found = classes.select(*sets, "id").join(linked, "id", "left").select(
         *[F.col(c).alias(f"_{c}") for c in sets], F.coalesce("component", "id").alias("component")
