@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerwork.llm import bpe_transducer, chat, line_dedup, packing, superminhash
+from ledgerwork.llm import bpe_transducer, chat, line_dedup, packing, simhash, superminhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,6 +46,10 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_transducer.round_trip(docs, path, public_tokenizers.PATTERN)
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superminhash.near_duplicates(_table(spark, sf_dir, "documents"), words=4, percent=80)
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Query] = {
     "op6_fuzzy_lines": op6_fuzzy_lines,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_simhash": op9_simhash,
     "op10_superminhash": op10_superminhash,
 }
 
