@@ -14,20 +14,23 @@ same doc_id are packed each; other columns are not read; an empty table gives no
 from __future__ import annotations
 
 import bisect
+import json
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ledgerwork.llm import runtime
 
-#: Words a Python worker remembers; beyond it, it forgets all.
+#: Words, and pieces of words, that a Python worker remembers; beyond it, it forgets all.
 WORDS = 400_000
 #: Parts in which the pieces of one length are ranked.
 PARTS = 256
@@ -35,32 +38,65 @@ PARTS = 256
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, offset long"
 
-#: White space that every tokenizer of this kind drops and never merges across.
+#: White space that the tokenizer drops and never merges across.
 _WORD = re.compile("[^ \t\n\r]+")
 
 
 class Words:
-    """Token ids of whole texts, words met before from memory.
+    """Token ids of whole texts, words and their pieces met before from memory.
 
-    For tokenizers that drop white space and look at nothing across it, a text's ids are those of its words."""
+    For tokenizers that put NFC and lower case before a split pattern whose matches hold no white
+    space, and mark the end of each match: a text's ids are those of its words, a word's those of its matches. New
+    matches of many texts are encoded together and told apart by the end marks."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, bytes] = {}
-
-    def ids(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        known = self.known
-        words = _WORD.findall(text)
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if new:
-            if len(known) > WORDS:
-                known.clear()
-                new = list(dict.fromkeys(words))
-            for word, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                known[word] = np.array(found.ids, "<u4").tobytes()
-        return b"".join(map(known.__getitem__, words))
+        with open(path) as file:
+            spec = json.load(file)
+        end = spec["model"]["end_of_word_suffix"]
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[number for token, number in spec["model"]["vocab"].items() if token.endswith(end)]] = True
+        self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _encode(self, pieces: list[str]) -> list[bytes]:
+        """Each piece's ids as little-endian unsigned 32-bit integers."""
+        found = self.tokenizer.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids
+        ids = np.array(found, "<u4")
+        bounds = np.flatnonzero(self.ends[ids]) + 1
+        data, bounds = ids.tobytes(), (4 * bounds).tolist()
+        if len(bounds) != len(pieces):
+            raise ValueError("the tokenizer does not mark the end of each piece")
+        return [data[low:high] for low, high in zip([0, *bounds], bounds, strict=False)]
+
+    def ids(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        if len(self.words) > WORDS:
+            self.words.clear()
+        if len(self.pieces) > WORDS:
+            self.words.clear()
+            self.pieces.clear()
+        words = self.words
+        split = [_WORD.findall(_lower(text)) for text in texts]
+        new = {word for found in split for word in found if word not in words}
+        parts = {word: self.split.findall(word) for word in new}
+        missing = list({piece for found in parts.values() for piece in found if piece not in self.pieces})
+        if missing:
+            self.pieces.update(zip(missing, self._encode(missing), strict=True))
+        of = self.pieces.__getitem__
+        for word, found in parts.items():
+            words[word] = b"".join(map(of, found))
+        for found in split:
+            yield b"".join(map(words.__getitem__, found))
+
+
+def _lower(text: str) -> str:
+    """NFC, then lower case letter by letter: a sigma at the end of a word is no special case."""
+    if not text.isascii():
+        text = unicodedata.normalize("NFC", text)
+    return text.replace("\u03a3", "\u03c3").lower()
 
 
 @lru_cache(maxsize=2)
@@ -78,8 +114,9 @@ def tokenize(docs: DataFrame, path: str, end_id: int, capacity: int) -> DataFram
         words = _words(path)
         for batch in runtime.slices(batches, "text", 4 << 20):
             rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = words.ids(text.as_py() or "") + end
+            texts = [text or "" for text in batch.column("text").to_pylist()]
+            for doc_id, found in zip(batch.column("doc_id").to_pylist(), words.ids(texts), strict=True):
+                ids = found + end
                 for piece, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
                     rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
