@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerwork.llm import near, runtime, shingles
-from ledgerwork.llm.superminhash import band_keys
+from ledgerwork.llm.superminhash import band_keys, bytes_of
 
 CHARS = 7
 BANDS, ROWS = 8, 4
@@ -39,6 +39,7 @@ _ALIKE[65:91] = _ALIKE[97:123]
 
 _KEYS = [f"k{b}" for b in range(BANDS)]
 LINES = "id long, doc_id long, line int, set_a long, set_b long, " + ", ".join(f"{k} long" for k in _KEYS)
+LINES += ", signature binary"
 
 
 def char_shingles(lines: list[str], size: int = CHARS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -117,14 +118,16 @@ def _sketch(docs: DataFrame) -> DataFrame:
             if not lines:
                 continue
             shingle, offsets, whole = char_shingles(lines)
-            keys = band_keys(signatures(shingle, offsets).astype(_U), BANDS).view(np.int64)
+            signed = signatures(shingle, offsets).astype(_U)
+            keys = band_keys(signed, BANDS).view(np.int64)
             also = np.add.reduceat(shingles.mix(shingle + _U(1)), offsets[:-1])
             ids = number + np.arange(len(lines))
             number += len(lines)
             columns = [pa.array(ids), pa.array(doc_ids, pa.int64()), pa.array(at, pa.int32())]
             columns += [pa.array(whole.view(np.int64)), pa.array(also.view(np.int64))]
             columns += [pa.array(np.ascontiguousarray(keys[:, b])) for b in range(BANDS)]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "doc_id", "line", "set_a", "set_b", *_KEYS])
+            columns.append(bytes_of(signed))
+            yield pa.RecordBatch.from_arrays(columns, ["id", "doc_id", "line", "set_a", "set_b", *_KEYS, "signature"])
 
     return docs.mapInArrow(run, LINES)
 
@@ -157,8 +160,10 @@ def dropped_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     lines = runtime.keep(_sketch(texts))
     classes = lines.groupBy("set_a", "set_b").agg(F.min("id").alias("id"), *[F.first(k).alias(k) for k in _KEYS])
-    entries = classes.select("id", F.lit(1).alias("size"), F.array(*_KEYS).alias("bands"))
-    linked = runtime.keep(near.links(entries, lambda ids: _line_texts(texts, lines, ids), char_sets, percent))
+    bands = classes.select("id", F.array(*_KEYS).alias("bands"))
+    # the number of distinct shingles is not known here, so no pair is left out for its sizes
+    signed = lines.select("id", F.lit(1).alias("size"), "signature")
+    linked = runtime.keep(near.links(bands, signed, lambda ids: _line_texts(texts, lines, ids), char_sets, percent))
 
     # an equal line is found by its two numbers, a similar one by the component of its class
     place = F.struct("doc_id", "line").alias("place")

@@ -1,11 +1,15 @@
 """From band keys to links that hold on whole sets, without pairs of all members of a bucket.
 
-A bucket is a band key that several items share. First round: every item of a bucket is compared
-with the bucket's pivot, which differs from bucket to bucket. What holds gives components.
-Second round: items of a bucket that are not yet in its pivot's component are compared with the
-items of other components in the bucket. After both, any two items of a bucket are in one
-component or have been compared (or one of them is compared with a whole component item by item), so
-nothing that the bands find is lost, and a bucket full of near copies costs one comparison each.
+A bucket is a band key that several items share. First round: every item of a bucket is paired with
+the bucket's pivot, which differs from bucket to bucket. What holds gives components. Second
+round: items of a bucket that are not in its pivot's component are paired with the items of other
+components in the bucket. After both, any two items of a bucket are in one component or have been
+paired, so nothing that the bands find is lost, and a bucket full of near copies costs one pair each.
+
+A pair is sifted before its texts are fetched: signatures give an estimate of the similarity, and a
+pair more than three standard deviations under the bound is left out (it loses one pair in 700 of those
+right at the bound, next to none above it). The others of a bucket are dealt out in chunks, so no task holds a
+large bucket, and only pairs that pass leave the task.
 
 Comparisons are streamed: the texts to compare with a pivot come sorted behind the pivot's text;
 the members of a pivot are dealt out over `SPREAD` groups, so no pivot is one task's work.
@@ -24,32 +28,43 @@ from ledgerwork.llm import runtime, shingles
 from ledgerwork.llm.components import components
 
 SPREAD = 64
+#: Items of a bucket that a task compares others with at once, about.
+CHUNK = 2_000
 
 Sets = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 
 
-def links(entries: DataFrame, fetch: Callable[[DataFrame], DataFrame], sets: Sets, percent: int) -> DataFrame:
-    """`entries` (id, size, bands) -> (id, component) of every item that is linked.
+def links(
+    items: DataFrame, signatures: DataFrame, fetch: Callable[[DataFrame], DataFrame], sets: Sets, percent: int
+) -> DataFrame:
+    """`items` (id, bands) -> (id, component) of every item that is linked.
 
-    `fetch` turns some ids (id) into texts (id, text); `sets` gives the distinct members of each text's set.
-    Two items are linked if 100 * shared >= percent * union."""
-    spread = entries.select("id", "size", F.explode("bands").alias("key"))
+    `signatures` (id, size, signature) has the items' sizes and a byte for each place, equal with a probability
+    of the similarity. `fetch` turns some ids (id) into texts (id, text); `sets` gives the distinct members of each
+    text's set. Two items are linked if 100 * shared >= percent * union."""
+    # dealt by key once, for the pivots and for the join with them; no key has more than one row of an item
+    spread = items.select("id", F.explode("bands").alias("key")).repartition("key")
     order = F.xxhash64("id", "key")
     buckets = (
         spread.groupBy("key")
-        .agg(
-            F.count(F.lit(1)).alias("items"),
-            F.min_by("id", order).alias("pivot"),
-            F.min_by("size", order).alias("pivot_size"),
-        )
+        .agg(F.count(F.lit(1)).alias("items"), F.min_by("id", order).alias("pivot"))
         .where("items > 1")
         .drop("items")
     )
     members = runtime.keep(spread.join(buckets, "key"))
-    involved = runtime.keep(fetch(members.select("id").distinct()))
+    ids = members.select("id").distinct()
+    signed = runtime.keep(signatures.select("id", "size", "signature").join(ids, "id", "left_semi").dropDuplicates(["id"]))
+    involved = runtime.keep(fetch(ids))
 
-    pairs = members.where(_sizes_allow("size", "pivot_size", percent)).select("id", "pivot").where("id != pivot").distinct()
-    first = runtime.keep(compare(pairs, involved, sets, percent))
+    alone = members.select(
+        "key",
+        F.lit(0).alias("chunk"),
+        (F.col("id") != F.col("pivot")).cast("int").alias("kind"),
+        "id",
+        F.col("id").alias("own"),
+        F.lit(False).alias("both"),
+    )
+    first = runtime.keep(compare(sift(alone, signed, percent), involved, sets, percent))
     joined = components(first)
 
     at_id = joined.select("id", F.col("component").alias("own"))
@@ -60,44 +75,91 @@ def links(entries: DataFrame, fetch: Callable[[DataFrame], DataFrame], sets: Set
         .select(
             "key",
             "id",
-            "size",
             F.coalesce("own", "id").alias("own"),
             (F.coalesce("own", "id") != F.coalesce("pivots", "pivot")).alias("left_over"),
             (F.col("id") == F.col("pivot")).alias("is_pivot"),
         )
     )
-    rest = placed.where("left_over").select("key", "id", "size", "own")
-    others = placed.where("not is_pivot").select(
-        "key",
-        F.col("id").alias("pivot"),
-        F.col("size").alias("pivot_size"),
-        F.col("own").alias("pivots"),
-        F.col("left_over").alias("both"),
+    # chunks of the buckets that have left-over items; the pivot has been paired with all
+    chunks = (
+        placed.groupBy("key")
+        .agg(F.count(F.lit(1)).alias("items"), F.max("left_over").alias("open"))
+        .where("open and items > 2")
+        .select("key", F.ceil(F.col("items") / CHUNK).cast("int").alias("chunks"))
     )
-    more = (
-        rest.join(others, "key")
-        .where("own != pivots and (not both or id < pivot)")
-        .where(_sizes_allow("size", "pivot_size", percent))
-        .select("id", "pivot")
-        .distinct()
+    dealt = placed.where("not is_pivot").join(chunks, "key")
+    sides = F.array_append(
+        F.when(
+            F.col("left_over"),
+            F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(c.alias("chunk"), F.lit(1).alias("kind"))),
+        ).otherwise(F.array().cast("array<struct<chunk:int,kind:int>>")),
+        F.struct(F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"), F.lit(0).alias("kind")),
     )
-    second = runtime.keep(compare(more, involved, sets, percent))
+    rest = dealt.select("key", "id", "own", F.col("left_over").alias("both"), F.inline(sides)).select(*alone.columns)
+    second = runtime.keep(compare(sift(rest, signed, percent), involved, sets, percent))
     if second.isEmpty():
         return joined
     carried = second.join(at_id.withColumnRenamed("id", "a").withColumnRenamed("own", "root_a"), "a", "left").join(
         at_id.withColumnRenamed("id", "b").withColumnRenamed("own", "root_b"), "b", "left"
     )
-    between = runtime.keep(
-        carried.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")).where("a != b").distinct()
-    )
-    # the items the first round linked keep their component's place in the second graph
-    own = joined.select(F.col("id").alias("a"), F.col("component").alias("b"))
-    return components(own.union(between.select("a", "b")))
+    between = carried.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    # what the first round linked keeps its component as its neighbour
+    return components(joined.select(F.col("id").alias("a"), F.col("component").alias("b")).union(between))
+
+
+def sift(rows: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (id, pivot) that may be linked, by size and signature.
 
+    `rows` (key, chunk, kind, id, own, both): items of kind 1 are paired with those of kind 0 under the
+    same key and chunk, unless they have the same component `own`, or both are left over and it is the other's turn."""
+    placed = rows.join(signed, "id").repartition("key", "chunk").sortWithinPartitions("key", "chunk", "kind")
+    share = percent / 100
 
-def _sizes_allow(left: str, right: str, percent: int):
-    """Sets whose sizes differ too much cannot share enough."""
-    return F.least(left, right) * 100 >= F.greatest(left, right) * percent
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sign = _matrix(batch.column("signature"))
+            least = share - 3 * (share * (1 - share) / sign.shape[1]) ** 0.5
+            key, chunk, kind, item, size, own = (
+                batch.column(c).to_numpy() for c in ("key", "chunk", "kind", "id", "size", "own")
+            )
+            both = batch.column("both").to_numpy(zero_copy_only=False)
+            new = np.flatnonzero((key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1])) + 1
+            found = [], []
+            for low, high in zip((0, *new), (*new, len(key)), strict=True):
+                group = (key[low], chunk[low])
+                middle = low + int(np.searchsorted(kind[low:high], 1))
+                here = [x[low:middle] for x in (item, size, own, both, sign)]
+                if at == group:
+                    held = [np.concatenate(x) for x in zip(held, here, strict=True)]
+                else:
+                    at, held = group, here
+                against, sizes, owns, boths, signs = held
+                # as many at once as keep the compared bytes few
+                step = max(1, (8 << 20) // max(1, signs.size))
+                for start in range(middle, high, step):
+                    asked = slice(start, min(start + step, high))
+                    near = np.minimum(size[asked, None], sizes) * 100 >= np.maximum(size[asked, None], sizes) * percent
+                    near &= (own[asked, None] != owns) & (~boths | (item[asked, None] < against))
+                    a, b = np.nonzero(near)
+                    alike = (sign[asked][a] == signs[b]).mean(axis=1) >= least
+                    found[0].append(item[asked][a[alike]])
+                    found[1].append(against[b[alike]])
+            pairs = [pa.array(np.concatenate(x) if x else [], pa.int64()) for x in found]
+            yield pa.RecordBatch.from_arrays(pairs, ["id", "pivot"])
+
+    columns = ["key", "chunk", "kind", "id", "size", "own", "both", "signature"]
+    return placed.select(*columns).mapInArrow(run, "id long, pivot long").distinct()
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """A binary column of equal lengths as rows of bytes."""
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
+    data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    return data.reshape(len(column), -1)
 
 
 def compare(pairs: DataFrame, texts: DataFrame, sets: Sets, percent: int) -> DataFrame:

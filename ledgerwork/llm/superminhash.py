@@ -37,7 +37,7 @@ _GOLDEN = 0x9E3779B97F4A7C15
 #: Permutations (bytes of them) drawn out at once.
 _PERMUTED = 24 << 20
 
-SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
+SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, signature binary"
 
 
 def _draw(member: np.ndarray, step: int, places: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,6 +107,14 @@ def band_keys(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return key
 
 
+def bytes_of(signature: np.ndarray) -> pa.Array:
+    """A byte of each number, a binary value for each row."""
+    n, places = signature.shape
+    data = pa.py_buffer(np.ascontiguousarray(signature.astype(np.uint8)))
+    offsets = pa.py_buffer((np.arange(n + 1) * places).astype(np.int32))
+    return pa.Array.from_buffers(pa.binary(), n, [None, offsets, data])
+
+
 def sketch(docs: DataFrame, words: int) -> DataFrame:
     """Size and fingerprint of each document's shingle set and the band keys of its signature."""
 
@@ -115,7 +123,8 @@ def sketch(docs: DataFrame, words: int) -> DataFrame:
             member, offsets = shingles.word_shingles(batch.column("text"), words)
             sizes = np.diff(offsets)
             sets = shingles.fingerprint(member, offsets).view(np.int64)
-            keys = band_keys(signatures(member, offsets)).view(np.int64)
+            signed = signatures(member, offsets)
+            keys = band_keys(signed).view(np.int64)
             keys = keys[sizes > 0].reshape(-1)
             starts = np.concatenate(([0], np.cumsum(np.where(sizes > 0, BANDS, 0)))).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
@@ -125,8 +134,9 @@ def sketch(docs: DataFrame, words: int) -> DataFrame:
                     pa.array(sets[:, 0]),
                     pa.array(sets[:, 1]),
                     pa.ListArray.from_arrays(pa.array(starts), pa.array(keys)),
+                    bytes_of(signed),
                 ],
-                ["doc_id", "n_shingles", "set_a", "set_b", "bands"],
+                ["doc_id", "n_shingles", "set_a", "set_b", "bands", "signature"],
             )
 
     return docs.mapInArrow(run, SKETCH)
@@ -144,10 +154,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     classes = sketched.where("n_shingles > 0").groupBy(*sets).agg(
         F.min("doc_id").alias("id"), F.first("bands").alias("bands")
     )
-    entries = classes.select("id", F.col("n_shingles").alias("size"), "bands")
+    bands = classes.select("id", "bands")
+    signed = sketched.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("size"), "signature")
     by_id = texts.withColumnRenamed("doc_id", "id")
     linked = near.links(
-        entries,
+        bands,
+        signed,
         lambda ids: by_id.join(ids, "id", "left_semi"),
         lambda column: shingles.word_shingles(column, words),
         percent,
