@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerwork.llm import bpe_transducer, chat, line_dedup, packing, simhash, superminhash
+from ledgerwork.llm import bpe_transducer, chat, line_dedup, packing, simhash, superminhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_zstd_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     control = "\\### Assistant: </turn> ok"
@@ -55,6 +59,7 @@ def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op3_zstd_toxicity": op3_zstd_toxicity,
     "op4_chat_format": op4_chat_format,
     "op6_fuzzy_lines": op6_fuzzy_lines,
     "op7_best_fit_packing": op7_best_fit_packing,
