@@ -183,31 +183,31 @@ def dropped_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     )
 
 
-def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
+def dedup_lines(docs: DataFrame, percent: int = 80, lines: str = "n_lines", dropped: str = "n_dropped") -> DataFrame:
     """The documents without the lines that go; `text` changes, all other columns stay.
 
-    Adds `_lines` and `_dropped`, the numbers of lines before and of those that went."""
-    lost = dropped_lines(docs, percent).select(F.col("doc_id").alias("_of"), F.col("lines").alias("_lost"))
-    rows = docs.join(lost, docs["doc_id"].cast("long") == lost["_of"], "left").drop("_of")
+    Adds the columns `lines` and `dropped`, the numbers of lines before and of those that went."""
+    of, lost = runtime.free_name("_of", docs), runtime.free_name("_lost", docs)
+    gone = dropped_lines(docs, percent).select(F.col("doc_id").alias(of), F.col("lines").alias(lost))
+    rows = docs.join(gone, docs["doc_id"].cast("long") == gone[of], "left").drop(of)
     schema = T.StructType(
-        [*docs.schema.fields, T.StructField("_lines", T.LongType()), T.StructField("_dropped", T.LongType())]
+        [*docs.schema.fields, T.StructField(lines, T.LongType()), T.StructField(dropped, T.LongType())]
     )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in runtime.slices(batches, "text", 4 << 20):
-            texts, counts, dropped = [], [], []
-            for text, lost in zip(batch.column("text").to_pylist(), batch.column("_lost").to_pylist(), strict=True):
+            texts, counts, went = [], [], []
+            for text, numbers in zip(batch.column("text").to_pylist(), batch.column(lost).to_pylist(), strict=True):
                 parts = text.split("\n") if text is not None else []
-                gone = {k for k in lost or () if k < len(parts)}
-                if gone:
-                    text = "\n".join(x for k, x in enumerate(parts) if k not in gone)
+                drop = {k for k in numbers or () if k < len(parts)}
+                if drop:
+                    text = "\n".join(x for k, x in enumerate(parts) if k not in drop)
                 texts.append(text)
                 counts.append(len(parts))
-                dropped.append(len(gone))
+                went.append(len(drop))
             at = batch.schema.get_field_index("text")
-            out = batch.set_column(at, "text", pa.array(texts, pa.string()))
-            out = out.drop_columns(["_lost"])
-            out = out.append_column("_lines", pa.array(counts, pa.int64()))
-            yield out.append_column("_dropped", pa.array(dropped, pa.int64()))
+            out = batch.set_column(at, "text", pa.array(texts, pa.string())).drop_columns([lost])
+            out = out.append_column(lines, pa.array(counts, pa.int64()))
+            yield out.append_column(dropped, pa.array(went, pa.int64()))
 
     return rows.mapInArrow(run, schema)

@@ -44,6 +44,14 @@ def drop(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_name(name: str, df: DataFrame) -> str:
+    """`name`, with underscores before it until no column has it (Spark's names ignore case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def text_bytes(column: pa.Array) -> pa.Array:
     """A text column as bytes, null as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -69,7 +69,13 @@ def spans_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word (run of bytes without white space, A-Z as a-z) and the text it is of, in order."""
-    hashes, of = [], []
+    hashes, first = placed_words(data, offsets)
+    return hashes, np.searchsorted(offsets, first, "right") - 1
+
+
+def placed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word and where it begins."""
+    hashes, first = [], []
     low = 0
     while low < len(data):
         high = len(data)
@@ -92,11 +98,11 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
         end[edges - 1] |= inside[edges - 1]
         starts, ends = np.flatnonzero(start), np.flatnonzero(end) + 1
         hashes.append(spans_hash(block, starts, ends))
-        of.append(np.searchsorted(offsets, starts + low, "right") - 1)
+        first.append(starts + low)
         low = high
     if not hashes:
         return np.empty(0, _U), np.empty(0, np.int64)
-    return np.concatenate(hashes), np.concatenate(of)
+    return np.concatenate(hashes), np.concatenate(first)
 
 
 def word_shingles(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -152,9 +152,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return Model(ordinary, toxic, tuple(mean), tuple(scale), tuple(weights), share)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows with `_score`, 0 to 1; columns that are there already pass through."""
-    schema = T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())])
+def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """The rows with a further column `name`, 0 to 1."""
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in runtime.slices(batches, "text", 4 << 20):
@@ -165,17 +165,23 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 scores = labelled.sigmoid(x @ np.array(model.weights))
             else:
                 scores = np.full(batch.num_rows, model.share)
-            yield batch.append_column("_score", pa.array(scores, pa.float64()))
+            yield batch.append_column(name, pa.array(scores, pa.float64()))
 
     return docs.mapInArrow(run, schema)
 
 
+def rejected_out(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents without those the classifier finds toxic; all columns stay."""
+    name = runtime.free_name("_score", docs)
+    return score(docs, fit(docs, labels), name).where(F.col(name) < 0.5).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for each document."""
     scored = score(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), fit(docs, labels))
     return scored.select(
         "doc_id",
         labelled.held_out("doc_id", 5, 0).alias("held_out"),
-        F.col("_score").alias("score"),
-        (F.col("_score") >= 0.5).cast("int").alias("predicted"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
