@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ledgerwork.llm import runtime, shingles
 from ledgerwork.llm.components import components
 
-SPREAD = 64
+SPREAD = 32
 #: Items of a bucket that a task compares others with at once, about.
 CHUNK = 2_000
 
@@ -96,7 +96,9 @@ def links(
         F.struct(F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"), F.lit(0).alias("kind")),
     )
     rest = dealt.select("key", "id", "own", F.col("left_over").alias("both"), F.inline(sides)).select(*alone.columns)
-    second = runtime.keep(compare(sift(rest, signed, percent), involved, sets, percent))
+    # few items are left over, each with many to compare: they are the pivots now
+    turned = sift(rest, signed, percent).select(F.col("pivot").alias("id"), F.col("id").alias("pivot"))
+    second = runtime.keep(compare(turned, involved, sets, percent))
     if second.isEmpty():
         return joined
     carried = second.join(at_id.withColumnRenamed("id", "a").withColumnRenamed("own", "root_a"), "a", "left").join(
