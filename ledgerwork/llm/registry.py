@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerwork.llm import bpe_transducer, chat, line_dedup, packing, quality, simhash, superminhash, toxicity
+from ledgerwork.llm import bpe_transducer, chat, html_extract, line_dedup, packing, quality, simhash, superminhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,12 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(turns.unionByName(probe)))
 
 
+def op5_dom_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    extracted = html_extract.extract(pages, html_extract.fit(pages))
+    return extracted.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op6_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(docs)
@@ -61,6 +67,7 @@ QUERIES: dict[str, Query] = {
     "op2_attention_quality": op2_attention_quality,
     "op3_zstd_toxicity": op3_zstd_toxicity,
     "op4_chat_format": op4_chat_format,
+    "op5_dom_trees": op5_dom_trees,
     "op6_fuzzy_lines": op6_fuzzy_lines,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_byte_bpe": op8_byte_bpe,
