@@ -26,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers
 
 from ledgerwork.llm import runtime
 
@@ -52,6 +52,10 @@ class Words:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # pieces are normalized already, and a second time could change them
+        self.plain = Tokenizer.from_file(path)
+        self.plain.encode_special_tokens = True
+        self.plain.normalizer = normalizers.Sequence([])
         with open(path) as file:
             spec = json.load(file)
         end = spec["model"]["end_of_word_suffix"]
@@ -63,7 +67,7 @@ class Words:
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
         """Each piece's ids as little-endian unsigned 32-bit integers."""
-        found = self.tokenizer.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids
+        found = self.plain.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids
         ids = np.array(found, "<u4")
         bounds = np.flatnonzero(self.ends[ids]) + 1
         data, bounds = ids.tobytes(), (4 * bounds).tolist()
