@@ -37,8 +37,8 @@ _WHITE = "[\\x20\\x09-\\x0D]+"
 
 def weight(word: Column) -> Column:
     """1 for a letter or two, then as the square of the length, up to MOST; 0 without letters."""
-    n = F.length(word)
-    return F.coalesce(F.least(F.when(n < 3, F.least(n, F.lit(1))).otherwise((n - 2) * (n - 2)), F.lit(MOST)), F.lit(0)).cast("long")
+    n = F.least(F.length(word), F.lit(2 + isqrt(MOST)))
+    return F.coalesce(F.when(n < 3, F.least(n, F.lit(1))).otherwise((n - 2) * (n - 2)), F.lit(0)).cast("long")
 
 
 def _sums() -> list[Column]:
