@@ -66,13 +66,7 @@ def char_shingles(lines: list[str], size: int = CHARS) -> tuple[np.ndarray, np.n
 def char_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles of each line, ascending, and the n + 1 offsets."""
     shingle, offsets, _ = char_shingles(pc.fill_null(column, "").to_pylist())
-    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    order = np.lexsort((shingle, owner))
-    shingle, owner = shingle[order], owner[order]
-    if len(shingle):
-        new = np.concatenate(([True], (shingle[1:] != shingle[:-1]) | (owner[1:] != owner[:-1])))
-        shingle, owner = shingle[new], owner[new]
-    return shingle, np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(offsets) - 1))))
+    return shingles.distinct(shingle, offsets)
 
 
 def signatures(shingle: np.ndarray, offsets: np.ndarray) -> np.ndarray:

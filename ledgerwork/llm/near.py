@@ -12,7 +12,8 @@ right at the bound, next to none above it). The others of a bucket are dealt out
 large bucket, and only pairs that pass leave the task.
 
 Comparisons are streamed: the texts to compare with a pivot come sorted behind the pivot's text;
-the members of a pivot are dealt out over `SPREAD` groups, so no pivot is one task's work.
+the members of a pivot are dealt out over `SPREAD` groups, so no pivot is one task's work. In the second round,
+where an item is paired with many of its bucket, the texts of a chunk are held instead and each comes once.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from ledgerwork.llm.components import components
 
 SPREAD = 32
 #: Items of a bucket that a task compares others with at once, about.
-CHUNK = 2_000
+CHUNK = 500
 
 Sets = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 
@@ -64,7 +65,8 @@ def links(
         F.col("id").alias("own"),
         F.lit(False).alias("both"),
     )
-    first = runtime.keep(compare(sift(alone, signed, percent), involved, sets, percent))
+    pairs = sift(alone, signed, percent).select("id", "pivot").distinct()
+    first = runtime.keep(compare(pairs, involved, sets, percent))
     joined = components(first)
 
     at_id = joined.select("id", F.col("component").alias("own"))
@@ -96,9 +98,7 @@ def links(
         F.struct(F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"), F.lit(0).alias("kind")),
     )
     rest = dealt.select("key", "id", "own", F.col("left_over").alias("both"), F.inline(sides)).select(*alone.columns)
-    # few items are left over, each with many to compare: they are the pivots now
-    turned = sift(rest, signed, percent).select(F.col("pivot").alias("id"), F.col("id").alias("pivot"))
-    second = runtime.keep(compare(turned, involved, sets, percent))
+    second = runtime.keep(compare_within(sift(rest, signed, percent), involved, sets, percent))
     if second.isEmpty():
         return joined
     carried = second.join(at_id.withColumnRenamed("id", "a").withColumnRenamed("own", "root_a"), "a", "left").join(
@@ -110,7 +110,7 @@ def links(
 
 
 def sift(rows: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (id, pivot) that may be linked, by size and signature.
+    """Pairs (key, chunk, id, pivot) that may be linked, by size and signature; once for every bucket they share.
 
     `rows` (key, chunk, kind, id, own, both): items of kind 1 are paired with those of kind 0 under the
     same key and chunk, unless they have the same component `own`, or both are left over and it is the other's turn."""
@@ -129,7 +129,7 @@ def sift(rows: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
             )
             both = batch.column("both").to_numpy(zero_copy_only=False)
             new = np.flatnonzero((key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1])) + 1
-            found = [], []
+            found = [], [], [], []
             for low, high in zip((0, *new), (*new, len(key)), strict=True):
                 group = (key[low], chunk[low])
                 middle = low + int(np.searchsorted(kind[low:high], 1))
@@ -147,13 +147,18 @@ def sift(rows: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
                     near &= (own[asked, None] != owns) & (~boths | (item[asked, None] < against))
                     a, b = np.nonzero(near)
                     alike = (sign[asked][a] == signs[b]).mean(axis=1) >= least
-                    found[0].append(item[asked][a[alike]])
-                    found[1].append(against[b[alike]])
-            pairs = [pa.array(np.concatenate(x) if x else [], pa.int64()) for x in found]
-            yield pa.RecordBatch.from_arrays(pairs, ["id", "pivot"])
+                    n = int(np.count_nonzero(alike))
+                    if n:
+                        for out, x in zip(found, (np.full(n, key[low]), np.full(n, chunk[low])), strict=False):
+                            out.append(x)
+                        found[2].append(item[asked][a[alike]])
+                        found[3].append(against[b[alike]])
+            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64())
+            pairs = [pa.array(np.concatenate(x) if x else [], t) for x, t in zip(found, types, strict=True)]
+            yield pa.RecordBatch.from_arrays(pairs, ["key", "chunk", "id", "pivot"])
 
     columns = ["key", "chunk", "kind", "id", "size", "own", "both", "signature"]
-    return placed.select(*columns).mapInArrow(run, "id long, pivot long").distinct()
+    return placed.select(*columns).mapInArrow(run, "key long, chunk int, id long, pivot long")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -192,6 +197,39 @@ def compare(pairs: DataFrame, texts: DataFrame, sets: Sets, percent: int) -> Dat
     return placed.select("pivot", "part", "kind", "id", "text").mapInArrow(run, "a long, b long")
 
 
+def compare_within(pairs: DataFrame, texts: DataFrame, sets: Sets, percent: int) -> DataFrame:
+    """As `compare`, for pairs (key, chunk, id, pivot) of which many share their items.
+
+    A pair is compared in one of its buckets. There a text is fetched and cut up once for all its pairs; a
+    chunk has about CHUNK pivots, whose sets the task holds."""
+    at = pairs.groupBy("id", "pivot").agg(F.min(F.struct("key", "chunk")).alias("at")).select("at.*", "id", "pivot")
+    asked = at.groupBy("key", "chunk", "id").agg(F.collect_list("pivot").alias("pivots"), F.lit(1).alias("kind"))
+    held = at.select("key", "chunk", F.col("pivot").alias("id")).distinct()
+    held = held.select("*", F.array().cast("array<bigint>").alias("pivots"), F.lit(0).alias("kind"))
+    placed = asked.union(held).join(texts, "id").repartition("key", "chunk").sortWithinPartitions("key", "chunk", "kind")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, known = None, {}
+        for batch in runtime.slices(batches, "text", 2 << 20):
+            member, offsets = sets(batch.column("text"))
+            found = [], []
+            columns = (batch.column(c).to_pylist() for c in ("key", "chunk", "kind", "id", "pivots"))
+            for k, (key, chunk, kind, item, pivots) in enumerate(zip(*columns, strict=True)):
+                here = member[offsets[k] : offsets[k + 1]]
+                if group != (key, chunk):
+                    group, known = (key, chunk), {}
+                if kind == 0:
+                    known.setdefault(item, []).append(here.copy())
+                    continue
+                for pivot in pivots:
+                    if any(_close(here, other, percent) for other in known.get(pivot, ())):
+                        found[0].append(pivot)
+                        found[1].append(item)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["a", "b"])
+
+    return placed.select("key", "chunk", "kind", "id", "pivots", "text").mapInArrow(run, "a long, b long")
+
+
 def _close(left: np.ndarray, right: np.ndarray, percent: int) -> bool:
     both = shingles.shared(left, right)
     return 100 * both >= percent * (len(left) + len(right) - both) and both > 0

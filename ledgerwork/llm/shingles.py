@@ -122,12 +122,22 @@ def word_shingles(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
             found.append(_chain(word, first[texts], few))
             owner.append(texts)
     shingle, owner = np.concatenate(found), np.concatenate(owner)
-    order = np.lexsort((shingle, owner))
-    shingle, owner = shingle[order], owner[order]
-    if len(shingle):
-        new = np.concatenate(([True], (shingle[1:] != shingle[:-1]) | (owner[1:] != owner[:-1])))
-        shingle, owner = shingle[new], owner[new]
-    return shingle, np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=n))))
+    if len(found) > 1:
+        order = np.argsort(owner, kind="stable")
+        shingle, owner = shingle[order], owner[order]
+    return distinct(shingle, np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=n)))))
+
+
+def distinct(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each run of values ascending and without repeats (the array is sorted in place), and the new offsets."""
+    bounds = offsets.tolist()
+    for low, high in zip(bounds, bounds[1:], strict=False):
+        values[low:high].sort()
+    if not len(values):
+        return values, offsets
+    new = np.concatenate(([True], values[1:] != values[:-1]))
+    new[offsets[:-1][np.diff(offsets) > 0]] = True
+    return values[new], np.concatenate(([0], np.cumsum(new)))[offsets]
 
 
 def _chain(word: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
