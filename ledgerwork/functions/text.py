@@ -7,6 +7,10 @@ from calendar import monthrange
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+DECIMAL = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+#: A day followed by something that is no time.
+NO_TIME = r"\d[T ]\s*[^\d\s]"
+
 
 def month_key(day: Column) -> Column:
     """Sortable month text, `2024-03`."""
@@ -38,14 +42,17 @@ def in_days_of(day: Column, year: int, month: int | None = None) -> Column:
 
 
 def to_number(text: Column) -> Column:
-    """Text to double; anything that is not a finite number gives NULL."""
-    number = F.trim(text.cast("string")).try_cast("double")
+    """Text to double; anything that is not a finite decimal number, with exponent or not, gives NULL."""
+    trimmed = F.trim(text.cast("string"))
+    # a cast alone would also take type suffixes (`12d`) and hexadecimal numbers
+    number = F.when(trimmed.rlike(DECIMAL), trimmed).try_cast("double")
     return F.when(~F.isnan(number) & (F.abs(number) != float("inf")), number)
 
 
 def to_day(text: Column) -> Column:
     """Text to date; accepts `2024-11-4` and ISO timestamps, anything else gives NULL."""
-    return F.try_to_date(text)
+    # a cast alone ignores whatever stands behind the day
+    return F.when(~text.cast("string").rlike(NO_TIME), F.try_to_date(text))
 
 
 def whole_text(text: Column) -> Column:

@@ -112,7 +112,8 @@ def check_membership_payments(
 ) -> Checked:
     """Membership payments: fields filled and amount within the credit still open.
 
-    Accepting a payment lowers the credit that later payments of the contract are held
+    Amounts are held against the credit in whole cents, so the answer depends neither on the size
+    of a contract nor on the order in which sums are made. Accepting a payment lowers the credit that later payments of the contract are held
     against. Contracts with at most `hot_rows` candidate rows are walked in order, many to a
     task; larger ones go through `_accept_in_steps`, which never walks a contract's rows
     one by one.
@@ -123,10 +124,12 @@ def check_membership_payments(
         (_any(is_blank, "contract_no", "receipt_no", "amount", "paid_on"), "missing field"),
         (_negative("amount"), "negative amount"),
         (F.col("_credit").isNull(), "no credit known"),
-        (F.col("amount") > F.col("_credit"), "amount exceeds credit"),
+        (_cents("amount") > _cents("_credit"), "amount exceeds credit"),
     )
     # credit only shrinks: an amount above the opening credit can never be taken
-    open_rows = own.where(F.col("reason").isNull()).select("contract_no", "submitted_seq", "amount", "_credit")
+    open_rows = own.where(F.col("reason").isNull()).select(
+        "contract_no", "submitted_seq", _cents("amount").alias("amount"), _cents("_credit").alias("_credit")
+    )
     hot = hot_keys(open_rows, ["contract_no"], hot_rows)
     flagged = flag_hot(open_rows, hot, ["contract_no"])
     taken = (
@@ -144,6 +147,11 @@ def check_membership_payments(
     return Checked(judged.select(*batch.columns, "reason"))
 
 
+def _cents(column: str) -> Column:
+    """Whole cents. Doubles hold sums of them exactly up to 2^53."""
+    return F.round(F.col(column) * 100)
+
+
 def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Accepted rows of a task's contracts, sorted by contract and sequence: take a payment if
     it fits what is left. Only the open credit of the current contract is kept between rows."""

@@ -30,12 +30,12 @@ TARIFF = [("mgmt_fee", 10.0, "2024-03-01"), ("loss_fee", 5.0, "2024-07-01")]
 # Fixed values of the quarter sheet: month paid and suffix of its three columns.
 QUARTER_MONTHS = [("2024-03-01", "mar"), ("2024-04-01", "apr"), ("2024-05-01", "may"), ("2024-06-01", "jun")]
 QUARTER_FEES = (10.0, 0.0)
-# Fixed values of the membership sheets.
+# Fixed values of the membership sheets. The first 256 rows hold the fees of one workbook: pass it as `first_rows`.
 OFFICE_ROWS = 256
 OFFICE_DATE = "2024-03-01"
 PREVIOUS_DATE = "2023-12-31"
 NO_RECEIPT = "0"
-# Fixed values of the payment sheet.
+# Fixed values of the payment sheet. The first 12 rows of one workbook are no payments: pass it as `skip_rows`.
 SKIP_ROWS = 12
 BAD_AMOUNTS = (-16831.0,)
 DATE_MARKS = ["NR", ","]
@@ -82,7 +82,7 @@ class CleanPayments(NamedTuple):
 def clean_payments(
     raw: DataFrame,
     fixes: DataFrame | None = None,
-    skip_rows: int = SKIP_ROWS,
+    skip_rows: int = 0,
     bad_amounts: Sequence[float] = BAD_AMOUNTS,
     reject_unknown: bool = False,
     partition: Sequence[str] = (),
@@ -183,7 +183,7 @@ def import_wide_payments(
 
 
 def import_membership_office(
-    raw: DataFrame, default_date: str = OFFICE_DATE, first_rows: int | None = OFFICE_ROWS
+    raw: DataFrame, default_date: str = OFFICE_DATE, first_rows: int | None = None
 ) -> DataFrame:
     """Fees taken by the office. A missing amount drops the row, a bad one becomes NULL."""
     rows = _keep_first(raw, first_rows).where(F.col("contract_raw").isNotNull() & F.col("amount_raw").isNotNull())
@@ -192,7 +192,7 @@ def import_membership_office(
 
 
 def import_membership_collector(
-    raw: DataFrame, date: str = OFFICE_DATE, first_rows: int | None = OFFICE_ROWS
+    raw: DataFrame, date: str = OFFICE_DATE, first_rows: int | None = None
 ) -> DataFrame:
     """Fees taken by the collector, from the other amount column of the office sheet."""
     rows = _keep_first(raw, first_rows).where(

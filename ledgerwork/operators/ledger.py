@@ -165,9 +165,10 @@ def monthly_balance(reading: DataFrame, cpay: DataFrame, price: float = PRICE_PE
 
 
 def unpaid_bills_net(reading: DataFrame, cpay: DataFrame, price: float = PRICE_PER_M3) -> DataFrame:
-    """Net grain: one row per contract and month that is not settled (or is overpaid)."""
+    """Net grain: one row per contract and month that is not settled (or is overpaid) by a cent or more."""
     balance = monthly_balance(reading, cpay, price)
     keyed = balance.where(F.col("contract_no").isNotNull() & F.col("month").isNotNull())
-    return keyed.where(F.col("credit") != 0).select(
+    # sums of cents in doubles differ from zero by less than a cent where a month is settled
+    return keyed.where(F.round("credit", 2) != 0).select(
         *BILL_KEY, "qty_m3", "total", "paid", F.col("credit").alias("remaining")
     )

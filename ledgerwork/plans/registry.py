@@ -115,11 +115,11 @@ def _check_supplier_payments(t: Tables) -> DataFrame:
 
 
 def _office(t: Tables) -> DataFrame:
-    return imports.import_membership_office(t.raw_membership, first_rows=None)
+    return imports.import_membership_office(t.raw_membership)
 
 
 def _collector(t: Tables) -> DataFrame:
-    return imports.import_membership_collector(t.raw_membership, first_rows=None)
+    return imports.import_membership_collector(t.raw_membership)
 
 
 def _filled(t: Tables, *partition: str) -> DataFrame:

@@ -67,10 +67,13 @@ def read_sheet(spark: SparkSession, path: str, sheet: str) -> DataFrame:
     """All-text staging frame of one sheet plus `row_no`, which grows in file order.
 
     `row_no` is the byte offset of the file split plus the row's place in its task: unique
-    and ordered for one file, without a sort or a pass over the data, and not gap-free.
+    and ordered for one file, without a sort or a pass over the data, and not gap-free. More
+    than one file is refused: its rows have no common order.
     """
     names = SHEETS[sheet]
     raw = spark.read.option("header", True).option("escape", '"').csv(path)
+    if len(raw.inputFiles()) > 1:
+        raise ValueError("a sheet is one file; read each file on its own")
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     return raw.select(
         (F.col("_metadata.file_block_start") + place).alias("row_no"),

@@ -62,7 +62,7 @@ def test_payment_fixes_by_position(spark):
         F.lit("5").alias("loss_raw"), F.lit("9").alias("amount_raw"),
     )
     placed = number_rows(sheet, "byte_no", -1, "row_no").drop("byte_no")
-    clean = imports.clean_payments(placed, defaults.payment_fixes(spark)).accepted
+    clean = imports.clean_payments(placed, defaults.payment_fixes(spark), imports.SKIP_ROWS).accepted
     assert clean.count() == 2000 - imports.SKIP_ROWS
     settled = {r.settled_on: r["count"] for r in clean.groupBy("settled_on").count().collect()}
     assert settled == {None: 2000 - 12 - 5, D("2025-01-02"): 2, D("2024-10-11"): 1, D("2024-08-30"): 1, D("2024-11-04"): 1}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -125,3 +126,23 @@ def test_membership_payments_match_a_walk(spark, hot_rows):
     checked = checks.check_membership_payments(df, sub, mpay, hot_rows)
     assert {r.submitted_seq for r in checked.accepted.collect()} == walk(credit, batch)
     assert checked.judged.count() == len(batch)
+
+
+@pytest.mark.parametrize("hot_rows", [0, 3, 1_000_000])
+def test_membership_payments_in_cents_match_a_decimal_walk(spark, hot_rows):
+    rng = random.Random(16)
+    names = [f"c{k}" for k in range(20)]
+    credit = {c: Decimal(rng.randrange(0, 3000)) / 100 for c in names} | {"c0": Decimal("15.95")}
+    fixed = "2.96 1.81 2.36 1.38 2.81 0.03 1.97 2.63 0.67 2.66 2.88 1.06 2.19 0.29".split()
+    batch = [("c0", i, Decimal(a)) for i, a in enumerate(fixed)]
+    batch += [(rng.choice(names[1:]), 100 + i, Decimal(rng.randrange(0, 400)) / 100) for i in range(200)]
+    sub = spark.createDataFrame(
+        [(c, c, float(f)) for c, f in credit.items()], "contract_no string, name string, joining_fee double"
+    )
+    mpay = spark.createDataFrame([], "contract_no string, amount double")
+    df = spark.createDataFrame(
+        [(c, s, float(a)) for c, s, a in batch], "contract_no string, submitted_seq long, amount double"
+    )
+    df = df.withColumn("receipt_no", F.lit("1")).withColumn("paid_on", F.lit("2024-01-01").cast("date"))
+    accepted = checks.check_membership_payments(df, sub, mpay, hot_rows).accepted
+    assert {r.submitted_seq for r in accepted.collect()} == walk(credit, batch)
