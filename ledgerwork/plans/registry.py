@@ -175,7 +175,7 @@ JOBS: dict[str, Job] = {
     "import_index_sheet": lambda t: imports.import_index_sheet(t.index_sheet),
     "backfill_prev_index": lambda t: readings.backfill_prev_index(t.meter_reading),
     "apply_corrections": lambda t: readings.apply_corrections(t.meter_reading, t.reading_fixes),
-    "clean_payments": lambda t: imports.clean_payments(t.raw_payment, t.payment_fixes).accepted,
+    "clean_payments": lambda t: imports.clean_payments(t.raw_payment, t.payment_fixes, imports.SKIP_ROWS).accepted,
     "forward_fill": lambda t: _filled(t),
     "forward_fill_by_contract": lambda t: _filled(t, "contract_raw"),
     "import_wide_payments": lambda t: imports.import_wide_payments(t.wide_payment),
