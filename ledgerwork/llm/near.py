@@ -7,8 +7,8 @@ components in the bucket. After both, any two items of a bucket are in one compo
 paired, so nothing that the bands find is lost, and a bucket full of near copies costs one pair each.
 
 A pair is sifted before its texts are fetched: signatures give an estimate of the similarity, and a
-pair more than three standard deviations under the bound is left out (it loses one pair in 700 of those
-right at the bound, next to none above it). The others of a bucket are dealt out in chunks, so no task holds a
+pair more than `MARGIN` standard deviations under the bound is left out (of independent places, it loses one
+pair in 3 million of those right at the bound). The others of a bucket are dealt out in chunks, so no task holds a
 large bucket, and only pairs that pass leave the task.
 
 Comparisons are streamed: the texts to compare with a pivot come sorted behind the pivot's text;
@@ -31,12 +31,19 @@ from ledgerwork.llm.components import components
 SPREAD = 32
 #: Items of a bucket that a task compares others with at once, about.
 CHUNK = 500
+#: Standard deviations of the estimate by signature that a pair may be under the bound.
+MARGIN = 5
 
 Sets = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 
 
 def links(
-    items: DataFrame, signatures: DataFrame, fetch: Callable[[DataFrame], DataFrame], sets: Sets, percent: int
+    items: DataFrame,
+    signatures: DataFrame,
+    fetch: Callable[[DataFrame], DataFrame],
+    sets: Sets,
+    percent: int,
+    margin: float = MARGIN,
 ) -> DataFrame:
     """`items` (id, bands) -> (id, component) of every item that is linked.
 
@@ -65,7 +72,7 @@ def links(
         F.col("id").alias("own"),
         F.lit(False).alias("both"),
     )
-    pairs = sift(alone, signed, percent).select("id", "pivot").distinct()
+    pairs = sift(alone, signed, percent, margin).select("id", "pivot").distinct()
     first = runtime.keep(compare(pairs, involved, sets, percent))
     joined = components(first)
 
@@ -98,7 +105,7 @@ def links(
         F.struct(F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"), F.lit(0).alias("kind")),
     )
     rest = dealt.select("key", "id", "own", F.col("left_over").alias("both"), F.inline(sides)).select(*alone.columns)
-    second = runtime.keep(compare_within(sift(rest, signed, percent), involved, sets, percent))
+    second = runtime.keep(compare_within(sift(rest, signed, percent, margin), involved, sets, percent))
     if second.isEmpty():
         return joined
     carried = second.join(at_id.withColumnRenamed("id", "a").withColumnRenamed("own", "root_a"), "a", "left").join(
@@ -109,7 +116,7 @@ def links(
     return components(joined.select(F.col("id").alias("a"), F.col("component").alias("b")).union(between))
 
 
-def sift(rows: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+def sift(rows: DataFrame, signed: DataFrame, percent: int, margin: float = MARGIN) -> DataFrame:
     """Pairs (key, chunk, id, pivot) that may be linked, by size and signature; once for every bucket they share.
 
     `rows` (key, chunk, kind, id, own, both): items of kind 1 are paired with those of kind 0 under the
@@ -123,7 +130,7 @@ def sift(rows: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             sign = _matrix(batch.column("signature"))
-            least = share - 3 * (share * (1 - share) / sign.shape[1]) ** 0.5
+            least = share - margin * (share * (1 - share) / sign.shape[1]) ** 0.5
             key, chunk, kind, item, size, own = (
                 batch.column(c).to_numpy() for c in ("key", "chunk", "kind", "id", "size", "own")
             )

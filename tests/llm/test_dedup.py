@@ -132,6 +132,18 @@ def test_lines_against_all_pairs(spark):
     assert line_dedup.dedup_lines(documents(spark, [])).count() == 0
 
 
+def test_isolated_lines_at_the_bound_are_found(spark):
+    draw = random.Random(12)
+    rows = []
+    for k in range(1500):
+        # 70 shingles, of which one changed character renews 7: 63 of 77 are shared, 0.818
+        line = "".join(draw.choices("abcdefghijklmnopqrstuvwxyz ", k=76))
+        rows += [(2 * k, line), (2 * k + 1, line[:35] + "#" + line[36:])]
+    got = line_dedup.dedup_lines(documents(spark, rows), lines="_n", dropped="_d").collect()
+    assert sum(r._d for r in got) == 1500
+    assert not any(r._d for r in got if r.doc_id % 2 == 0)
+
+
 def test_fingerprints_of_odd_rows(spark):
     rows = [(k, t) for k, (_, t) in enumerate(ODD_TEXTS)]
     got = {r.doc_id: r for r in simhash.fingerprints(documents(spark, rows)).collect()}
