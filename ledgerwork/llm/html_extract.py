@@ -130,10 +130,11 @@ class Page:
                         if tags[stack[k]] in SCOPE[tag]:
                             break
                 element = self._open(tag, match[3], stack[-1])
-                if tag in RAW:
+                closed = (match[3] or "").endswith("/")
+                if tag in RAW and not (tag == "svg" and closed):
                     end = re.compile(f"</{tag}[^>]*>?", re.I).search(source, at)
                     at = end.end() if end else size
-                elif tag not in VOID and not (match[3] or "").endswith("/"):
+                elif tag not in VOID and not closed:
                     stack.append(element)
             elif match[1]:
                 tag = match[1].lower()

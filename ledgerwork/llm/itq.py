@@ -8,7 +8,10 @@ Search. Codes are cut into substrings, one table each. Two vectors meet in a tab
 there differ in one bit at most: every code is stored under its substring and looked up under it and all its
 one-bit neighbours. Substrings have about log2 of the number of vectors bits, so a bucket holds
 few by chance, and there are as many tables as find a pair at the similarity bound with probability `RECALL`
-(closer pairs more surely). Pairs whose whole codes are too far apart go; what is left is reranked by the
+(closer pairs more surely). How often that is so depends on how far centring and axes widen angles, so it is measured
+on made pairs: vectors of the sample and partners at exactly the bound, in any direction and in directions in which the
+sample is spread. Where too many tables would be needed, substrings get shorter; of one bit, they let all pairs
+meet. Pairs whose whole codes are too far apart go; what is left is reranked by the
 cosine of the original vectors in double precision.
 
 Equal vectors are one class and are never paired; links are pairs of classes, so the number of pairs is that of
@@ -22,7 +25,7 @@ equal and linked as one node otherwise; label and other columns are not read; an
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from math import acos, ceil, log, log2, pi
+from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
@@ -37,13 +40,46 @@ SAMPLE, DIMENSIONS = 4_000, 64
 ROUNDS, SEED = 30, 5
 #: Probability to find a pair whose cosine is the bound.
 RECALL = 0.999
+#: Most tables, and pairs of each kind that are made to measure how many are needed.
+TABLES, MADE = 64, 4_000
 
 
-def tables_for(bits: int, cosine: float, recall: float = RECALL) -> int:
-    """How many substrings of `bits` bits find such a pair, if a bit differs by the angle alone."""
-    differs = acos(cosine) / pi
-    met = (1 - differs) ** bits + bits * differs * (1 - differs) ** (bits - 1)
-    return max(1, ceil(log(1 - recall) / log(1 - met)))
+def made_pairs(sample: np.ndarray, cosine: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Unit vectors and partners at the cosine: off in any direction, and in that between two of the sample."""
+    random = np.random.default_rng(SEED)
+    own = sample[np.arange(MADE) % len(sample)]
+    one, other = random.integers(len(sample), size=(2, MADE))
+    pairs = []
+    for off in (random.normal(size=own.shape), sample[one] - sample[other]):
+        off = off - (off * own).sum(axis=1, keepdims=True) * own
+        size = np.linalg.norm(off, axis=1)
+        some = size > 1e-6
+        if some.any():
+            away = off[some] / size[some, None]
+            pairs.append((own[some], cosine * own[some] + (1 - cosine * cosine) ** 0.5 * away))
+    return pairs
+
+
+def plan(sample: np.ndarray, substring: int, cosine: float) -> tuple[np.ndarray, np.ndarray, int, int, int]:
+    """Centre, projection, bits of a substring, tables, and bits in which the whole codes of a pair may differ."""
+    pairs = made_pairs(sample, cosine)
+    centre, projection = learn(sample, substring * TABLES)
+    differ = [((a - centre) @ projection >= 0) != ((b - centre) @ projection >= 0) for a, b in pairs]
+    for bits in range(substring if pairs else 1, 0, -1):
+        tables = 1
+        for x in differ:
+            met = x[:, : bits * TABLES].reshape(len(x), TABLES, bits).sum(axis=2) <= 1
+            found = np.maximum.accumulate(met, axis=1).mean(axis=0)
+            tables = max(tables, int(np.searchsorted(found, RECALL)) + 1)
+        if tables <= TABLES:
+            break
+    used = bits * tables
+    most = 0
+    for x in differ:
+        apart = x[:, :used].sum(axis=1)
+        # five standard deviations over what a pair at the bound differs in
+        most = max(most, int(apart.max()), ceil(apart.mean() + 5 * apart.std()))
+    return centre, projection[:, :used], bits, tables, min(used, most) if differ else used
 
 
 def learn(sample: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -108,19 +144,13 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
 def _links(classes: DataFrame, n: int, cosine: float) -> DataFrame:
     """Pairs (a, b) of classes, a < b, whose cosine is at least the bound."""
     width = classes.select(F.max(F.size("vector"))).first()[0]
-    substring = min(24, max(8, round(log2(n))))
-    tables = tables_for(substring, cosine)
     drawn = classes.orderBy(F.xxhash64("id")).limit(SAMPLE).select("vector").collect()
     sample = np.zeros((len(drawn), width))
     for k, row in enumerate(drawn):
         sample[k, : len(row[0])] = row[0]
     sample /= np.linalg.norm(sample, axis=1)[:, None]
-    bits = substring * tables
-    centre, projection = learn(sample, bits)
-    # five standard deviations over what a pair at the bound differs in
-    differs = acos(cosine) / pi
-    most = ceil(bits * differs + 5 * (bits * differs * (1 - differs)) ** 0.5)
-    longs = ceil(bits / 64)
+    centre, projection, substring, tables, most = plan(sample, min(24, max(8, round(log2(n)))), cosine)
+    longs = ceil(substring * tables / 64)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = 1 << np.arange(substring)

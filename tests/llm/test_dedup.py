@@ -203,3 +203,20 @@ def test_embeddings_against_all_pairs(spark):
         k: (links[k], find(parent, k), find(parent, k) == k) for k, _ in vectors
     }
     assert itq.near_duplicates(table.limit(0)).count() == 0
+
+
+def test_embeddings_with_a_common_direction(spark):
+    random_numbers = np.random.default_rng(7)
+    common = np.zeros(64)
+    common[0] = 1.6
+    base = random_numbers.normal(size=(1200, 64)) / 8 + common
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    off = random_numbers.normal(size=(1200, 64))
+    off -= (off * base).sum(axis=1)[:, None] * base
+    off /= np.linalg.norm(off, axis=1)[:, None]
+    rows = np.vstack((base, 0.955 * base + (1 - 0.955**2) ** 0.5 * off))
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in itq.near_duplicates(table).collect()}
+    want = (rows @ rows.T >= 0.95).sum(axis=1) - 1
+    assert all(got[k] <= want[k] for k in got)
+    assert sum(got.values()) >= 0.995 * want.sum()

@@ -118,6 +118,14 @@ def test_page(spark, trees):
     assert html_extract.extract(table.limit(0), trees, "main").count() == 0
 
 
+def test_a_self_closed_svg_hides_nothing(spark, trees):
+    icons = ('<svg class="icon"/>', "<svg/>", "<svg><text>no</text></svg>")
+    pages = [(k, PAGE.replace("<article>", "<article>" + icon)) for k, icon in enumerate(icons)]
+    pages.append((3, PAGE.replace("<article>", "<article><svg />").replace("<aside", "<svg><path/></svg><aside")))
+    rows = html_extract.extract(spark.createDataFrame(pages, "page_id long, html string"), trees).collect()
+    assert {r.text for r in rows} == {"A & B First boldtext, next <line>. Second one é."}
+
+
 def test_decoding_never_contradicts(trees):
     draw = random.Random(3)
     for _ in range(20):
