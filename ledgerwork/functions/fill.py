@@ -7,26 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerwork.functions.skew import CHUNK_ROWS, HOT_ROWS, prefix_before
-
-
-def forward_fill(
-    df: DataFrame,
-    column: str,
-    order: str,
-    partition: Sequence[str] = (),
-    chunk_rows: int = CHUNK_ROWS,
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """Replace NULLs of `column` by the latest earlier value in the order of the integer
-    column `order`, over the whole sheet or within `partition`."""
-    chunk = F.floor(F.col(order) / chunk_rows)
-    filled = prefix_before(df, partition, [order], chunk, F.col(column), "last", "_filled", hot_rows)
-    return filled.withColumn(column, F.coalesce(column, "_filled")).drop("_filled")
-
-
-def number_rows(df: DataFrame, order: str, start: int, out: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Number the rows `start + 1, start + 2, ...` in the order of the unique integer column `order`."""
-    chunk = F.floor(F.col(order) / chunk_rows)
-    counted = prefix_before(df, [], [order], chunk, F.lit(1).cast("long"), "sum", "_before")
-    return counted.withColumn(out, F.lit(start + 1) + F.coalesce("_before", F.lit(0))).drop("_before")
+from ledgerwork.functions.ranges import before, in_ranges, numbered
+
+
+def forward_fill(df: DataFrame, column: str, order: str, partition: Sequence[str] = ()) -> DataFrame:
+    """Replace NULLs of `column` by the latest earlier value in the order of the column `order`,
+    over the whole sheet or within `partition`."""
+    filled = before(in_ranges(df, [*partition, order]), partition, F.col(column), "last", "_filled")
+    value = F.coalesce(column, "_filled")
+    return filled.select(*[value.alias(c) if c == column else c for c in df.columns])
+
+
+def number_rows(df: DataFrame, order: str, start: int, out: str) -> DataFrame:
+    """Number the rows `start + 1, start + 2, ...` in the order of the unique column `order`."""
+    return numbered(in_ranges(df, [order]), start + 1, out).select(*df.columns, out)

@@ -1,10 +1,7 @@
-"""Building blocks that stay parallel when one key holds a large share of the rows.
+"""A NULL-safe left join that stays parallel when one key holds a large share of the rows.
 
-Spark's adaptive execution already splits a skewed probe side of a join. It cannot
-split the NULL-supplying side of an outer join, nor a window partition. The helpers here
-cover these two cases. Both start from `hot_keys`, a count with map-side combine whose
-result has at most `TOP_KEYS` rows, so it may be broadcast whatever the input size.
-A key outside the list holds at most max(HOT_ROWS, rows / TOP_KEYS) rows.
+Spark's adaptive execution splits a skewed probe side of a join. It cannot split the
+NULL-supplying side of an outer join; `left_join_salted` does.
 """
 
 from __future__ import annotations
@@ -13,152 +10,59 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HOT_ROWS = 1_000_000
-TOP_KEYS = 1_000
-SALTS = 256
-CHUNK_ROWS = 100_000
-
-
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The keys with more than `hot_rows` rows, largest first, at most TOP_KEYS of them."""
-    return (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .where(F.col("_rows") > hot_rows)
-        .orderBy(F.desc("_rows"), *keys)
-        .limit(TOP_KEYS)
-        .select(*keys)
-    )
-
-
-def flag_hot(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Add the boolean `_hot`. `hot` is bounded by TOP_KEYS, hence the broadcast hint."""
-    marks = hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys], F.lit(True).alias("_hot"))
-    same = _null_safe([(df[k], marks[f"_hot_{k}"]) for k in keys])
-    joined = df.join(F.broadcast(marks), same, "left")
-    return joined.select(*[df[c] for c in df.columns], F.coalesce(marks["_hot"], F.lit(False)).alias("_hot"))
+#: Rows of the right side that one salt of a key is meant to hold.
+SALT_ROWS = 1_000_000
+#: Equal rows of the right side go in pieces of at most so many.
+PIECE = 4096
 
 
 def left_join_salted(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS
+    left: DataFrame, right: DataFrame, keys: Sequence[str], salt_rows: int = SALT_ROWS, match_null: bool = True
 ) -> DataFrame:
-    """NULL-safe left join that keeps every pair and splits hot keys of the right side.
-
-    Right rows of a hot key are spread over SALTS buckets by row hash and the left rows of
-    that key are repeated once per bucket. A hot key has right rows by definition, so the
-    buckets of it that find no partner are dropped; all other keys keep left-join rules.
-    Columns of `right` other than the keys must not occur in `left`.
+    """NULL-safe left join that keeps every pair and splits the large keys of the right side.
+
+    A key gets as many salts as its right rows need at `salt_rows` each: the rows are counted, the
+    counts of all keys with more than one salt are an ordinary table that both sides join, however
+    many keys that are. Left rows are repeated once per salt of their key, so their copies follow the size
+    of the key. Equal right rows are counted before and repeated after the join; in between they
+    go in pieces, so that the salt, a hash of row and piece, spreads them as well and is the same
+    when a task is run again.
+
+    A large key has right rows in all but a few of its salts; those that find no partner are
+    dropped, all other keys keep left-join rules. Without `match_null` a NULL in a key finds no
+    partner. Columns of `right` other than the keys must not occur in `left`.
     """
-    hot = hot_keys(right, keys, hot_rows)
+    if not match_null:
+        right = right.dropna(subset=list(keys))
     values = [c for c in right.columns if c not in keys]
-    bucket = F.pmod(F.xxhash64(*values), F.lit(SALTS)).cast("int") if values else F.lit(0)
-    salted = flag_hot(right, hot, keys).select(
-        *[F.col(k).alias(f"_r_{k}") for k in keys],
+    counted = right.groupBy(*keys, *values).agg(F.count(F.lit(1)).alias("_copies"))
+    sizes = counted.groupBy(*keys).agg(F.ceil(F.sum("_copies") / salt_rows).alias("_salts"))
+    wide = sizes.where(F.col("_salts") > 1).select(*[F.col(k).alias(f"_w_{k}") for k in keys], "_salts")
+    pieces = counted.select(
+        *keys,
         *values,
-        F.when(F.col("_hot"), bucket).otherwise(0).alias("_r_salt"),
-        F.lit(True).alias("_found"),
-    )
-    spread = flag_hot(left, hot, keys).withColumn(
-        "_salt",
-        F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))),
-    )
-    same = _null_safe([(spread[k], salted[f"_r_{k}"]) for k in keys]) & (spread["_salt"] == salted["_r_salt"])
-    return (
-        spread.join(salted, same, "left")
-        .where(F.col("_found").isNotNull() | ~F.col("_hot"))
-        .select(*left.columns, *values)
-    )
-
-
-def prefix_before(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    chunk: Column,
-    value: Column,
-    how: str,
-    out: str,
-    hot_rows: int | None = HOT_ROWS,
-) -> DataFrame:
-    """Fold `value` over the earlier rows of the same key, without one big window partition.
-
-    `how` is "previous" (value of the row just before, NULL included), "last" (latest value
-    that is not NULL), "sum" or "max"; NULL where nothing came before. `chunk` must not
-    decrease along `order`. Rows of a hot key are windowed per (key, chunk) and what came in
-    earlier chunks is folded from one summary row per (key, chunk); all other keys are one
-    window partition each. With `hot_rows=None`, or without keys, every row is chunked.
-    """
-    if hot_rows is None or not keys:
-        flagged = df.withColumn("_hot", F.lit(True))
-    else:
-        flagged = flag_hot(df, hot_keys(df, keys, hot_rows), keys)
-    rows = flagged.withColumn("_chunk", F.when(F.col("_hot"), chunk)).withColumn(
-        # the struct tells "no earlier row" from "earlier row holds NULL"
-        "_value", F.struct(value.alias("v")) if how == "previous" else value
+        "_copies",
+        F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_copies") - 1) / PIECE))).alias("_piece"),
     )
-    # explicit, because an input already partitioned by the key alone would satisfy the window and
-    # keep all chunks of a hot key in one task
-    windowed = rows.repartition(*keys, "_hot", "_chunk").withColumn(
-        "_here", _earlier(how, "_value", Window.partitionBy(*keys, "_hot", "_chunk").orderBy(*order))
-    )
-    summary = rows.where("_hot").groupBy(*keys, "_chunk").agg(_total(how, "_value", order).alias("_total"))
-    if keys:
-        carried = summary.withColumn("_carry", _earlier(how, "_total", Window.partitionBy(*keys).orderBy("_chunk")))
-    else:
-        carried = _carry_by_block(summary, how)
-    carried = carried.select(
-        *[F.col(k).alias(f"_s_{k}") for k in keys], F.col("_chunk").alias("_s_chunk"), "_carry", F.lit(True).alias("_s_hot")
-    )
-    same = _null_safe(
-        [(windowed[k], carried[f"_s_{k}"]) for k in keys]
-        + [(windowed["_hot"], carried["_s_hot"]), (windowed["_chunk"], carried["_s_chunk"])]
-    )
-    result = _combine(how, F.col("_here"), F.col("_carry"))
-    return windowed.join(carried, same, "left").select(
-        *df.columns, (result["v"] if how == "previous" else result).alias(out)
-    )
-
-
-def _carry_by_block(summary: DataFrame, how: str) -> DataFrame:
-    """The fold over numbered chunks: per block of CHUNK_ROWS chunks, then over the blocks."""
-    rows = summary.withColumn("_block", F.floor(F.col("_chunk") / CHUNK_ROWS))
-    inside = rows.withColumn("_inside", _earlier(how, "_total", Window.partitionBy("_block").orderBy("_chunk")))
-    blocks = rows.groupBy("_block").agg(_total(how, "_total", ["_chunk"]).alias("_sum"))
-    before = blocks.select(
-        F.col("_block").alias("_b"), _earlier(how, "_sum", Window.orderBy("_block")).alias("_before")
+    salt = F.pmod(F.xxhash64(*values, "_piece"), F.coalesce("_salts", F.lit(1)))
+    salted = pieces.join(wide, _null_safe(pieces, keys, wide, "_w_"), "left").select(
+        *[F.col(k).alias(f"_r_{k}") for k in keys],
+        *values,
+        salt.alias("_r_salt"),
+        F.least(F.lit(PIECE), F.col("_copies") - F.col("_piece") * PIECE).alias("_repeat"),
     )
-    return inside.join(before, inside["_block"].eqNullSafe(before["_b"]), "left").select(
-        "_chunk", _combine(how, F.col("_inside"), F.col("_before")).alias("_carry")
+    salts = F.sequence(F.lit(0).cast("long"), F.coalesce("_salts", F.lit(1)) - 1)
+    spread = left.join(wide, _null_safe(left, keys, wide, "_w_"), "left").select(
+        *left.columns, F.col("_salts").isNotNull().alias("_wide"), F.explode(salts).alias("_salt")
     )
+    same = _null_safe(spread, keys, salted, "_r_") & (spread["_salt"] == salted["_r_salt"])
+    pairs = spread.join(salted, same, "left").where(F.col("_repeat").isNotNull() | ~F.col("_wide"))
+    repeats = F.explode(F.array_repeat(F.lit(True), F.coalesce("_repeat", F.lit(1)).cast("int")))
+    return pairs.withColumn("_again", repeats).select(*left.columns, *values)
 
 
-def _earlier(how: str, value: str, window) -> Column:
-    if how == "previous":
-        return F.lag(value).over(window)
-    frame = window.rowsBetween(Window.unboundedPreceding, -1)
-    if how == "last":
-        return F.last(value, ignorenulls=True).over(frame)
-    return {"sum": F.sum, "max": F.max}[how](value).over(frame)
-
-
-def _total(how: str, value: str, order: Sequence[str]) -> Column:
-    if how == "previous":
-        return F.max_by(value, F.struct(*order))
-    if how == "last":
-        return F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order)))
-    return {"sum": F.sum, "max": F.max}[how](value)
-
-
-def _combine(how: str, here: Column, carry: Column) -> Column:
-    if how == "sum":
-        return F.coalesce(here + carry, here, carry)
-    if how == "max":
-        return F.greatest(here, carry)
-    return F.coalesce(here, carry)
-
-
-def _null_safe(pairs: Sequence[tuple[Column, Column]]) -> Column:
-    return reduce(and_, [a.eqNullSafe(b) for a, b in pairs])
+def _null_safe(left: DataFrame, keys: Sequence[str], right: DataFrame, prefix: str) -> Column:
+    return reduce(and_, [left[k].eqNullSafe(right[f"{prefix}{k}"]) for k in keys])

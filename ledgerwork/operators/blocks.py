@@ -8,7 +8,6 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerwork.functions.skew import HOT_ROWS
 from ledgerwork.functions.text import in_days_of, month_label
 from ledgerwork.operators.readings import previous_index
 
@@ -25,7 +24,6 @@ def block_check(
     blocks: Sequence[str] = (),
     month: str | None = None,
     lag_first: bool = False,
-    hot_rows: int = HOT_ROWS,
 ) -> BlockCheck:
     """Block rows and subscriber rows of the chosen blocks and month (`07-2024`).
 
@@ -42,7 +40,7 @@ def block_check(
 
     def usage(df: DataFrame, key: str) -> DataFrame:
         used = F.col("index_m3") - F.coalesce("_previous", F.lit(0.0))
-        rows = previous_index(df.where(in_blocks).where(before), key, hot_rows).where(after)
+        rows = previous_index(df.where(in_blocks).where(before), key).where(after)
         return rows.withColumn("usage_m3", used).withColumn("month_label", month_label(F.col("read_on")))
 
     return BlockCheck(
@@ -58,11 +56,9 @@ def block_check_totals(check: BlockCheck) -> DataFrame:
     return _side_by_side(check, ["block_no"], "index_m3", "block_index_m3")
 
 
-def block_gap(
-    block_reading: DataFrame, reading: DataFrame, sub: DataFrame, hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def block_gap(block_reading: DataFrame, reading: DataFrame, sub: DataFrame) -> DataFrame:
     """Per block and month: block usage, subscriber usage and the difference."""
-    check = block_check(block_reading, reading, sub, hot_rows=hot_rows)
+    check = block_check(block_reading, reading, sub)
     sides = _side_by_side(check, ["block_no", "month_label"], "usage_m3", "block_usage_m3")
     return sides.withColumn("gap_m3", F.col("block_usage_m3") - F.col("subscriber_usage_m3"))
 

@@ -6,17 +6,15 @@ order where an earlier row matters; `submitted_seq` is unique within a batch.
 
 from __future__ import annotations
 
-import math
-import tempfile
-from collections.abc import Iterator
+from functools import cached_property
 from typing import NamedTuple
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerwork.functions.fill import number_rows
-from ledgerwork.functions.skew import CHUNK_ROWS, HOT_ROWS, flag_hot, hot_keys, prefix_before
+from ledgerwork.functions.ranges import before, in_ranges, number_all
+from ledgerwork.functions.shared import Tables, checkpoint
 from ledgerwork.functions.text import is_blank
 from ledgerwork.operators.members import membership_credit
 from ledgerwork.operators.readings import last_reading
@@ -26,8 +24,8 @@ from ledgerwork.sources.tables import in_range
 ENTRY_MGMT_FEE = 10.0
 ENTRY_LOSS_FEE = 5.0
 FIRST_BLOCK, LAST_BLOCK = 1, 15
-# A contract up to this size is walked within one task, row by row in constant memory.
-WALK_ROWS = 10_000_000
+# A contract with so many payments at most is settled as one array; larger ones in rounds over all rows.
+FOLD_ROWS = 500
 
 
 class Checked(NamedTuple):
@@ -82,7 +80,7 @@ def check_subscribers(batch: DataFrame, sub: DataFrame) -> Checked:
     return Checked(judged.select(*batch.columns, "reason"))
 
 
-def check_readings(batch: DataFrame, reading: DataFrame, hot_rows: int = HOT_ROWS) -> Checked:
+def check_readings(batch: DataFrame, reading: DataFrame) -> Checked:
     """New readings: index not negative, and an earlier reading to count from.
 
     The previous index is that of the latest reading by date, in the table or accepted earlier
@@ -95,8 +93,7 @@ def check_readings(batch: DataFrame, reading: DataFrame, hot_rows: int = HOT_ROW
     # rows of a contract without any reading are all turned away, so they hand nothing on
     counts = (F.col("index_m3") >= 0) & F.col("_last").isNotNull()
     entered = F.when(counts, F.struct("read_on", "index_m3"))
-    chunk = F.floor(F.col("submitted_seq") / CHUNK_ROWS)
-    seen = prefix_before(known, ["contract_no"], ["submitted_seq"], chunk, entered, "max", "_seen", hot_rows)
+    seen = before(in_ranges(known, ["contract_no", "submitted_seq"]), ["contract_no"], entered, "max", "_seen")
     judged = judge(
         seen.withColumn("prev_index", F.greatest("_last", "_seen")["index_m3"])
         .withColumn("mgmt_fee", F.lit(ENTRY_MGMT_FEE))
@@ -108,66 +105,76 @@ def check_readings(batch: DataFrame, reading: DataFrame, hot_rows: int = HOT_ROW
 
 
 def check_membership_payments(
-    batch: DataFrame, sub: DataFrame, mpay: DataFrame, hot_rows: int = WALK_ROWS
+    batch: DataFrame, sub: DataFrame, mpay: DataFrame, fold_rows: int = FOLD_ROWS
 ) -> Checked:
     """Membership payments: fields filled and amount within the credit still open.
 
     Amounts are held against the credit in whole cents, so the answer depends neither on the size
-    of a contract nor on the order in which sums are made. Accepting a payment lowers the credit that later payments of the contract are held
-    against. Contracts with at most `hot_rows` candidate rows are walked in order, many to a
-    task; larger ones go through `_accept_in_steps`, which never walks a contract's rows
-    one by one.
+    of a contract nor on the order in which sums are made. Accepting a payment lowers the credit
+    that later payments of the contract are held against. Rows that share their entry number are
+    turned away, as their order is not known.
+
+    Most contracts need no order: all their candidates fit together. The others are folded over a
+    sorted array, one expression per contract, up to `fold_rows` candidates; beyond that they go
+    through `_accept_in_rounds`. The judged rows are checkpointed, so nothing before runs again.
     """
     credit = membership_credit(sub, mpay).select("contract_no", F.col("credit").alias("_credit"))
+    repeated = batch.groupBy("submitted_seq").agg(F.count(F.lit(1)).alias("_entries")).where("_entries > 1")
     own = judge(
-        batch.join(credit, "contract_no", "left"),
+        batch.join(credit, "contract_no", "left").join(repeated, "submitted_seq", "left"),
         (_any(is_blank, "contract_no", "receipt_no", "amount", "paid_on"), "missing field"),
         (_negative("amount"), "negative amount"),
+        (F.col("_entries").isNotNull(), "entry number repeated"),
         (F.col("_credit").isNull(), "no credit known"),
         (_cents("amount") > _cents("_credit"), "amount exceeds credit"),
     )
+    own = checkpoint(own.select(*batch.columns, "reason", _cents("amount").alias("_amount"), _cents("_credit").alias("_credit")))
     # credit only shrinks: an amount above the opening credit can never be taken
-    open_rows = own.where(F.col("reason").isNull()).select(
-        "contract_no", "submitted_seq", _cents("amount").alias("amount"), _cents("_credit").alias("_credit")
+    candidates = own.where(F.col("reason").isNull()).select("contract_no", "submitted_seq", "_amount", "_credit")
+    totals = candidates.groupBy("contract_no").agg(
+        F.count(F.lit(1)).alias("_rows"), F.sum("_amount").alias("_sum"), F.max("_credit").alias("_open")
     )
-    hot = hot_keys(open_rows, ["contract_no"], hot_rows)
-    flagged = flag_hot(open_rows, hot, ["contract_no"])
+    fits = F.col("_sum") <= F.col("_open")
+    sized = candidates.join(totals, "contract_no")
+    key = ["contract_no", "submitted_seq"]
     taken = (
-        flagged.where(~F.col("_hot"))
-        .drop("_hot")
-        .repartition("contract_no")
-        .sortWithinPartitions("contract_no", "submitted_seq")
-        .mapInPandas(_walk, "submitted_seq long")
+        sized.where(fits)
+        .select(*key)
+        .unionByName(_accept_in_order(sized.where(~fits & (F.col("_rows") <= fold_rows))))
+        .unionByName(_accept_in_rounds(sized.where(~fits & (F.col("_rows") > fold_rows))))
+        .withColumn("_taken", F.lit(True))
     )
-    if hot.take(1):
-        taken = taken.unionByName(_accept_in_steps(flagged.where("_hot").drop("_hot")))
-    taken = taken.withColumn("_taken", F.lit(True))
     exceeds = F.when(F.col("_taken").isNull(), F.lit("amount exceeds credit"))
-    judged = own.join(taken, "submitted_seq", "left").withColumn("reason", F.coalesce("reason", exceeds))
+    judged = own.join(taken, key, "left").withColumn("reason", F.coalesce("reason", exceeds))
     return Checked(judged.select(*batch.columns, "reason"))
 
 
 def _cents(column: str) -> Column:
-    """Whole cents. Doubles hold sums of them exactly up to 2^53."""
-    return F.round(F.col(column) * 100)
+    return F.round(F.col(column) * 100).cast("long")
+
+
+def _accept_in_order(rows: DataFrame) -> DataFrame:
+    """Take a payment if it fits what is left: a fold over the contract's payments in their order."""
+    batch = rows.groupBy("contract_no").agg(
+        F.max("_credit").alias("_credit"), F.sort_array(F.collect_list(F.struct("submitted_seq", "_amount"))).alias("_entries")
+    )
+    none = F.array().cast("array<bigint>")
 
+    def take(state: Column, entry: Column) -> Column:
+        fits = entry["_amount"] <= state["left"]
+        return F.struct(
+            F.when(fits, state["left"] - entry["_amount"]).otherwise(state["left"]).alias("left"),
+            F.when(fits, F.array_append(state["taken"], entry["submitted_seq"])).otherwise(state["taken"]).alias("taken"),
+        )
 
-def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Accepted rows of a task's contracts, sorted by contract and sequence: take a payment if
-    it fits what is left. Only the open credit of the current contract is kept between rows."""
-    contract, left = None, 0.0
-    for rows in batches:
-        taken = []
-        for name, amount, credit in zip(rows["contract_no"], rows["amount"], rows["_credit"]):
-            if name != contract:
-                contract, left = name, credit
-            taken.append(amount <= left)
-            left -= amount if taken[-1] else 0.0
-        yield rows.loc[taken, ["submitted_seq"]]
+    start = F.struct(F.col("_credit").alias("left"), none.alias("taken"))
+    return batch.select(
+        "contract_no", F.explode(F.aggregate("_entries", start, take, lambda state: state["taken"])).alias("submitted_seq")
+    )
 
 
-def _accept_in_steps(rows: DataFrame) -> DataFrame:
-    """The same acceptance for contracts too large for one task, in rounds over all of them.
+def _accept_in_rounds(rows: DataFrame) -> DataFrame:
+    """The same acceptance for contracts of any size, in rounds over all of them.
 
     Take a contract whose open credit lies in [2^k, 2^(k+1)). While it does, payments below
     2^k always fit, and those of 2^(k+1) or more never do. The first payment that leaves less
@@ -175,57 +182,46 @@ def _accept_in_steps(rows: DataFrame) -> DataFrame:
     or one of at least 2^k that fits what the small ones before it left. Everything up to it is
     settled and the contract moves on to a lower power of two; no such payment settles it
     whole. So there are at most as many rounds as powers of two between the largest credit and
-    the smallest amount, whatever the number of rows. The driver keeps one line per hot
-    contract, at most TOP_KEYS of them.
+    the smallest amount, whatever the number of rows.
+
+    The state between rounds is a table in the shared folder (contract, open credit, last settled
+    entry, smallest amount); the state before it is removed. The rows are ordered once.
     """
-    spark = rows.sparkSession
-    _ensure_checkpoint_dir(spark)
-    rows = rows.checkpoint()
+    tables = Tables(rows.sparkSession)
+    key = ["contract_no", "submitted_seq"]
     # amounts of zero always fit
-    accepted = rows.where(F.col("amount") == 0).select("submitted_seq")
-    payments = rows.where(F.col("amount") > 0).select("contract_no", "submitted_seq", "amount", "_credit")
-    start = payments.groupBy("contract_no").agg(F.max("_credit").alias("left"), F.min("amount").alias("low")).collect()
-    low = {r.contract_no: r.low for r in start}
-    open_now = [(r.contract_no, r.left, None) for r in start if r.left >= r.low]
-    chunk = F.floor(F.col("submitted_seq") / CHUNK_ROWS)
-    while open_now:
-        lines = [(c, left, after, math.ldexp(1.0, math.frexp(left)[1] - 1)) for c, left, after in open_now]
-        state = spark.createDataFrame(lines, "contract_no string, left double, after long, line double")
-        live = payments.drop("_credit").join(F.broadcast(state), "contract_no").where(
-            (F.col("after").isNull() | (F.col("submitted_seq") > F.col("after"))) & (F.col("amount") < 2 * F.col("line"))
-        )
-        small = F.when(F.col("amount") < F.col("line"), F.col("amount")).otherwise(0.0)
-        still_open = F.col("left") - F.coalesce("_before", F.lit(0.0))
-        step = (
-            prefix_before(live, ["contract_no"], ["submitted_seq"], chunk, small, "sum", "_before", None)
-            .select("contract_no", "submitted_seq", "amount", "line", still_open.alias("_open"))
-            .checkpoint()
+    zeros = rows.where(F.col("_amount") == 0).select(*key)
+    payments = in_ranges(rows.where(F.col("_amount") > 0).select(*key, "_amount", "_credit"), key)
+    start = payments.groupBy("contract_no").agg(
+        F.max("_credit").alias("left"), F.lit(None).cast("long").alias("after"), F.min("_amount").alias("low")
+    )
+    payments = payments.drop("_credit")
+    state = tables.keep(start.where(F.col("left") >= F.col("low")), "state0")
+    amount, line = F.col("_amount"), F.col("_line")
+    taken, done = zeros, 0
+    while not state.isEmpty():
+        # the highest power of two that the open credit holds, exactly
+        lined = state.withColumn("_line", F.expr("shiftleft(1L, length(bin(left)) - 1)"))
+        live = payments.join(lined, "contract_no").where(
+            (F.col("after").isNull() | (F.col("submitted_seq") > F.col("after"))) & (amount < 2 * line)
         )
-        rest = F.col("_open") - F.col("amount")
-        tips = (F.col("_open") >= F.col("line")) & (rest >= 0) & (rest < F.col("line"))
-        first = F.min(F.struct("submitted_seq", rest.alias("left")))
-        stops = step.where(tips).groupBy("contract_no").agg(first.alias("at")).select("contract_no", "at.*").collect()
-        ends = spark.createDataFrame([(r.contract_no, r.submitted_seq) for r in stops], "contract_no string, _end long")
-        reached = step.join(F.broadcast(ends), "contract_no", "left").where(
-            F.col("_end").isNull() | (F.col("submitted_seq") <= F.col("_end"))
+        summed = before(live, ["contract_no"], F.when(amount < line, amount).otherwise(0), "sum", "_before")
+        still_open = F.col("left") - F.coalesce("_before", F.lit(0))
+        step = tables.keep(summed.select(*key, "_amount", "_line", "low", still_open.alias("_open")), f"step{done}")
+        rest = F.col("_open") - amount
+        tips = (F.col("_open") >= line) & (rest >= 0) & (rest < line)
+        first = F.min(F.struct(F.col("submitted_seq").alias("after"), rest.alias("left"), "low"))
+        stops = step.where(tips).groupBy("contract_no").agg(first.alias("at")).select("contract_no", "at.*")
+        reached = step.join(stops.select("contract_no", "after"), "contract_no", "left").where(
+            F.col("after").isNull() | (F.col("submitted_seq") <= F.col("after"))
         )
-        taken = reached.where((F.col("amount") < F.col("line")) | (F.col("submitted_seq") == F.col("_end")))
-        accepted = accepted.unionByName(taken.select("submitted_seq"))
-        open_now = [(r.contract_no, r.left, r.submitted_seq) for r in stops if r.left >= low[r.contract_no]]
-    return accepted
-
-
-def _ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Checkpoints go to the shared folder the session names, so that they outlive executors.
-    A local folder is used only by a local session that names none."""
-    context = spark.sparkContext
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared and context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared)
-    if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+        fit = reached.where((amount < line) | (F.col("submitted_seq") == F.col("after")))
+        taken = taken.unionByName(tables.keep(fit.select(*key), f"taken{done}"))
+        done += 1
+        state = tables.keep(stops.where(F.col("left") >= F.col("low")), f"state{done}")
+        tables.remove(f"state{done - 1}")
+        tables.remove(f"step{done - 1}")
+    return taken
 
 
 def check_consumption_payments(batch: DataFrame) -> Checked:
@@ -285,10 +281,33 @@ def _not_below_zero(*columns: str) -> list[tuple[Column, str]]:
     return [(F.col(c) < 0, f"negative {c}") for c in columns]
 
 
-class MaintenanceSplit(NamedTuple):
-    jobs: DataFrame
-    items: DataFrame
-    rejected: DataFrame
+class MaintenanceSplit:
+    """Judged entries and their lines; ids are given when `jobs` or `items` are first read."""
+
+    def __init__(self, judged: DataFrame, lines: DataFrame, max_job_id: int, max_detail_id: int) -> None:
+        self.judged, self.lines = judged, lines
+        self.max_job_id, self.max_detail_id = max_job_id, max_detail_id
+
+    @cached_property
+    def _numbered(self) -> DataFrame:
+        good = self.judged.where(F.col("reason").isNull())
+        entries = good.select("submitted_seq", "done_on", "note", "worker", "worker_pay")
+        return number_rows(entries, "submitted_seq", self.max_job_id, "job_id")
+
+    @property
+    def jobs(self) -> DataFrame:
+        return self._numbered.select("job_id", "done_on", "note", "worker", "worker_pay")
+
+    @cached_property
+    def items(self) -> DataFrame:
+        ids = self._numbered.select("submitted_seq", "job_id")
+        placed = self.lines.join(ids, "submitted_seq").select("job_id", "product", "qty")
+        numbered = number_all(placed, ["job_id", "product", "qty"], self.max_detail_id + 1, "detail_id")
+        return numbered.select("detail_id", "job_id", "product", "qty")
+
+    @property
+    def rejected(self) -> DataFrame:
+        return self.judged.where(F.col("reason").isNotNull())
 
 
 def item_lines(batch: DataFrame) -> DataFrame:
@@ -297,14 +316,14 @@ def item_lines(batch: DataFrame) -> DataFrame:
 
 
 def split_maintenance(
-    batch: DataFrame, lines: DataFrame, max_job_id: int = 0, max_detail_id: int = 0, hot_rows: int = HOT_ROWS
+    batch: DataFrame, lines: DataFrame, max_job_id: int = 0, max_detail_id: int = 0
 ) -> MaintenanceSplit:
     """Maintenance entries to job rows and detail rows that share the new job id.
 
     `batch`: submitted_seq, done_on, note, worker, worker_pay; `lines`: submitted_seq,
     product, qty (see `item_lines`). A job needs a note, a worker, pay not below zero and at
-    least one line. Ids follow `submitted_seq` without gaps; they come from running counts per
-    chunk, so no task sees all rows.
+    least one line. Job ids follow `submitted_seq`, detail ids job, product and quantity, both without
+    gaps, numbered over ranges of equal row count: a job may have any number of lines.
     """
     counted = lines.groupBy("submitted_seq").agg(F.count(F.lit(1)).alias("_lines"))
     judged = judge(
@@ -313,22 +332,4 @@ def split_maintenance(
         (_negative("worker_pay"), "negative pay"),
         (F.col("_lines").isNull(), "no material"),
     )
-    good = judged.where(F.col("reason").isNull())
-    chunk = F.floor(F.col("submitted_seq") / CHUNK_ROWS)
-    jobs = number_rows(good, "submitted_seq", max_job_id, "job_id")
-    offset = prefix_before(jobs, [], ["submitted_seq"], chunk, F.col("_lines"), "sum", "_offset")
-    keys = offset.select("submitted_seq", "job_id", F.coalesce("_offset", F.lit(0)).alias("_offset"))
-    placed = prefix_before(
-        lines, ["submitted_seq"], ["product", "qty"], F.col("product"), F.lit(1).cast("long"), "sum", "_place", hot_rows
-    )
-    items = placed.join(keys, "submitted_seq").select(
-        (F.lit(max_detail_id + 1) + F.col("_offset") + F.coalesce("_place", F.lit(0))).alias("detail_id"),
-        "job_id",
-        "product",
-        "qty",
-    )
-    return MaintenanceSplit(
-        jobs.select("job_id", "done_on", "note", "worker", "worker_pay"),
-        items,
-        judged.where(F.col("reason").isNotNull()).select(*batch.columns, "reason"),
-    )
+    return MaintenanceSplit(judged.select(*batch.columns, "reason"), lines, max_job_id, max_detail_id)

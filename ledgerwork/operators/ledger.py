@@ -11,7 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerwork.functions.skew import HOT_ROWS, left_join_salted
+from ledgerwork.functions.shared import checkpoint
+from ledgerwork.functions.skew import SALT_ROWS, left_join_salted
 from ledgerwork.functions.text import month_key
 from ledgerwork.operators.readings import PRICE_PER_M3
 
@@ -47,15 +48,18 @@ def ledger(
     cpay: DataFrame,
     price: float = PRICE_PER_M3,
     contracts: Sequence[str] = (),
-    hot_rows: int = HOT_ROWS,
+    salt_rows: int = SALT_ROWS,
+    match_null: bool = True,
 ) -> DataFrame:
-    """Bills with their payments. Keys match NULL to NULL; every payment keeps its own row.
+    """Bills with their payments; every payment keeps its own row.
 
+    Keys match NULL to NULL, as the original rule has it: every bill without a month or contract
+    with every such payment. `match_null=False` leaves those bills without payments.
     `contracts` is applied to both scans, which Spark would not infer from a NULL-safe join.
     """
     if contracts:
         reading, cpay = [df.where(F.col("contract_no").isin(list(contracts))) for df in (reading, cpay)]
-    joined = left_join_salted(bills(reading, price), dated_payments(cpay), BILL_KEY, hot_rows)
+    joined = left_join_salted(bills(reading, price), dated_payments(cpay), BILL_KEY, salt_rows, match_null)
     return joined.select(
         "contract_no",
         "month",
@@ -106,9 +110,11 @@ def unpaid_bills(ledger_rows: DataFrame, contracts: Sequence[str] = ()) -> DataF
     """Row grain: ledger rows with credit left, each with what remains of its bill.
 
     Rows whose own credit is zero leave before payments are summed, and bills without a
-    total or month drop out of the sums.
+    total or month drop out of the sums. The open rows are checkpointed, as they are both summed and
+    returned: the tables are read and joined once, also where the result is used several times.
     """
     open_rows = filter_ledger(ledger_rows, contracts=contracts).where(_not_zero("credit"))
+    open_rows = checkpoint(open_rows.select(*BILL_KEY, "index_m3", "qty_m3", "total", "amount"))
     keyed = open_rows.where(
         F.col("contract_no").isNotNull() & F.col("month").isNotNull() & F.col("total").isNotNull()
     )

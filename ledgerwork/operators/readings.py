@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerwork.functions.skew import HOT_ROWS, prefix_before
 from ledgerwork.functions.text import month_key, month_label
 
 PRICE_PER_M3 = 7.0
@@ -31,32 +30,49 @@ def _latest(df: DataFrame, key: str) -> DataFrame:
     )
 
 
-def previous_index(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+def previous_index(df: DataFrame, key: str) -> DataFrame:
     """Add `_previous`: the index of the row before in (month, date, index) order.
 
-    Month order is implied by date order. The days of a hot key are its window chunks.
+    A key may hold any share of the rows, so its days are windows of their own. The first row of
+    a day is the one that has to look across: in a second window the first and last rows of a
+    key's days stand together, two a day at most, and there the row before a first row is the
+    last one of the latest earlier day with readings. Rows between pass that window in the
+    cell of their day. One pass over the input, no join, no count of hot keys.
     """
-    return prefix_before(
-        df, [key], ["read_on", "index_m3"], F.col("read_on"), F.col("index_m3"), "previous", "_previous", hot_rows
+    order = ["read_on", "index_m3"]
+    day = Window.partitionBy(key, "read_on").orderBy(*order)
+    inside = df.withColumns(
+        {
+            "_before": F.lag("index_m3").over(day),
+            "_first": F.row_number().over(day) == 1,
+            "_last": F.lead(F.lit(True)).over(day).isNull(),
+        }
     )
+    edge = F.col("_first") | F.col("_last")
+    # a day of the calendar for the rows inside, none for the edges of all days
+    cells = inside.withColumn("_cell", F.when(edge, F.lit(None)).otherwise(F.struct("read_on")))
+    across = Window.partitionBy(key, "_cell").orderBy(*order, F.desc("_first"))
+    found = cells.withColumn("_across", F.lag("index_m3").over(across))
+    previous = F.when(F.col("_first"), F.col("_across")).otherwise(F.col("_before"))
+    return found.select(*df.columns, previous.alias("_previous"))
 
 
-def block_usage(block_reading: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def block_usage(block_reading: DataFrame) -> DataFrame:
     """Consumption per block reading; the first reading of a block counts whole."""
-    return _usage_from_zero(block_reading, "block_no", hot_rows).select(
+    return _usage_from_zero(block_reading, "block_no").select(
         "block_no", "read_on", month_label(F.col("read_on")).alias("month_label"), "index_m3", "usage_m3"
     )
 
 
-def _usage_from_zero(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+def _usage_from_zero(df: DataFrame, key: str) -> DataFrame:
     usage = F.col("index_m3") - F.coalesce("_previous", F.lit(0.0))
-    return previous_index(df, key, hot_rows).withColumn("usage_m3", usage)
+    return previous_index(df, key).withColumn("usage_m3", usage)
 
 
-def usage_by_lag(reading: DataFrame, price: float = PRICE_PER_M3, hot_rows: int = HOT_ROWS) -> DataFrame:
+def usage_by_lag(reading: DataFrame, price: float = PRICE_PER_M3) -> DataFrame:
     """Consumption and amount from the running index alone, without the stored previous index."""
     used = F.coalesce(F.col("index_m3") - F.col("_previous"), F.col("index_m3"))
-    return previous_index(reading, "contract_no", hot_rows).select(
+    return previous_index(reading, "contract_no").select(
         "contract_no",
         month_key(F.col("read_on")).alias("month"),
         "read_on",

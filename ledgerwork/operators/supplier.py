@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerwork.functions.skew import HOT_ROWS, left_join_salted
+from ledgerwork.functions.skew import SALT_ROWS, left_join_salted
 from ledgerwork.functions.text import month_name
 
 
-def supplier_account(bill: DataFrame, payment: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def supplier_account(bill: DataFrame, payment: DataFrame, salt_rows: int = SALT_ROWS) -> DataFrame:
     """One row per payment of a bill's month, each against the whole bill."""
     owed = bill.select("month", "index_m3", "amount_due", "invoice_no")
     # a NULL month pays no bill
     paid = payment.where(F.col("month").isNotNull()).select("month", "paid_on", "receipt_no", "amount")
-    joined = left_join_salted(owed, paid, ["month"], hot_rows)
+    joined = left_join_salted(owed, paid, ["month"], salt_rows)
     return joined.select(
         "month",
         month_name(F.col("month")).alias("month_name"),

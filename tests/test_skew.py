@@ -1,17 +1,17 @@
-"""The skew-safe building blocks against brute force, with every key hot and with none."""
+"""The folds, numbers and joins that know no large key, against brute force."""
 
 from __future__ import annotations
 
 import random
+from datetime import date
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerwork.functions import fill, skew
+from ledgerwork.functions import fill, ranges, skew
 from ledgerwork.operators import checks
 
-HOT = [0, 3, 1_000_000, None]
 
 
 def keyed_rows(seed: int, n: int = 300):
@@ -38,35 +38,70 @@ def fold(rows, how):
     return result
 
 
-@pytest.mark.parametrize("hot_rows", HOT)
-@pytest.mark.parametrize("how", ["previous", "last", "sum", "max"])
-def test_prefix_before(spark, how, hot_rows):
-    rows = keyed_rows(1)
-    df = spark.createDataFrame(rows, "key string, seq long, value double")
-    got = skew.prefix_before(df, ["key"], ["seq"], F.floor(F.col("seq") / 50), F.col("value"), how, "out", hot_rows)
-    assert {(r.key, r.seq): r.out for r in got.collect()} == fold(rows, how)
+@pytest.fixture
+def cut(spark):
+    """Small tables in ranges of about 2 megabytes less: as many as there are shuffle partitions."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
 
 
+@pytest.mark.parametrize("fan", [2, 256])
+@pytest.mark.parametrize("keys", [[], ["key"]])
 @pytest.mark.parametrize("how", ["previous", "last", "sum", "max"])
-def test_prefix_over_a_whole_table(spark, how, monkeypatch):
-    monkeypatch.setattr(skew, "CHUNK_ROWS", 4)
-    rows = [(None, seq, value) for _, seq, value in keyed_rows(2)]
+def test_before(spark, cut, monkeypatch, how, keys, fan):
+    monkeypatch.setattr(ranges, "FAN", fan)
+    rows = [(k if keys else None, s, v) for k, s, v in keyed_rows(1)]
     df = spark.createDataFrame(rows, "key string, seq long, value double")
-    got = skew.prefix_before(df, [], ["seq"], F.floor(F.col("seq") / 20), F.col("value"), how, "out")
+    ranged = ranges.in_ranges(df, [*keys, "seq"])
+    assert ranged.select("_range").distinct().count() > 4
+    got = ranges.before(ranged, keys, F.col("value"), how, "out")
     assert {(r.key, r.seq): r.out for r in got.collect()} == fold(rows, how)
 
 
-@pytest.mark.parametrize("hot_rows", [0, 4, 1_000_000])
-def test_left_join_salted(spark, hot_rows):
+def test_no_window_lacks_a_key(spark, cut):
+    df = spark.createDataFrame(keyed_rows(2), "key string, seq long, value double")
+    folded = ranges.before(ranges.in_ranges(df, ["seq"]), [], F.col("value"), "sum", "out")
+    plan = folded._jdf.queryExecution().executedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert len(windows) == 2 and all("[_range#" in w or "[_node#" in w for w in windows)
+    assert "SinglePartition" not in plan
+
+
+def test_ranges_of_sparse_ids_are_equal(spark, cut):
+    """Ids of up to 63 bits, most of them crowded at one end."""
+    ids = spark.range(400_000).select(
+        F.when(F.col("id") % 5 > 0, F.col("id")).otherwise(F.col("id") * 23_058_430_092_136).alias("id")
+    )
+    ranged = ranges.in_ranges(ids, ["id"])
+    sizes = sorted(r["count"] for r in ranged.groupBy("_range").count().collect())
+    assert len(sizes) == 8 and sizes[-1] < 2 * sizes[len(sizes) // 2]
+    numbered = ranges.numbered(ranged, 0, "n")
+    assert numbered.agg(F.min("n"), F.max("n"), F.count_distinct("n")).first()[:] == (0, 399_999, 400_000)
+
+
+def test_number_all(spark, cut, monkeypatch):
+    monkeypatch.setattr(ranges, "PIECE", 3)
+    rng = random.Random(9)
+    rows = [("a", 1)] * 20 + [(rng.choice(["a", "b", None]), rng.choice([1, 2, 3, None])) for _ in range(60)]
+    got = ranges.number_all(spark.createDataFrame(rows, "k string, v int"), ["k", "v"], 5, "n").collect()
+    assert [r.n for r in sorted(got, key=lambda r: r.n)] == list(range(5, 85))
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1] is not None, r[1] or 0))
+    assert [(r.k, r.v) for r in sorted(got, key=lambda r: r.n)] == ordered
+
+
+@pytest.mark.parametrize("salt_rows", [1, 4, 1_000_000])
+def test_left_join_salted(spark, salt_rows, monkeypatch):
+    monkeypatch.setattr(skew, "PIECE", 2)
     rng = random.Random(3)
     keys = [("a", "x")] * 5 + [("a", None), (None, "x"), (None, None), ("b", "x"), ("c", "y")]
     left = [(*rng.choice(keys), i) for i in range(60)]
-    right = [(*rng.choice(keys[:8]), 100 + i) for i in range(40)]
+    right = [(*rng.choice(keys[:8]), 100 + i) for i in range(40)] + [("a", "x", 1)] * 7 + [("b", "x", None)] * 3
     got = skew.left_join_salted(
         spark.createDataFrame(left, "k string, m string, l long"),
         spark.createDataFrame(right, "k string, m string, r long"),
         ["k", "m"],
-        hot_rows,
+        salt_rows,
     ).collect()
     expected = []
     for k, m, i in left:
@@ -75,32 +110,59 @@ def test_left_join_salted(spark, hot_rows):
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, expected))
 
 
-def test_hot_keys_is_bounded(spark, monkeypatch):
-    monkeypatch.setattr(skew, "TOP_KEYS", 2)
-    df = spark.createDataFrame([(k,) for k in "aaaabbbccd"], "key string")
-    assert [r.key for r in skew.hot_keys(df, ["key"], 1).collect()] == ["a", "b"]
+def test_thousands_of_large_keys(spark):
+    """5,000 keys that all need several salts, without a cap on how many may."""
+    left = spark.range(5000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("l"))
+    right = spark.range(25_000).select((F.col("id") % 5000).alias("k"), (F.col("id") % 10_000).alias("r"))
+    joined = skew.left_join_salted(left, right, ["k"], salt_rows=2)
+    assert joined.agg(F.count("r"), F.sum("l"), F.sum("r")).first()[:] == (
+        25_000,
+        5 * sum(range(0, 10_000, 2)),
+        sum(k % 10_000 for k in range(25_000)),
+    )
+
+
+def test_keys_that_match_null_only_if_asked(spark):
+    left = spark.createDataFrame([(None, 1), ("a", 2)], "k string, l int")
+    right = spark.createDataFrame([(None, 3), ("a", 4)], "k string, r int")
+    joined = [{(r.l, r.r) for r in skew.left_join_salted(left, right, ["k"], match_null=m).collect()} for m in (True, False)]
+    assert joined == [{(1, 3), (2, 4)}, {(1, None), (2, 4)}]
 
 
-@pytest.mark.parametrize("chunk_rows", [1, 7, 1000])
 @pytest.mark.parametrize("partition", [(), ("key",)])
-def test_forward_fill(spark, chunk_rows, partition):
+def test_forward_fill(spark, cut, partition):
     rows = keyed_rows(4)
     df = spark.createDataFrame(rows, "key string, seq long, value double")
-    got = fill.forward_fill(df, "value", "seq", partition, chunk_rows, hot_rows=5)
+    got = fill.forward_fill(df, "value", "seq", partition)
     keyed = rows if partition else [(None, s, v) for _, s, v in rows]
-    before = fold(keyed, "last")
-    expected = {s: v if v is not None else before[k if partition else None, s] for k, s, v in rows}
+    seen = fold(keyed, "last")
+    expected = {s: v if v is not None else seen[k if partition else None, s] for k, s, v in rows}
+    assert got.columns == df.columns
     assert {r.seq: r.value for r in got.collect()} == expected
 
 
-@pytest.mark.parametrize("chunk_rows", [1, 10, 10_000])
-def test_number_rows(spark, chunk_rows):
-    seqs = random.Random(5).sample(range(1000), 120)
+def test_number_rows(spark, cut):
+    seqs = random.Random(5).sample(range(1 << 62), 120)
     df = spark.createDataFrame([(s,) for s in seqs], "seq long")
-    got = fill.number_rows(df, "seq", 40, "id", chunk_rows).collect()
+    got = fill.number_rows(df, "seq", 40, "id").collect()
     assert {r.seq: r.id for r in got} == {s: 41 + i for i, s in enumerate(sorted(seqs))}
 
 
+def test_previous_index_across_days(spark):
+    from ledgerwork.operators.readings import previous_index
+
+    rng = random.Random(8)
+    days = [None, *(date(2024, 1, d) for d in range(1, 9))]
+    rows = [(rng.choice("aaab"), rng.choice(days), rng.choice([None, *map(float, range(9))])) for _ in range(120)]
+    got = previous_index(spark.createDataFrame(rows, "k string, read_on date, index_m3 double"), "k")
+    assert " Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    expected = []
+    for key in "ab":
+        mine = sorted((r for r in rows if r[0] == key), key=lambda r: (r[1] is not None, r[1] or days[1], r[2] is not None, r[2] or 0))
+        expected += [(*r, mine[i - 1][2] if i else None) for i, r in enumerate(mine)]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, expected))
+
+
 def walk(credit, batch):
     """Accepted sequence numbers, one row at a time."""
     left, accepted = dict(credit), set()
@@ -111,8 +173,8 @@ def walk(credit, batch):
     return accepted
 
 
-@pytest.mark.parametrize("hot_rows", [0, 12, 1_000_000])
-def test_membership_payments_match_a_walk(spark, hot_rows):
+@pytest.mark.parametrize("fold_rows", [0, 12, 1_000_000])
+def test_membership_payments_match_a_walk(spark, fold_rows):
     rng = random.Random(6)
     credit = {"a": 1000.0, "b": 37.0, "c": 0.0, "d": None, "e": 0.5}
     batch = [
@@ -123,13 +185,13 @@ def test_membership_payments_match_a_walk(spark, hot_rows):
     mpay = spark.createDataFrame([], "contract_no string, amount double")
     df = spark.createDataFrame(batch, "contract_no string, submitted_seq long, amount double")
     df = df.withColumn("receipt_no", F.lit("1")).withColumn("paid_on", F.lit("2024-01-01").cast("date"))
-    checked = checks.check_membership_payments(df, sub, mpay, hot_rows)
+    checked = checks.check_membership_payments(df, sub, mpay, fold_rows)
     assert {r.submitted_seq for r in checked.accepted.collect()} == walk(credit, batch)
     assert checked.judged.count() == len(batch)
 
 
-@pytest.mark.parametrize("hot_rows", [0, 3, 1_000_000])
-def test_membership_payments_in_cents_match_a_decimal_walk(spark, hot_rows):
+@pytest.mark.parametrize("fold_rows", [0, 3, 1_000_000])
+def test_membership_payments_in_cents_match_a_decimal_walk(spark, fold_rows):
     rng = random.Random(16)
     names = [f"c{k}" for k in range(20)]
     credit = {c: Decimal(rng.randrange(0, 3000)) / 100 for c in names} | {"c0": Decimal("15.95")}
@@ -144,5 +206,5 @@ def test_membership_payments_in_cents_match_a_decimal_walk(spark, hot_rows):
         [(c, s, float(a)) for c, s, a in batch], "contract_no string, submitted_seq long, amount double"
     )
     df = df.withColumn("receipt_no", F.lit("1")).withColumn("paid_on", F.lit("2024-01-01").cast("date"))
-    accepted = checks.check_membership_payments(df, sub, mpay, hot_rows).accepted
+    accepted = checks.check_membership_payments(df, sub, mpay, fold_rows).accepted
     assert {r.submitted_seq for r in accepted.collect()} == walk(credit, batch)
