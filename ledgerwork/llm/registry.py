@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerwork.llm import bpe_transducer, chat, html_extract, itq, line_dedup, packing, quality, simhash, superminhash, toxicity
+from ledgerwork.llm import bpe_transducer, chat, html_extract, itq, line_dedup, packing, quality, repair, sharding, simhash, superminhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -67,6 +67,14 @@ def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superminhash.near_duplicates(_table(spark, sf_dir, "documents"), words=4, percent=80)
 
 
+def op11_auction_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.digests(repair.repair(repair.damaged(_table(spark, sf_dir, "conversations"))))
+
+
+def op12_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.documents(_table(spark, sf_dir, "documents"), shards=24)
+
+
 QUERIES: dict[str, Query] = {
     "op1_itq_near_dedup": op1_itq_near_dedup,
     "op2_attention_quality": op2_attention_quality,
@@ -78,6 +86,8 @@ QUERIES: dict[str, Query] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_simhash": op9_simhash,
     "op10_superminhash": op10_superminhash,
+    "op11_auction_repair": op11_auction_repair,
+    "op12_feistel_shards": op12_feistel_shards,
 }
 
 SQL: dict[str, str] = {}
