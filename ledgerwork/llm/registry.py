@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerwork.llm import bpe_transducer, chat, html_extract, itq, line_dedup, packing, quality, repair, sharding, simhash, superminhash, toxicity
+from ledgerwork.llm import alignment, bpe_transducer, chat, html_extract, itq, line_dedup, packing, quality, repair, sharding, simhash, superminhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -75,6 +75,11 @@ def op12_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.documents(_table(spark, sf_dir, "documents"), shards=24)
 
 
+def op13_lockstep_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return alignment.align(_table(spark, sf_dir, "documents"), *paths)
+
+
 QUERIES: dict[str, Query] = {
     "op1_itq_near_dedup": op1_itq_near_dedup,
     "op2_attention_quality": op2_attention_quality,
@@ -88,6 +93,7 @@ QUERIES: dict[str, Query] = {
     "op10_superminhash": op10_superminhash,
     "op11_auction_repair": op11_auction_repair,
     "op12_feistel_shards": op12_feistel_shards,
+    "op13_lockstep_alignment": op13_lockstep_alignment,
 }
 
 SQL: dict[str, str] = {}
