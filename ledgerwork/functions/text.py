@@ -8,8 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 DECIMAL = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-#: A day followed by something that is no time.
-NO_TIME = r"\d[T ]\s*[^\d\s]"
+#: A whole text that is a day, alone or with a time of day and an offset behind it.
+DAY = (
+    r"^\d{4}-(0?[1-9]|1[0-2])-(0?[1-9]|[12]\d|3[01])"
+    r"([T ]([01]?\d|2[0-3]):[0-5]?\d(:[0-5]?\d(\.\d{1,9})?)?( ?(Z|UTC|[+-](0?\d|1[0-8])(:?[0-5]\d)?))?)?$"
+)
 
 
 def month_key(day: Column) -> Column:
@@ -51,8 +54,14 @@ def to_number(text: Column) -> Column:
 
 def to_day(text: Column) -> Column:
     """Text to date; accepts `2024-11-4` and ISO timestamps, anything else gives NULL."""
+    trimmed = F.trim(text.cast("string"))
     # a cast alone ignores whatever stands behind the day
-    return F.when(~text.cast("string").rlike(NO_TIME), F.try_to_date(text))
+    return F.when(trimmed.rlike(DAY), F.try_to_date(F.regexp_extract(trimmed, r"^\d+-\d+-\d+", 0)))
+
+
+def not_a_day(text: Column) -> Column:
+    """True where a text is given that `to_day` does not take: what a strict load stops at."""
+    return text.isNotNull() & to_day(text).isNull()
 
 
 def whole_text(text: Column) -> Column:

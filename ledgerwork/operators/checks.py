@@ -12,6 +12,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerwork.functions.allowed import mark_inside, mark_known
 from ledgerwork.functions.fill import number_rows
 from ledgerwork.functions.ranges import before, in_ranges, number_all
 from ledgerwork.functions.shared import Tables, checkpoint
@@ -80,8 +81,8 @@ def check_subscribers(batch: DataFrame, sub: DataFrame) -> Checked:
     return Checked(judged.select(*batch.columns, "reason"))
 
 
-def check_readings(batch: DataFrame, reading: DataFrame) -> Checked:
-    """New readings: index not negative, and an earlier reading to count from.
+def check_readings(batch: DataFrame, reading: DataFrame, sub: DataFrame | None = None) -> Checked:
+    """New readings: known contract (with `sub`), index not negative, and an earlier reading to count from.
 
     The previous index is that of the latest reading by date, in the table or accepted earlier
     in the batch.
@@ -89,7 +90,7 @@ def check_readings(batch: DataFrame, reading: DataFrame) -> Checked:
     last = last_reading(reading).select(
         "contract_no", F.struct(F.col("last_read_on").alias("read_on"), F.col("last_index").alias("index_m3")).alias("_last")
     )
-    known = batch.join(last, "contract_no", "left")
+    known = _known(batch, "contract_no", sub).join(last, "contract_no", "left")
     # rows of a contract without any reading are all turned away, so they hand nothing on
     counts = (F.col("index_m3") >= 0) & F.col("_last").isNotNull()
     entered = F.when(counts, F.struct("read_on", "index_m3"))
@@ -98,6 +99,7 @@ def check_readings(batch: DataFrame, reading: DataFrame) -> Checked:
         seen.withColumn("prev_index", F.greatest("_last", "_seen")["index_m3"])
         .withColumn("mgmt_fee", F.lit(ENTRY_MGMT_FEE))
         .withColumn("loss_fee", F.lit(ENTRY_LOSS_FEE)),
+        (~F.col("_known"), "unknown contract"),
         (_negative("index_m3"), "negative index"),
         (F.col("_last").isNull(), "no earlier reading"),
     )
@@ -105,9 +107,14 @@ def check_readings(batch: DataFrame, reading: DataFrame) -> Checked:
 
 
 def check_membership_payments(
-    batch: DataFrame, sub: DataFrame, mpay: DataFrame, fold_rows: int = FOLD_ROWS
+    batch: DataFrame,
+    sub: DataFrame,
+    mpay: DataFrame,
+    fold_rows: int = FOLD_ROWS,
+    receipts: DataFrame | None = None,
 ) -> Checked:
-    """Membership payments: fields filled and amount within the credit still open.
+    """Membership payments: fields filled, receipt in the `receipts` intervals if these are given,
+    and amount within the credit still open.
 
     Amounts are held against the credit in whole cents, so the answer depends neither on the size
     of a contract nor on the order in which sums are made. Accepting a payment lowers the credit
@@ -121,8 +128,11 @@ def check_membership_payments(
     credit = membership_credit(sub, mpay).select("contract_no", F.col("credit").alias("_credit"))
     repeated = batch.groupBy("submitted_seq").agg(F.count(F.lit(1)).alias("_entries")).where("_entries > 1")
     own = judge(
-        batch.join(credit, "contract_no", "left").join(repeated, "submitted_seq", "left"),
+        _receipted(batch, receipts, "membership receipt")
+        .join(credit, "contract_no", "left")
+        .join(repeated, "submitted_seq", "left"),
         (_any(is_blank, "contract_no", "receipt_no", "amount", "paid_on"), "missing field"),
+        (~F.col("_receipted"), "receipt out of range"),
         (_negative("amount"), "negative amount"),
         (F.col("_entries").isNotNull(), "entry number repeated"),
         (F.col("_credit").isNull(), "no credit known"),
@@ -224,10 +234,33 @@ def _accept_in_rounds(rows: DataFrame) -> DataFrame:
     return taken
 
 
-def check_consumption_payments(batch: DataFrame) -> Checked:
-    """Consumption payments: amount not negative; the entry fees are added, no credit limit."""
+def check_consumption_payments(
+    batch: DataFrame, sub: DataFrame | None = None, receipts: DataFrame | None = None
+) -> Checked:
+    """Consumption payments: amount not negative, and as far as the tables are given, known contract and
+    receipt in the allowed intervals; the entry fees are added, no credit limit."""
     entered = batch.withColumn("mgmt_fee", F.lit(ENTRY_MGMT_FEE)).withColumn("loss_fee", F.lit(ENTRY_LOSS_FEE))
-    return Checked(judge(entered, (_negative("amount"), "negative amount")))
+    judged = judge(
+        _receipted(_known(entered, "contract_no", sub), receipts, "consumption receipt"),
+        (~F.col("_known"), "unknown contract"),
+        (_negative("amount"), "negative amount"),
+        (~F.col("_receipted"), "receipt out of range"),
+    )
+    return Checked(judged.select(*entered.columns, "reason"))
+
+
+def _known(batch: DataFrame, column: str, table: DataFrame | None) -> DataFrame:
+    """Add `_known`: the value is in the same column of the table; true of all rows without a table."""
+    if table is None:
+        return batch.withColumn("_known", F.lit(True))
+    return mark_known(batch, column, table, column, "_known")
+
+
+def _receipted(batch: DataFrame, receipts: DataFrame | None, kind: str) -> DataFrame:
+    """Add `_receipted`: the receipt is in an interval of the kind; true of all rows without intervals."""
+    if receipts is None:
+        return batch.withColumn("_receipted", F.lit(True))
+    return mark_inside(batch, "receipt_no", receipts, kind, "_receipted")
 
 
 def check_block_readings(batch: DataFrame) -> Checked:
@@ -240,17 +273,23 @@ def check_block_readings(batch: DataFrame) -> Checked:
     )
 
 
-def check_purchases(batch: DataFrame) -> Checked:
-    """Purchases: all six fields given and not zero; the amount is added."""
+def check_purchases(batch: DataFrame, product: DataFrame | None = None) -> Checked:
+    """Purchases: all six fields given and not zero, known product (with the table); the amount is added."""
     required = ("product", "bought_on", "qty", "unit_price", "receipt_no", "vendor")
     priced = batch.withColumn("amount", F.col("qty") * F.col("unit_price"))
-    return Checked(judge(priced, (_missing(batch, required), "missing field"), *_not_below_zero("qty", "unit_price")))
+    return _check_products(priced, product, _missing(batch, required), "qty", "unit_price")
 
 
-def check_uses(batch: DataFrame) -> Checked:
-    """Uses: all four fields given and not zero; stock on hand is not a limit."""
+def check_uses(batch: DataFrame, product: DataFrame | None = None) -> Checked:
+    """Uses: all four fields given and not zero, known product (with the table); stock on hand is not a limit."""
     required = ("product", "used_on", "qty", "note")
-    return Checked(judge(batch, (_missing(batch, required), "missing field"), *_not_below_zero("qty")))
+    return _check_products(batch, product, _missing(batch, required), "qty")
+
+
+def _check_products(batch: DataFrame, product: DataFrame | None, missing: Column, *amounts: str) -> Checked:
+    unknown = (~F.col("_known"), "unknown product")
+    judged = judge(_known(batch, "product", product), (missing, "missing field"), unknown, *_not_below_zero(*amounts))
+    return Checked(judged.select(*batch.columns, "reason"))
 
 
 def check_supplier_bills(batch: DataFrame) -> Checked:
@@ -316,20 +355,25 @@ def item_lines(batch: DataFrame) -> DataFrame:
 
 
 def split_maintenance(
-    batch: DataFrame, lines: DataFrame, max_job_id: int = 0, max_detail_id: int = 0
+    batch: DataFrame, lines: DataFrame, max_job_id: int = 0, max_detail_id: int = 0, product: DataFrame | None = None
 ) -> MaintenanceSplit:
     """Maintenance entries to job rows and detail rows that share the new job id.
 
     `batch`: submitted_seq, done_on, note, worker, worker_pay; `lines`: submitted_seq,
     product, qty (see `item_lines`). A job needs a note, a worker, pay not below zero and at
-    least one line. Job ids follow `submitted_seq`, detail ids job, product and quantity, both without
+    least one line, all of them with a known product if the table is given. Job ids follow `submitted_seq`, detail ids job, product and quantity, both without
     gaps, numbered over ranges of equal row count: a job may have any number of lines.
     """
-    counted = lines.groupBy("submitted_seq").agg(F.count(F.lit(1)).alias("_lines"))
+    counted = (
+        _known(lines, "product", product)
+        .groupBy("submitted_seq")
+        .agg(F.count(F.lit(1)).alias("_lines"), F.count_if(~F.col("_known")).alias("_unknown"))
+    )
     judged = judge(
         batch.join(counted, "submitted_seq", "left"),
         (_any(is_blank, "note", "worker"), "missing field"),
         (_negative("worker_pay"), "negative pay"),
         (F.col("_lines").isNull(), "no material"),
+        (F.col("_unknown") > 0, "unknown product"),
     )
     return MaintenanceSplit(judged.select(*batch.columns, "reason"), lines, max_job_id, max_detail_id)

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+SHEET_MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
+
 
 class Tables:
     """Domain tables over one data folder; every property builds a fresh lazy plan."""
@@ -125,13 +127,16 @@ class Tables:
 
     @property
     def product(self) -> DataFrame:
-        return self.source("part").select(F.col("p_partkey").cast("string").alias("product"))
+        """The parts, and beside every fiftieth one that is neither bought nor used."""
+        key = F.col("p_partkey").cast("string")
+        names = F.when(F.col("p_partkey") % 50 == 0, F.array(key, F.concat(F.lit("spare "), key))).otherwise(F.array(key))
+        return self.source("part").select(F.explode(names).alias("product"))
 
     @property
     def purchase(self) -> DataFrame:
         return (
             self.source("lineitem")
-            .where((F.col("l_returnflag") == "A") & (F.col("l_partkey") % 5 != 0))
+            .where(F.col("l_returnflag") == "A")
             .select(
                 F.col("l_orderkey").alias("purchase_id"),
                 F.col("l_partkey").cast("string").alias("product"),
@@ -147,7 +152,7 @@ class Tables:
     def product_use(self) -> DataFrame:
         return (
             self.source("lineitem")
-            .where((F.col("l_returnflag") == "R") & (F.col("l_partkey") % 3 != 0))
+            .where(F.col("l_returnflag") == "R")
             .select(
                 F.col("l_partkey").cast("string").alias("product"),
                 F.to_date("l_shipdate").alias("used_on"),
@@ -245,47 +250,44 @@ class Tables:
 
     @property
     def wide_payment(self) -> DataFrame:
-        """A quarter sheet with thousands commas, `n/a` cells and missing dates."""
-
-        def latest(column: str, month: int):
-            return F.max(F.when(F.month("order_day") == month, F.col(column)))
-
+        """A sheet of all months with thousands commas, `n/a` cells and missing dates; a customer has as many rows
+        as orders in its busiest month of the year."""
+        month = F.month("order_day")
+        place = Window.partitionBy("o_custkey", month).orderBy("o_orderkey")
+        rows = self.order_usage.withColumn("_row", F.row_number().over(place))
         columns = []
-        for name, month in (("mar", 3), ("apr", 4), ("may", 5), ("jun", 6)):
+        for number, name in enumerate(SHEET_MONTHS, 1):
+            q = F.col("q").cast("int").cast("string")
+            amount = q
+            if name == "mar":
+                amount = (
+                    F.when(F.col("o_custkey") % 23 == 0, "n/a")
+                    .when(F.col("q") > 100, F.concat(F.lit("1,"), q))
+                    .otherwise(q)
+                )
+            day = F.col("order_day").cast("string")
+            if name == "apr":
+                day = F.when(F.col("o_custkey") % 29 != 0, day)
+            # one order a cell
             columns += [
-                latest("q", month).cast("int").alias(f"q_{name}"),
-                latest("o_orderkey", month).cast("string").alias(f"receipt_{name}"),
-                latest("order_day", month).cast("string").alias(f"date_{name}"),
+                F.max(F.when(month == number, value)).alias(f"{kind}_{name}")
+                for kind, value in (("amount", amount), ("receipt", F.col("o_orderkey").cast("string")), ("date", day))
             ]
-        sheet = self.order_usage.groupBy("o_custkey").agg(*columns)
-        number = F.col("q_mar").cast("string")
-        march = (
-            F.when(F.col("o_custkey") % 23 == 0, "n/a")
-            .when(F.col("q_mar") > 100, F.concat(F.lit("1,"), number))
-            .otherwise(number)
-        )
-        return sheet.select(
-            F.col("o_custkey").cast("string").alias("contract_no"),
-            march.alias("amount_mar"),
-            "receipt_mar",
-            "date_mar",
-            *[F.col(f"q_{m}").cast("string").alias(f"amount_{m}") for m in ("apr", "may", "jun")],
-            *[f"receipt_{m}" for m in ("apr", "may", "jun")],
-            F.when(F.col("o_custkey") % 29 != 0, F.col("date_apr")).alias("date_apr"),
-            "date_may",
-            "date_jun",
-        )
+        sheet = rows.groupBy("o_custkey", "_row").agg(*columns)
+        return sheet.select(F.col("o_custkey").cast("string").alias("contract_no"), *sheet.columns[2:])
 
     @property
     def index_sheet(self) -> DataFrame:
-        """One sheet row per contract with its index at each month number, earlier years folded in."""
-        names = ["dec", "jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct"]
-        months = [12, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10]
+        """One sheet row per contract and year with the index of every month; December is that of the year before."""
+        december = F.month("read_on") == 12
+        sheet = F.year("read_on") + F.when(december, 1).otherwise(0)
         cells = [
-            F.max(F.when(F.month("read_on") == m, F.col("index_m3"))).cast("string").alias(n)
-            for n, m in zip(names, months)
+            F.max(F.when(F.month("read_on") == number, F.col("index_m3"))).cast("string").alias(name)
+            for number, name in enumerate(SHEET_MONTHS, 1)
         ]
-        return self.meter_reading.groupBy(F.col("contract_no").alias("contract_raw")).agg(*cells)
+        grouped = self.meter_reading.groupBy(F.col("contract_no").alias("_contract"), sheet.alias("_year")).agg(*cells)
+        contract = F.concat("_contract", F.lit("/"), F.col("_year").cast("string"))
+        return grouped.select(contract.alias("contract_raw"), *SHEET_MONTHS)
 
     @property
     def reading_fixes(self) -> DataFrame:
@@ -368,32 +370,58 @@ class Tables:
 
     @property
     def reading_batch(self) -> DataFrame:
-        """The last two months' readings of every contract (see `older_reading`), with some bad indexes."""
+        """The readings since 2001 of every contract (see `older_reading`), with some bad indexes, and those of
+        every 17th contract again as contract `N..`, which has no reading yet."""
         recent = self.meter_reading.where(F.col("read_on") >= F.lit("2001-01-01").cast("date"))
         key = F.col("contract_no").cast("long")
         months = F.year("read_on") * 12 + F.month("read_on")
-        return recent.select(
+        batch = recent.select(
             (months.cast("long") * 1_000_000_000 + key).alias("submitted_seq"),
             "contract_no",
             F.when((key % 13 == 0) & (F.month("read_on") == 2), F.lit(-1.0)).otherwise(F.col("index_m3")).alias("index_m3"),
             "read_on",
         )
+        again = batch.where(key % 17 == 0).select(
+            (F.col("submitted_seq") + 1_000_000_000_000_000).alias("submitted_seq"),
+            F.concat(F.lit("N"), "contract_no").alias("contract_no"),
+            "index_m3",
+            "read_on",
+        )
+        return batch.unionByName(again)
 
     @property
     def older_reading(self) -> DataFrame:
-        return self.meter_reading.where(
-            (F.col("read_on") < F.lit("2001-01-01").cast("date")) & (F.col("contract_no").cast("long") % 17 != 0)
+        return self.meter_reading.where(F.col("read_on") < F.lit("2001-01-01").cast("date"))
+
+    @property
+    def known_contract(self) -> DataFrame:
+        """The subscribers, and every second of the `N..` contracts of `reading_batch`."""
+        new = self.subscriber.where(F.col("contract_no").cast("long") % 34 == 0)
+        return self.subscriber.select("contract_no").unionByName(
+            new.select(F.concat(F.lit("N"), "contract_no").alias("contract_no"))
         )
 
+    @property
+    def payment_batch(self) -> DataFrame:
+        """The consumption payments with some negative amounts, receipts of which half are in the book, and
+        those of every 23rd receipt again under a contract nobody has."""
+        key = F.col("receipt_no").cast("long")
+        rows = self.consumption_payment
+        amount = F.when(key % 11 == 0, -F.col("amount")).otherwise(F.col("amount"))
+        batch = rows.withColumns({"amount": amount, "receipt_no": (key % 400).cast("string")})
+        lost = rows.where(key % 23 == 0).withColumn("contract_no", F.concat(F.lit("L"), "contract_no"))
+        return batch.unionByName(lost)
+
     @property
     def membership_batch(self) -> DataFrame:
-        """The payments with odd receipts, every third of them doubled."""
+        """The payments with odd receipts and some cents, every third of them doubled."""
         key = F.col("receipt_no").cast("long")
+        amount = F.col("amount") + (key % 100) / 100
         return self.membership_payment.where(key % 2 == 1).select(
             key.alias("submitted_seq"),
             "contract_no",
             F.when(key % 11 != 0, F.col("receipt_no")).alias("receipt_no"),
-            F.when(key % 3 == 0, F.col("amount") * 2).otherwise(F.col("amount")).alias("amount"),
+            F.when(key % 3 == 0, amount * 2).otherwise(amount).alias("amount"),
             "paid_on",
         )
 

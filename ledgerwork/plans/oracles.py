@@ -35,12 +35,13 @@ CTES = {
     "block_reading": """SELECT block_no, read_on,
         SUM(used + 2) OVER (PARTITION BY block_no ORDER BY read_on ROWS UNBOUNDED PRECEDING) index_m3
         FROM (SELECT block_no, read_on, SUM(used) used FROM reading0 r JOIN subscriber s ON s.contract_no = r.contract_no GROUP BY 1, 2) x""",
-    "product": "SELECT CAST(p_partkey AS VARCHAR) product FROM part",
+    "product": """SELECT CAST(p_partkey AS VARCHAR) product FROM part
+        UNION ALL SELECT 'spare ' || p_partkey FROM part WHERE p_partkey % 50 = 0""",
     "purchase": """SELECT l_orderkey purchase_id, CAST(l_partkey AS VARCHAR) product, CAST(l_shipdate AS DATE) bought_on,
         l_quantity qty, ROUND(l_extendedprice) unit_price, CAST(l_orderkey AS VARCHAR) receipt_no,
-        CAST(l_suppkey AS VARCHAR) vendor FROM lineitem WHERE l_returnflag = 'A' AND l_partkey % 5 <> 0""",
+        CAST(l_suppkey AS VARCHAR) vendor FROM lineitem WHERE l_returnflag = 'A'""",
     "product_use": """SELECT CAST(l_partkey AS VARCHAR) product, CAST(l_shipdate AS DATE) used_on, l_quantity qty,
-        'order ' || l_orderkey note FROM lineitem WHERE l_returnflag = 'R' AND l_partkey % 3 <> 0""",
+        'order ' || l_orderkey note FROM lineitem WHERE l_returnflag = 'R'""",
     "supplier_bill": """SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS month, SUM(l_quantity) index_m3,
         SUM(ROUND(l_extendedprice)) amount_due, 'F' || strftime(date_trunc('month', l_shipdate), '%Y%m') invoice_no
         FROM lineitem GROUP BY 1, 4""",
@@ -64,21 +65,9 @@ CTES = {
         FROM (SELECT *, 1 k FROM order_usage UNION ALL SELECT *, 2 FROM order_usage WHERE o_orderpriority = '3-MEDIUM') u""",
     "payment_fixes": """SELECT o_orderkey * 10 + 1 row_no, strftime(o_orderdate, '%Y-%m-%d') settled_raw
         FROM orders WHERE o_orderkey % 43 = 0 AND o_orderpriority = '2-HIGH'""",
-    "wide_payment": """SELECT CAST(o_custkey AS VARCHAR) contract_no,
-        CASE WHEN o_custkey % 23 = 0 THEN 'n/a' WHEN q3 > 100 THEN '1,' || CAST(q3 AS INT) ELSE CAST(CAST(q3 AS INT) AS VARCHAR) END amount_mar,
-        r3 receipt_mar, d3 date_mar, CAST(CAST(q4 AS INT) AS VARCHAR) amount_apr, r4 receipt_apr,
-        CASE WHEN o_custkey % 29 = 0 THEN NULL ELSE d4 END date_apr, CAST(CAST(q5 AS INT) AS VARCHAR) amount_may, r5 receipt_may,
-        d5 date_may, CAST(CAST(q6 AS INT) AS VARCHAR) amount_jun, r6 receipt_jun, d6 date_jun
-        FROM (SELECT o_custkey,
-            MAX(q) FILTER (month(order_day) = 3) q3, CAST(MAX(o_orderkey) FILTER (month(order_day) = 3) AS VARCHAR) r3,
-            MAX(order_day) FILTER (month(order_day) = 3) d3,
-            MAX(q) FILTER (month(order_day) = 4) q4, CAST(MAX(o_orderkey) FILTER (month(order_day) = 4) AS VARCHAR) r4,
-            MAX(order_day) FILTER (month(order_day) = 4) d4,
-            MAX(q) FILTER (month(order_day) = 5) q5, CAST(MAX(o_orderkey) FILTER (month(order_day) = 5) AS VARCHAR) r5,
-            MAX(order_day) FILTER (month(order_day) = 5) d5,
-            MAX(q) FILTER (month(order_day) = 6) q6, CAST(MAX(o_orderkey) FILTER (month(order_day) = 6) AS VARCHAR) r6,
-            MAX(order_day) FILTER (month(order_day) = 6) d6
-            FROM order_usage GROUP BY 1) w""",
+    "wide_payment": """SELECT CAST(o_custkey AS VARCHAR) contract_no, month(order_day) m, CAST(o_orderkey AS VARCHAR) receipt_no,
+        CASE WHEN month(order_day) <> 3 THEN q WHEN o_custkey % 23 = 0 THEN NULL WHEN q > 100 THEN CAST('1' || CAST(q AS INT) AS DOUBLE) ELSE q END amount,
+        CASE WHEN month(order_day) = 4 AND o_custkey % 29 = 0 THEN NULL ELSE order_day END settled_on FROM order_usage""",
     "reading_fixes": """SELECT -1 seq, contract_no, index_m3, CAST(NULL AS DATE) read_on, 0.0e0 prev_index
         FROM meter_reading WHERE prev_index IS NULL
         UNION ALL SELECT o_orderkey, CAST(o_custkey AS VARCHAR), NULL, CAST(date_trunc('month', o_orderdate) AS DATE),
@@ -90,7 +79,15 @@ CTES = {
     "reading_batch": """SELECT (year(read_on) * 12 + month(read_on)) * 1000000000 + CAST(contract_no AS BIGINT) submitted_seq, contract_no,
         CASE WHEN CAST(contract_no AS BIGINT) % 13 = 0 AND month(read_on) = 2 THEN -1.0e0 ELSE index_m3 END index_m3, read_on
         FROM meter_reading WHERE read_on >= DATE '2001-01-01'""",
-    "older_reading": """SELECT * FROM meter_reading WHERE read_on < DATE '2001-01-01' AND CAST(contract_no AS BIGINT) % 17 <> 0""",
+    "all_batch": """SELECT * FROM reading_batch UNION ALL SELECT submitted_seq + 1000000000000000, 'N' || contract_no, index_m3, read_on
+        FROM reading_batch WHERE CAST(contract_no AS BIGINT) % 17 = 0""",
+    "older_reading": """SELECT * FROM meter_reading WHERE read_on < DATE '2001-01-01'""",
+    "known_contract": """SELECT contract_no FROM subscriber UNION ALL SELECT 'N' || contract_no FROM subscriber WHERE CAST(contract_no AS BIGINT) % 34 = 0""",
+    "payment_batch": """SELECT contract_no, CAST(CAST(receipt_no AS BIGINT) % 400 AS VARCHAR) receipt_no,
+        CASE WHEN CAST(receipt_no AS BIGINT) % 11 = 0 THEN -amount ELSE amount END amount, due_on, settled_on FROM consumption_payment
+        UNION ALL SELECT 'L' || contract_no, receipt_no, amount, due_on, settled_on FROM consumption_payment WHERE CAST(receipt_no AS BIGINT) % 23 = 0""",
+    "listed_purchase": """SELECT * REPLACE (CASE WHEN purchase_id % 13 = 0 THEN 'odd ' || product ELSE product END AS product) FROM purchase""",
+    "unlisted_jobs": "SELECT DISTINCT job_id FROM maintenance_detail WHERE product IN ('7', '77')",
     "bills": """SELECT contract_no, strftime(read_on, '%Y-%m') AS month, read_on, index_m3, index_m3 - prev_index qty_m3,
         (index_m3 - prev_index) * 7 base_amount, mgmt_fee, loss_fee, (index_m3 - prev_index) * 7 + mgmt_fee + loss_fee total FROM meter_reading""",
     "dated": """SELECT contract_no, strftime(due_on, '%Y-%m') AS month, settled_on, receipt_no, amount FROM consumption_payment WHERE settled_on IS NOT NULL""",
@@ -127,27 +124,27 @@ CTES = {
         last_value(TRY_CAST(due_raw AS DATE) IGNORE NULLS) OVER (ORDER BY row_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) filled,
         TRY_CAST(settled_fixed AS DATE) settled_on FROM (
             SELECT r.*, CASE WHEN f.row_no IS NOT NULL THEN f.settled_raw ELSE r.settled_raw END settled_fixed
-            FROM (SELECT *, row_number() OVER (ORDER BY row_no) place FROM raw_payment) r LEFT JOIN payment_fixes f ON f.row_no = r.row_no
-            WHERE place > 12 AND contract_raw NOT LIKE 'Total%' AND amount IS NOT NULL AND amount <> 0) x""",
-    "seen": """SELECT b.*, l.last_on, l.last_index FROM reading_batch b LEFT JOIN (
+            FROM raw_payment r LEFT JOIN payment_fixes f ON f.row_no = r.row_no
+            WHERE contract_raw NOT LIKE 'Total%' AND amount IS NOT NULL AND amount <> 0) x""",
+    "seen": """SELECT b.*, l.last_on, l.last_index FROM all_batch b LEFT JOIN (
         SELECT contract_no, MAX(read_on) last_on, arg_max(index_m3, read_on) last_index FROM older_reading GROUP BY 1) l ON l.contract_no = b.contract_no""",
     "membership_batch": """SELECT CAST(receipt_no AS BIGINT) submitted_seq, contract_no,
         CASE WHEN CAST(receipt_no AS BIGINT) % 11 = 0 THEN NULL ELSE receipt_no END receipt_no,
         CASE WHEN CAST(receipt_no AS BIGINT) % 3 = 0 THEN amount * 2 ELSE amount END amount, paid_on
-        FROM membership_payment WHERE CAST(receipt_no AS BIGINT) % 2 = 1""",
+        FROM (SELECT * REPLACE (amount + (CAST(receipt_no AS BIGINT) % 100) / 100.0e0 AS amount) FROM membership_payment) p WHERE CAST(receipt_no AS BIGINT) % 2 = 1""",
     "opening": """SELECT s.contract_no, COALESCE(s.joining_fee - SUM(m.amount), s.joining_fee) credit
         FROM subscriber s LEFT JOIN (SELECT * FROM membership_payment WHERE CAST(receipt_no AS BIGINT) % 2 = 0) m ON m.contract_no = s.contract_no
         GROUP BY s.contract_no, s.joining_fee""",
-    "candidates": """SELECT b.*, o.credit, row_number() OVER (PARTITION BY b.contract_no ORDER BY submitted_seq) place
+    "candidates": """SELECT b.* REPLACE (CAST(ROUND(b.amount, 2) AS DECIMAL(18, 2)) AS amount), CAST(o.credit AS DECIMAL(18, 2)) credit, row_number() OVER (PARTITION BY b.contract_no ORDER BY submitted_seq) place
         FROM membership_batch b JOIN opening o ON o.contract_no = b.contract_no WHERE b.receipt_no IS NOT NULL AND o.credit IS NOT NULL""",
     "walk": """SELECT contract_no, place, submitted_seq, amount <= credit taken, CASE WHEN amount <= credit THEN credit - amount ELSE credit END remains
         FROM candidates WHERE place = 1
         UNION ALL SELECT c.contract_no, c.place, c.submitted_seq, c.amount <= w.remains, CASE WHEN c.amount <= w.remains THEN w.remains - c.amount ELSE w.remains END
         FROM walk w JOIN candidates c ON c.contract_no = w.contract_no AND c.place = w.place + 1""",
     "checked_readings": """SELECT s.submitted_seq, s.contract_no, s.index_m3, s.read_on,
-        COALESCE((SELECT arg_max(e.index_m3, e.read_on) FROM reading_batch e WHERE e.contract_no = s.contract_no AND e.submitted_seq < s.submitted_seq
+        COALESCE((SELECT arg_max(e.index_m3, e.read_on) FROM all_batch e WHERE e.contract_no = s.contract_no AND e.submitted_seq < s.submitted_seq
             AND e.index_m3 >= 0 AND s.last_on IS NOT NULL AND e.read_on >= s.last_on), s.last_index) prev_index, 10.0e0 mgmt_fee, 5.0e0 loss_fee,
-        CASE WHEN s.index_m3 < 0 THEN 'negative index' WHEN s.last_on IS NULL THEN 'no earlier reading' END reason FROM seen s""",
+        CASE WHEN s.contract_no NOT IN (SELECT contract_no FROM known_contract) THEN 'unknown contract' WHEN s.index_m3 < 0 THEN 'negative index' WHEN s.last_on IS NULL THEN 'no earlier reading' END reason FROM seen s""",
     "new_subscribers": """SELECT c_custkey + again * 1000000000 submitted_seq, CAST(c_custkey AS VARCHAR) contract_no, CAST(c_nationkey AS VARCHAR) block_no,
         CASE WHEN c_custkey % 37 = 0 THEN '' ELSE c_name END AS name, ROUND(c_acctbal) joining_fee,
         CASE WHEN c_custkey % 37 = 0 OR c_name = '' THEN 'missing field' WHEN ROUND(c_acctbal) < 0 THEN 'negative fee'
@@ -247,10 +244,11 @@ QUERIES = {
             FROM (SELECT contract_no, MIN(month) AS month, SUM(remaining) total FROM unpaid GROUP BY 1) f) r
         JOIN credit c ON c.contract_no = r.contract_no""",
     "import_subscribers": "SELECT contract_no, name, joining_fee FROM subscriber",
-    "import_index_sheet": """WITH cells AS (SELECT c.contract_no, m.k, m.day, COALESCE(MAX(r.index_m3), 0) index_m3
-            FROM (SELECT DISTINCT contract_no FROM meter_reading) c
-            JOIN (SELECT k, CAST(DATE '2023-12-01' + to_months(k) AS DATE) AS day FROM (SELECT unnest(range(0, 11)) k) n) m ON true
-            LEFT JOIN meter_reading r ON r.contract_no = c.contract_no AND month(r.read_on) = month(m.day) GROUP BY 1, 2, 3)
+    "import_index_sheet": """WITH sheet AS (SELECT contract_no, read_on, index_m3, year(read_on) + CASE WHEN month(read_on) = 12 THEN 1 ELSE 0 END y FROM meter_reading),
+        cells AS (SELECT c.contract_no || '/' || c.y contract_no, m.k, m.day, COALESCE(MAX(r.index_m3), 0) index_m3
+            FROM (SELECT DISTINCT contract_no, y FROM sheet) c
+            JOIN (SELECT k, CAST(DATE '2023-12-01' + to_months(k) AS DATE) AS day FROM (SELECT unnest(range(0, 12)) k) n) m ON true
+            LEFT JOIN sheet r ON r.contract_no = c.contract_no AND r.y = c.y AND month(r.read_on) = month(m.day) GROUP BY 1, 2, 3)
         SELECT contract_no, day read_on, index_m3, LAG(index_m3) OVER (PARTITION BY contract_no ORDER BY k) prev_index,
         CASE WHEN k < 3 THEN 0.0e0 ELSE 10.0e0 END mgmt_fee, CASE WHEN k < 7 THEN 0.0e0 ELSE 5.0e0 END loss_fee FROM cells""",
     "backfill_prev_index": """SELECT contract_no, read_on, index_m3, (SELECT p.index_m3 FROM meter_reading p WHERE p.contract_no = r.contract_no
@@ -264,12 +262,12 @@ QUERIES = {
         FROM raw_payment""",
     "forward_fill_by_contract": """SELECT row_no, contract_raw, last_value(CAST(due_raw AS DATE) IGNORE NULLS) OVER (PARTITION BY contract_raw ORDER BY row_no
         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) due_on FROM raw_payment""",
-    "import_wide_payments": " UNION ALL ".join(
-        f"""SELECT contract_no, receipt_{m} receipt_no, TRY_CAST(replace(amount_{m}, ',', '') AS DOUBLE) amount, DATE '2024-0{k}-01' due_on,
-        CAST(date_{m} AS DATE) settled_on, 10.0e0 mgmt_fee, 0.0e0 loss_fee FROM wide_payment
-        WHERE TRY_CAST(replace(amount_{m}, ',', '') AS DOUBLE) IS NOT NULL AND receipt_{m} IS NOT NULL AND date_{m} IS NOT NULL"""
-        for k, m in ((3, "mar"), (4, "apr"), (5, "may"), (6, "jun"))
-    ),
+    "import_wide_payments": """SELECT contract_no, receipt_no, amount, CAST(make_date(2024, m, 1) AS DATE) due_on, settled_on,
+        10.0e0 mgmt_fee, 0.0e0 loss_fee FROM wide_payment WHERE amount IS NOT NULL AND settled_on IS NOT NULL""",
+    "payment_sheet_files": """SELECT row_number() OVER (ORDER BY row_no) - 1 row_no, contract_raw, due_raw, settled_raw, receipt_raw, amount FROM raw_payment""",
+    "table_round_trip": """SELECT contract_no, COUNT(*) n_readings, SUM(index_m3) index_sum, MAX(read_on) last_read_on FROM (
+        SELECT contract_no, read_on, CASE WHEN year(read_on) = 1997 THEN index_m3 + 1 ELSE index_m3 END index_m3 FROM meter_reading
+        UNION ALL SELECT 'X' || contract_no, read_on, index_m3 FROM meter_reading WHERE year(read_on) >= 1999) x GROUP BY 1""",
     "import_membership_office": OFFICE,
     "import_membership_collector": COLLECTOR,
     "import_membership_previous": PREVIOUS,
@@ -300,27 +298,32 @@ QUERIES = {
     "check_membership_payments": """SELECT b.submitted_seq, b.contract_no, b.receipt_no, b.amount, b.paid_on,
         CASE WHEN b.receipt_no IS NULL THEN 'missing field' WHEN o.credit IS NULL THEN 'no credit known' WHEN NOT w.taken THEN 'amount exceeds credit' END reason
         FROM membership_batch b LEFT JOIN opening o ON o.contract_no = b.contract_no LEFT JOIN walk w ON w.submitted_seq = b.submitted_seq""",
-    "check_consumption_payments": """SELECT contract_no, receipt_no, CASE WHEN CAST(receipt_no AS BIGINT) % 11 = 0 THEN -amount ELSE amount END amount, due_on, settled_on,
-        mgmt_fee, loss_fee, CASE WHEN CAST(receipt_no AS BIGINT) % 11 = 0 THEN 'negative amount' END reason FROM consumption_payment""",
+    "check_consumption_payments": """SELECT contract_no, receipt_no, amount, due_on, settled_on, 10.0e0 mgmt_fee, 5.0e0 loss_fee,
+        CASE WHEN contract_no NOT IN (SELECT contract_no FROM subscriber) THEN 'unknown contract' WHEN amount < 0 THEN 'negative amount'
+            WHEN CAST(receipt_no AS BIGINT) NOT BETWEEN 1 AND 200 THEN 'receipt out of range' END reason FROM payment_batch""",
     "check_block_readings": """SELECT block_no, read_on, index_m3, CASE WHEN CAST(block_no AS INT) NOT BETWEEN 1 AND 15 THEN 'unknown block' END reason FROM block_reading""",
     "check_purchases": """SELECT product, bought_on, CASE WHEN purchase_id % 7 = 0 THEN 0.0e0 ELSE qty END qty, unit_price, receipt_no,
         CASE WHEN purchase_id % 9 = 0 THEN '' ELSE vendor END vendor, CASE WHEN purchase_id % 7 = 0 THEN 0.0e0 ELSE qty * unit_price END amount,
-        CASE WHEN purchase_id % 7 = 0 OR purchase_id % 9 = 0 OR unit_price = 0 THEN 'missing field' END reason FROM purchase""",
-    "check_uses": """SELECT product, used_on, CASE WHEN CAST(product AS BIGINT) % 7 = 0 THEN 0.0e0 ELSE qty END qty,
-        CASE WHEN CAST(product AS BIGINT) % 11 = 0 THEN '' ELSE note END note,
-        CASE WHEN CAST(product AS BIGINT) % 7 = 0 OR CAST(product AS BIGINT) % 11 = 0 THEN 'missing field' END reason FROM product_use""",
+        CASE WHEN purchase_id % 7 = 0 OR purchase_id % 9 = 0 OR unit_price = 0 THEN 'missing field'
+            WHEN product NOT IN (SELECT product FROM product) THEN 'unknown product' END reason FROM listed_purchase""",
+    "check_uses": """SELECT CASE WHEN CAST(product AS BIGINT) % 13 = 0 THEN 'odd ' || product ELSE product END product, used_on,
+        CASE WHEN CAST(product AS BIGINT) % 7 = 0 THEN 0.0e0 ELSE qty END qty, CASE WHEN CAST(product AS BIGINT) % 11 = 0 THEN '' ELSE note END note,
+        CASE WHEN CAST(product AS BIGINT) % 7 = 0 OR CAST(product AS BIGINT) % 11 = 0 THEN 'missing field'
+            WHEN CAST(product AS BIGINT) % 13 = 0 THEN 'unknown product' END reason FROM product_use""",
     "split_maintenance_jobs": """SELECT 1000 + row_number() OVER (ORDER BY job_id) job_id, done_on, note, worker, worker_pay FROM maintenance m
-        WHERE EXISTS (SELECT 1 FROM maintenance_detail d WHERE d.job_id = m.job_id)""",
+        WHERE EXISTS (SELECT 1 FROM maintenance_detail d WHERE d.job_id = m.job_id) AND job_id NOT IN (SELECT job_id FROM unlisted_jobs)""",
     "split_maintenance_items": """SELECT 5000 + row_number() OVER (ORDER BY d.job_id, d.product, d.qty) detail_id, j.new_id job_id, d.product, d.qty FROM maintenance_detail d JOIN (
         SELECT job_id, 1000 + row_number() OVER (ORDER BY job_id) new_id FROM maintenance m
-        WHERE EXISTS (SELECT 1 FROM maintenance_detail x WHERE x.job_id = m.job_id)) j ON j.job_id = d.job_id""",
-    "split_maintenance_rejected": """SELECT job_id submitted_seq, done_on, note, worker, worker_pay, 'no material' reason FROM maintenance m
-        WHERE NOT EXISTS (SELECT 1 FROM maintenance_detail d WHERE d.job_id = m.job_id)""",
+        WHERE EXISTS (SELECT 1 FROM maintenance_detail x WHERE x.job_id = m.job_id) AND job_id NOT IN (SELECT job_id FROM unlisted_jobs)) j ON j.job_id = d.job_id""",
+    "split_maintenance_rejected": """SELECT job_id submitted_seq, done_on, note, worker, worker_pay,
+        CASE WHEN job_id IN (SELECT job_id FROM unlisted_jobs) THEN 'unknown product' ELSE 'no material' END reason FROM maintenance m
+        WHERE NOT EXISTS (SELECT 1 FROM maintenance_detail d WHERE d.job_id = m.job_id) OR job_id IN (SELECT job_id FROM unlisted_jobs)""",
     "check_supplier_bills": """SELECT month, index_m3, CASE WHEN month(month) % 5 = 0 THEN 0.0e0 ELSE amount_due END amount_due, invoice_no,
         CASE WHEN month(month) % 5 = 0 OR amount_due = 0 THEN 'missing field' END reason FROM supplier_bill""",
     "check_supplier_payments": """SELECT month, amount, CASE WHEN month(month) % 7 = 0 THEN '' ELSE receipt_no END receipt_no, paid_on,
         CASE WHEN month(month) % 7 = 0 OR amount = 0 THEN 'missing field' END reason FROM supplier_payment""",
 }
+QUERIES["invoice_files"] = QUERIES["invoices"]
 
 
 def sql(name: str) -> str:

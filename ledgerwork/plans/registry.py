@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerwork.functions import allowed
 from ledgerwork.functions.fill import forward_fill
+from ledgerwork.functions.shared import use_checkpoint_folder
+from ledgerwork.functions.text import to_number
 from ledgerwork.operators import analytics, blocks, cash, checks, imports, invoices, ledger, maintenance, members, readings, stock, supplier
-from ledgerwork.plans.mapping import Tables
+from ledgerwork.plans.mapping import SHEET_MONTHS, Tables
+from ledgerwork.sources import sheets, tables
 
 Job = Callable[[Tables], DataFrame]
 
@@ -77,8 +82,8 @@ def _check_membership_payments(t: Tables) -> DataFrame:
 
 
 def _check_consumption_payments(t: Tables) -> DataFrame:
-    amount = F.when(F.col("receipt_no").cast("long") % 11 == 0, -F.col("amount")).otherwise(F.col("amount"))
-    return checks.check_consumption_payments(t.consumption_payment.withColumn("amount", amount)).judged
+    receipts = allowed.intervals(t.spark)
+    return checks.check_consumption_payments(t.payment_batch, t.subscriber, receipts).judged
 
 
 def _check_purchases(t: Tables) -> DataFrame:
@@ -86,7 +91,9 @@ def _check_purchases(t: Tables) -> DataFrame:
     batch = t.purchase.withColumn("qty", F.when(key % 7 == 0, 0.0).otherwise(F.col("qty"))).withColumn(
         "vendor", F.when(key % 9 == 0, "").otherwise(F.col("vendor"))
     )
-    return checks.check_purchases(batch.drop("purchase_id")).judged
+    # every 13th purchase names a product that is not on the list
+    name = F.when(key % 13 == 0, F.concat(F.lit("odd "), "product")).otherwise(F.col("product"))
+    return checks.check_purchases(batch.withColumn("product", name).drop("purchase_id"), t.product).judged
 
 
 def _check_uses(t: Tables) -> DataFrame:
@@ -94,13 +101,15 @@ def _check_uses(t: Tables) -> DataFrame:
     batch = t.product_use.withColumn("qty", F.when(key % 7 == 0, 0.0).otherwise(F.col("qty"))).withColumn(
         "note", F.when(key % 11 == 0, "").otherwise(F.col("note"))
     )
-    return checks.check_uses(batch).judged
+    name = F.when(key % 13 == 0, F.concat(F.lit("odd "), "product")).otherwise(F.col("product"))
+    return checks.check_uses(batch.withColumn("product", name), t.product).judged
 
 
 def _split_maintenance(t: Tables) -> checks.MaintenanceSplit:
     batch = t.maintenance.withColumnRenamed("job_id", "submitted_seq")
     lines = t.maintenance_detail.withColumnRenamed("job_id", "submitted_seq")
-    return checks.split_maintenance(batch, lines, max_job_id=1000, max_detail_id=5000)
+    product = t.product.where(~F.col("product").isin("7", "77"))
+    return checks.split_maintenance(batch, lines, max_job_id=1000, max_detail_id=5000, product=product)
 
 
 def _check_supplier_bills(t: Tables) -> DataFrame:
@@ -127,6 +136,43 @@ def _filled(t: Tables, *partition: str) -> DataFrame:
     return forward_fill(sheet, "due_on", "row_no", partition)
 
 
+def _folder(t: Tables, name: str) -> str:
+    return f"{use_checkpoint_folder(t.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _payment_sheet_files(t: Tables) -> DataFrame:
+    """The payment sheet as several CSV files with the source's headers, read as one sheet."""
+    folder = _folder(t, "sheet")
+    headers = {staged: header for header, staged in sheets.SHEETS["payments"].items()}
+    ordered = t.raw_payment.repartitionByRange(4, "row_no").sortWithinPartitions("row_no")
+    ordered.select(*[F.col(c).alias(h) for c, h in headers.items()]).write.option("header", True).option("escape", '"').csv(folder)
+    sheet = sheets.read_sheet(t.spark, folder, "payments")
+    texts = ("row_no", "contract_raw", "due_raw", "settled_raw", "receipt_raw")
+    return sheet.select(*texts, to_number(F.col("amount_raw")).alias("amount"))
+
+
+def _table_round_trip(t: Tables) -> DataFrame:
+    """Last readings of a table by months: load, append copies, delete the older ones, load one year anew."""
+    folder, year = _folder(t, "meter_reading"), F.year("read_on")
+    copies = t.meter_reading.withColumn("contract_no", F.concat(F.lit("X"), "contract_no"))
+    tables.load_months(t.meter_reading, folder, "meter_reading", "read_on")
+    tables.append_months(copies, folder, "meter_reading", "read_on")
+    tables.delete_rows(t.spark, folder, "meter_reading", F.col("contract_no").startswith("X") & (year < 1999))
+    corrected = t.meter_reading.where(year == 1997).withColumn("index_m3", F.col("index_m3") + 1)
+    tables.load_months(corrected, folder, "meter_reading", "read_on")
+    stored = tables.load_table(t.spark, folder, "meter_reading")
+    return stored.groupBy("contract_no").agg(
+        F.count(F.lit(1)).alias("n_readings"), F.sum("index_m3").alias("index_sum"), F.max("read_on").alias("last_read_on")
+    )
+
+
+def _invoice_files(t: Tables) -> DataFrame:
+    """The invoices as written, a folder for each month."""
+    folder = _folder(t, "invoices")
+    tables.write_invoices(_invoices(t), folder)
+    return t.spark.read.parquet(folder).withColumn("month", F.col("month").cast("string"))
+
+
 JOBS: dict[str, Job] = {
     "bills": lambda t: ledger.bills(t.meter_reading),
     "dated_payments": lambda t: ledger.dated_payments(t.consumption_payment),
@@ -172,13 +218,18 @@ JOBS: dict[str, Job] = {
     "contracts": lambda t: analytics.contracts(t.meter_reading),
     "invoices": _invoices,
     "import_subscribers": lambda t: imports.import_subscribers(t.raw_subscriber),
-    "import_index_sheet": lambda t: imports.import_index_sheet(t.index_sheet),
+    "import_index_sheet": lambda t: imports.import_index_sheet(t.index_sheet, [*imports.INDEX_MONTHS, ("nov", "2024-11-01")]),
     "backfill_prev_index": lambda t: readings.backfill_prev_index(t.meter_reading),
     "apply_corrections": lambda t: readings.apply_corrections(t.meter_reading, t.reading_fixes),
-    "clean_payments": lambda t: imports.clean_payments(t.raw_payment, t.payment_fixes, imports.SKIP_ROWS).accepted,
+    "clean_payments": lambda t: imports.clean_payments(t.raw_payment, t.payment_fixes).accepted,
     "forward_fill": lambda t: _filled(t),
     "forward_fill_by_contract": lambda t: _filled(t, "contract_raw"),
-    "import_wide_payments": lambda t: imports.import_wide_payments(t.wide_payment),
+    "import_wide_payments": lambda t: imports.import_wide_payments(
+        t.wide_payment, [(f"2024-{number:02d}-01", name) for number, name in enumerate(SHEET_MONTHS, 1)]
+    ),
+    "payment_sheet_files": _payment_sheet_files,
+    "table_round_trip": _table_round_trip,
+    "invoice_files": _invoice_files,
     "import_membership_office": _office,
     "import_membership_collector": _collector,
     "import_membership_previous": lambda t: imports.import_membership_previous(t.raw_previous),
@@ -191,7 +242,7 @@ JOBS: dict[str, Job] = {
     .withColumn("amount", F.col("amount_raw").cast("double"))
     .drop("amount_raw"),
     "check_subscribers": _check_subscribers,
-    "check_readings": lambda t: checks.check_readings(t.reading_batch, t.older_reading).judged,
+    "check_readings": lambda t: checks.check_readings(t.reading_batch, t.older_reading, t.known_contract).judged,
     "check_membership_payments": _check_membership_payments,
     "check_consumption_payments": _check_consumption_payments,
     "check_block_readings": lambda t: checks.check_block_readings(t.block_reading).judged,

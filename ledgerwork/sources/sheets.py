@@ -1,6 +1,6 @@
 """Spreadsheet exports: CSV read as text, with the headers mapped to staging names.
 
-Spark has no spreadsheet source; each sheet is exported to one CSV file first.
+Spark has no spreadsheet source; each sheet is exported to one or more CSV files first.
 """
 
 from __future__ import annotations
@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerwork.functions.ranges import in_ranges, numbered
+
 # The headers of the source sheets and the staging names used here.
 # Columns that are not listed are dropped.
 SHEETS = {
@@ -66,16 +68,17 @@ SHEETS = {
 def read_sheet(spark: SparkSession, path: str, sheet: str) -> DataFrame:
     """All-text staging frame of one sheet plus `row_no`, which grows in file order.
 
-    `row_no` is the byte offset of the file split plus the row's place in its task: unique
-    and ordered for one file, without a sort or a pass over the data, and not gap-free. More
-    than one file is refused: its rows have no common order.
+    Of one file, `row_no` is the byte offset of the file split plus the row's place in its task: unique
+    and ordered, without a sort or a pass over the data, and not gap-free. Several files (a folder or a
+    pattern) are one sheet in the order of their paths; its rows are numbered 0, 1, ... by path, split and
+    place, over ranges of equal row count.
     """
     names = SHEETS[sheet]
     raw = spark.read.option("header", True).option("escape", '"').csv(path)
-    if len(raw.inputFiles()) > 1:
-        raise ValueError("a sheet is one file; read each file on its own")
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    return raw.select(
-        (F.col("_metadata.file_block_start") + place).alias("row_no"),
-        *[F.col(f"`{header}`").alias(name) for header, name in names.items()],
-    )
+    columns = [F.col(f"`{header}`").alias(name) for header, name in names.items()]
+    start = F.col("_metadata.file_block_start")
+    if len(raw.inputFiles()) == 1:
+        return raw.select((start + place).alias("row_no"), *columns)
+    placed = raw.select(F.col("_metadata.file_path").alias("_path"), start.alias("_start"), place.alias("_at"), *columns)
+    return numbered(in_ranges(placed, ["_path", "_start", "_at"]), 0, "row_no").select("row_no", *names.values())
