@@ -13,10 +13,9 @@ pairs it links how often. Blocks are written once. The pairs, one row a block an
 corpus by a shuffle; the counts a block needs come back to it as one row, so the corpus-wide table of pairs is
 never in one place, and a pair that all documents have is one row a block.
 
-Words. Neither tokenizer merges across the boundary between a character and the white space behind it, so both
-encode stretches of white space and characters on their own, and a worker remembers those it has met. Texts with
-white space that pieces hold (found when the vocabulary is loaded), or with the control characters 1C to 1F, on
-which the two definitions of white space differ, are encoded whole.
+Encoding. The first tokenizer's vocabulary is run as ranks, merging the adjacent pair whose union has the least
+id. That gives the ids of its list of merges: each entry is the union of what the merges before it make of its own
+bytes, so a pair whose union is an entry, with no lower merge left, is that entry's pair.
 
 Defined cases: null and empty texts, and texts whose tokens do not give the bytes back, have zeros and an empty digest;
 null ids stay null; rows are aligned each, repeated ids too; a very long text is a block of its own; other
@@ -26,15 +25,13 @@ columns are not read; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
-import os
-import re
-from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -42,11 +39,9 @@ from tokenizers import Tokenizer
 from ledgerwork.llm import runtime
 
 #: Bytes of text of a block, or one document.
-BLOCK = 2 << 20
+BLOCK = 512 << 10
 #: Tokens of the first tokenizer that a lane passes at most.
 STRETCH = 256
-#: Stretches of a text that a worker remembers, none longer than LONGEST; beyond it, it forgets all.
-WORDS, LONGEST = 300_000, 100
 
 BLOCKS = (
     "doc_ids array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, digests array<string>, "
@@ -56,11 +51,7 @@ DOCUMENTS = (
     "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 )
 
-_STRETCH = re.compile(r"\s*\S+|\s+")
-_AMBIGUOUS = "\x1c\x1d\x1e\x1f"
 _MARK = "▁"
-#: Ids of both tokenizers as little-endian 32-bit integers.
-Ids = tuple[bytes, bytes]
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -74,69 +65,34 @@ def _byte_of_char() -> dict[str, int]:
 class Pair:
     """Two tokenizers: byte-level `a` on a space and the text, `b`, which adds the space, on the text."""
 
-    def __init__(self, path_a: str, path_b: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks in parallel
-        self.a = Tokenizer.from_file(path_a)
-        self.a.encode_special_tokens = True
-        self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
+    def __init__(self, path_a: str, path_b: str, pattern: str) -> None:
         chars = _byte_of_char()
-        vocabulary = self.a.get_vocab()
-        self.bytes_a = [b""] * (max(vocabulary.values()) + 1)
-        for token, k in vocabulary.items():
-            # a special token may hold characters that stand for no byte; it is never emitted
-            self.bytes_a[k] = bytes(chars[c] for c in token) if all(c in chars for c in token) else b""
+        listed = Tokenizer.from_file(path_a)
+        special = {token.content for token in listed.get_added_tokens_decoder().values()}
+        vocabulary = listed.get_vocab(with_added_tokens=False)
+        ranks = {bytes(chars[c] for c in token): k for token, k in vocabulary.items() if token not in special}
+        self.a = tiktoken.Encoding("a", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
+        self.bytes_a = [b""] * (max(ranks.values()) + 1)
+        for token, k in ranks.items():
+            self.bytes_a[k] = token
         pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         self.bytes_b = [
             bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace(_MARK, " ").encode() for k, p in enumerate(pieces)
         ]
         self.size_a = np.array([len(x) for x in self.bytes_a])
         self.size_b = np.array([len(x) for x in self.bytes_b])
-        inner = {c for p in pieces for c in p if c.isspace()}
-        if any(re.search(f"[^{_MARK}]{_MARK}", p) for p in pieces):
-            inner.add(" ")
-        #: texts with one of these are not cut into stretches
-        self.whole = re.compile(f"[{re.escape(''.join(sorted(inner)))}{_AMBIGUOUS}]")
-        self.mark = self.b.piece_to_id(_MARK)
-        self.known: dict[str, Ids | None] = {}
-
-    def _checked(self, text: str, a: list[int], b: list[int]) -> Ids | None:
-        """The ids if both give the bytes of the text."""
-        data = text.encode()
-        same = b"".join([self.bytes_a[k] for k in a]) == data and b"".join([self.bytes_b[k] for k in b]) == data
-        return (array("i", a).tobytes(), array("i", b).tobytes()) if same else None
-
-    def _encode(self, texts: list[str]) -> list[Ids | None]:
-        """Ids of texts that start anywhere in a document; `b` puts a mark before each, in place of a leading space."""
-        found_a = [e.ids for e in self.a.encode_batch(texts, add_special_tokens=False)]
-        found_b = self.b.encode([t[1:] if t[0] == " " else t for t in texts], num_threads=1)
-        out = []
-        for text, a, b in zip(texts, found_a, found_b, strict=True):
-            if text == " ":
-                b = [self.mark]  # nothing is put before an empty text
-            elif text[0] != " ":
-                b = b[1:] if b[0] == self.mark else []
-            out.append(self._checked(text, a, b))
-        return out
-
-    def ids(self, texts: list[str | None]) -> list[Ids | None]:
-        """Ids of a space and each text, None for texts without tokens."""
-        split = [
-            [] if not t else [f" {t}"] if self.whole.search(t) else _STRETCH.findall(f" {t}") for t in texts
-        ]
-        known = self.known
-        new = list({s for stretches in split for s in stretches if s not in known})
-        here = dict(zip(new, self._encode(new), strict=True)) if new else {}
-        out = []
-        for stretches in split:
-            found = [known[s] if s in known else here[s] for s in stretches]
-            if not found or None in found:
-                out.append(None)
-            else:
-                out.append((b"".join([a for a, _ in found]), b"".join([b for _, b in found])))
-        if len(known) > WORDS:
-            known.clear()
-        known.update((s, x) for s, x in here.items() if len(s) <= LONGEST)
-        return out
+
+    def ids(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a space and the text; none if they do not give its bytes."""
+        none = np.empty(0, np.int64)
+        if not text:
+            return none, none
+        a, b = self.a.encode_ordinary(f" {text}"), self.b.encode(text, num_threads=1)
+        data = f" {text}".encode()
+        if b"".join([self.bytes_a[k] for k in a]) != data or b"".join([self.bytes_b[k] for k in b]) != data:
+            return none, none
+        return np.array(a, np.int64), np.array(b, np.int64)
 
 
 def lockstep(
@@ -188,9 +144,9 @@ class Block:
     """The documents of one block, aligned."""
 
     def __init__(self, pair: Pair, digits: tuple[np.ndarray, np.ndarray], texts: list[str | None]) -> None:
-        ids = [x or (b"", b"") for x in pair.ids(texts)]
-        self.n_a, self.n_b = (np.array([len(x[k]) // 4 for x in ids], np.int64) for k in (0, 1))
-        self.a, self.b = (np.frombuffer(b"".join([x[k] for x in ids]), "<i4").astype(np.int64) for k in (0, 1))
+        ids = [pair.ids(text) for text in texts]
+        self.n_a, self.n_b = (np.array([len(x[k]) for x in ids], np.int64) for k in (0, 1))
+        self.a, self.b = (np.concatenate([x[k] for x in ids]) for k in (0, 1))
         self.starts_a = np.concatenate(([0], np.cumsum(self.n_a)))
         self.starts_b = np.concatenate(([0], np.cumsum(self.n_b)))
         ends = [
@@ -237,14 +193,14 @@ class Block:
 
 
 @lru_cache(1)
-def _pair(path_a: str, path_b: str) -> tuple[Pair, tuple[np.ndarray, np.ndarray]]:
-    pair = Pair(path_a, path_b)
+def _pair(path_a: str, path_b: str, pattern: str) -> tuple[Pair, tuple[np.ndarray, np.ndarray]]:
+    pair = Pair(path_a, path_b, pattern)
     return pair, _digits(max(len(pair.bytes_a), len(pair.bytes_b)))
 
 
-def _aligner(path_a: str, path_b: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _aligner(path_a: str, path_b: str, pattern: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair, digits = _pair(path_a, path_b)
+        pair, digits = _pair(path_a, path_b, pattern)
         for batch in runtime.slices(batches, "text", BLOCK):
             block = Block(pair, digits, batch.column("text").to_pylist())
             values = [block.n_a, block.n_b, block.n_groups, block.digests, *block.pairs()]
@@ -256,10 +212,12 @@ def _aligner(path_a: str, path_b: str) -> Callable[[Iterator[pa.RecordBatch]], I
     return align
 
 
-def blocks(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """`docs` (doc_id, text) -> one row a block, written to the shared folder."""
+def blocks(docs: DataFrame, path_a: str, path_b: str, pattern: str) -> DataFrame:
+    """`docs` (doc_id, text) -> one row a block, written to the shared folder.
+
+    `pattern` splits texts for the first tokenizer."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    aligned = texts.mapInArrow(_aligner(path_a, path_b), BLOCKS)
+    aligned = texts.mapInArrow(_aligner(path_a, path_b, pattern), BLOCKS)
     return runtime.keep(aligned.withColumn("block", F.monotonically_increasing_id()))
 
 
@@ -311,11 +269,11 @@ def _weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
+def align(docs: DataFrame, path_a: str, path_b: str, pattern: str) -> DataFrame:
     """`docs` (doc_id, text) -> doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256.
 
     Two tokens end together only where both end, so every group has one link."""
-    aligned = blocks(docs, path_a, path_b)
+    aligned = blocks(docs, path_a, path_b, pattern)
     known = _pairs(aligned).join(dictionary(aligned), ["a", "b"]).select("block", "at", "count", "best")
     # as many entries as a block has distinct pairs
     per_block = known.groupBy("block").agg(F.collect_list(F.struct("at", "count", "best")).alias("_known")).select(

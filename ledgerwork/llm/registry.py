@@ -77,7 +77,7 @@ def op12_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op13_lockstep_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
-    return alignment.align(_table(spark, sf_dir, "documents"), *paths)
+    return alignment.align(_table(spark, sf_dir, "documents"), *paths, public_tokenizers.PATTERN)
 
 
 QUERIES: dict[str, Query] = {
