@@ -1,4 +1,4 @@
-"""From band keys to links that hold on whole sets, without pairs of all members of a bucket.
+"""From band keys to links that hold on whole sets, without rows for all pairs of a bucket.
 
 A bucket is a band key that several items share. First round: every item of a bucket is paired with
 the bucket's pivot, which differs from bucket to bucket. What holds gives components. Second
@@ -6,10 +6,13 @@ round: items of a bucket that are not in its pivot's component are paired with t
 components in the bucket. After both, any two items of a bucket are in one component or have been
 paired, so nothing that the bands find is lost, and a bucket full of near copies costs one pair each.
 
+A pair of the second round is looked at in the first band that its items share and nowhere else: there one of
+them is left over, if they are in different components, or it is the pivot, and they have been compared.
+Its partners leave the task with the item, as one row for the item and chunk, so rows grow with the items.
+
 A pair is sifted before its texts are fetched: signatures give an estimate of the similarity, and a
-pair more than `MARGIN` standard deviations under the bound is left out (of independent places, it loses one
-pair in 3 million of those right at the bound). The others of a bucket are dealt out in chunks, so no task holds a
-large bucket, and only pairs that pass leave the task.
+pair more than `margin` standard deviations under the bound is left out. The items of a bucket are dealt
+out in chunks of about `CHUNK` in both rounds, so no task holds a large bucket.
 
 Comparisons are streamed: the texts to compare with a pivot come sorted behind the pivot's text;
 the members of a pivot are dealt out over `SPREAD` groups, so no pivot is one task's work. In the second round,
@@ -22,7 +25,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerwork.llm import runtime, shingles
@@ -47,32 +50,38 @@ def links(
 ) -> DataFrame:
     """`items` (id, bands) -> (id, component) of every item that is linked.
 
-    `signatures` (id, size, signature) has the items' sizes and a byte for each place, equal with a probability
-    of the similarity. `fetch` turns some ids (id) into texts (id, text); `sets` gives the distinct members of each
-    text's set. Two items are linked if 100 * shared >= percent * union."""
+    `signatures` (id, size, signature, bands32) has for the ids it is asked for (a function of a table of ids, or a
+    table that is joined with it) the items' sizes, a byte for each place, equal with a probability of the
+    similarity, and the low 32 bits of each band's key. `fetch` turns some ids (id) into texts (id, text); `sets`
+    gives the distinct members of each text's set. Two items are linked if 100 * shared >= percent * union."""
     # dealt by key once, for the pivots and for the join with them; no key has more than one row of an item
-    spread = items.select("id", F.explode("bands").alias("key")).repartition("key")
+    spread = items.select("id", F.posexplode("bands").alias("band", "key")).repartition("key")
     order = F.xxhash64("id", "key")
     buckets = (
         spread.groupBy("key")
         .agg(F.count(F.lit(1)).alias("items"), F.min_by("id", order).alias("pivot"))
         .where("items > 1")
-        .drop("items")
+        .select("key", "pivot", F.ceil(F.col("items") / CHUNK).cast("int").alias("chunks"))
     )
     members = runtime.keep(spread.join(buckets, "key"))
-    ids = members.select("id").distinct()
-    signed = runtime.keep(signatures.select("id", "size", "signature").join(ids, "id", "left_semi").dropDuplicates(["id"]))
+    ids = runtime.keep(members.select("id").distinct())
+    signed = runtime.keep(signatures(ids) if callable(signatures) else signatures.join(ids, "id", "left_semi").dropDuplicates(["id"]))
     involved = runtime.keep(fetch(ids))
+    at_chunk = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
+    all_chunks = F.sequence(F.lit(0), F.col("chunks") - 1)
+
+    def side(chunk: Column, kind: int) -> Column:
+        return F.struct(chunk.alias("chunk"), F.lit(kind).alias("kind"))
 
+    # the pivot goes to all chunks of its bucket, an item to one
+    is_pivot = F.col("id") == F.col("pivot")
+    first_sides = F.when(is_pivot, F.transform(all_chunks, lambda c: side(c, 0))).otherwise(F.array(side(at_chunk, 1)))
     alone = members.select(
-        "key",
-        F.lit(0).alias("chunk"),
-        (F.col("id") != F.col("pivot")).cast("int").alias("kind"),
-        "id",
-        F.col("id").alias("own"),
-        F.lit(False).alias("both"),
+        "key", "band", F.inline(first_sides), "id", F.col("id").alias("own"), F.lit(False).alias("both")
     )
-    pairs = sift(alone, signed, percent, margin).select("id", "pivot").distinct()
+    columns = ["key", "band", "chunk", "kind", "id", "own", "both"]
+    found = sift(alone.select(*columns), signed, percent, margin, once=False)
+    pairs = found.select("id", F.explode("pivots").alias("pivot")).distinct()
     first = runtime.keep(compare(pairs, involved, sets, percent))
     joined = components(first)
 
@@ -83,44 +92,43 @@ def links(
         .join(at_pivot, "pivot", "left")
         .select(
             "key",
+            "band",
+            "chunks",
             "id",
             F.coalesce("own", "id").alias("own"),
             (F.coalesce("own", "id") != F.coalesce("pivots", "pivot")).alias("left_over"),
-            (F.col("id") == F.col("pivot")).alias("is_pivot"),
+            is_pivot.alias("is_pivot"),
         )
     )
-    # chunks of the buckets that have left-over items; the pivot has been paired with all
-    chunks = (
-        placed.groupBy("key")
-        .agg(F.count(F.lit(1)).alias("items"), F.max("left_over").alias("open"))
-        .where("open and items > 2")
-        .select("key", F.ceil(F.col("items") / CHUNK).cast("int").alias("chunks"))
-    )
-    dealt = placed.where("not is_pivot").join(chunks, "key")
-    sides = F.array_append(
-        F.when(
-            F.col("left_over"),
-            F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(c.alias("chunk"), F.lit(1).alias("kind"))),
-        ).otherwise(F.array().cast("array<struct<chunk:int,kind:int>>")),
-        F.struct(F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"), F.lit(0).alias("kind")),
+    # buckets that have left-over items; the pivot has been paired with all
+    open_keys = placed.groupBy("key").agg(F.count(F.lit(1)).alias("items"), F.max("left_over").alias("open"))
+    dealt = placed.where("not is_pivot").join(open_keys.where("open and items > 2").select("key"), "key")
+    asked = F.when(F.col("left_over"), F.transform(all_chunks, lambda c: side(c, 1)))
+    sides = F.concat(F.coalesce(asked, F.array().cast("array<struct<chunk:int,kind:int>>")), F.array(side(at_chunk, 0)))
+    rest = dealt.select("key", "band", F.inline(sides), "id", "own", F.col("left_over").alias("both"))
+    second = runtime.keep(
+        compare_within(sift(rest.select(*columns), signed, percent, margin, once=True), involved, sets, percent)
     )
-    rest = dealt.select("key", "id", "own", F.col("left_over").alias("both"), F.inline(sides)).select(*alone.columns)
-    second = runtime.keep(compare_within(sift(rest, signed, percent, margin), involved, sets, percent))
-    if second.isEmpty():
-        return joined
-    carried = second.join(at_id.withColumnRenamed("id", "a").withColumnRenamed("own", "root_a"), "a", "left").join(
-        at_id.withColumnRenamed("id", "b").withColumnRenamed("own", "root_b"), "b", "left"
-    )
-    between = carried.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
-    # what the first round linked keeps its component as its neighbour
-    return components(joined.select(F.col("id").alias("a"), F.col("component").alias("b")).union(between))
+    none = second.isEmpty()
+    if not none:
+        carried = second.join(at_id.withColumnRenamed("id", "a").withColumnRenamed("own", "root_a"), "a", "left").join(
+            at_id.withColumnRenamed("id", "b").withColumnRenamed("own", "root_b"), "b", "left"
+        )
+        between = carried.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+        # what the first round linked keeps its component as its neighbour
+        joined = components(joined.select(F.col("id").alias("a"), F.col("component").alias("b")).union(between))
+    joined = runtime.keep(joined)
+    for table in (members, ids, signed, involved, first, placed, second):
+        runtime.drop(table)
+    return joined
 
 
-def sift(rows: DataFrame, signed: DataFrame, percent: int, margin: float = MARGIN) -> DataFrame:
-    """Pairs (key, chunk, id, pivot) that may be linked, by size and signature; once for every bucket they share.
+def sift(rows: DataFrame, signed: DataFrame, percent: int, margin: float, once: bool) -> DataFrame:
+    """(key, chunk, id, pivots): the items that each one may be linked with, by size and signature.
 
-    `rows` (key, chunk, kind, id, own, both): items of kind 1 are paired with those of kind 0 under the
-    same key and chunk, unless they have the same component `own`, or both are left over and it is the other's turn."""
+    `rows` (key, band, chunk, kind, id, own, both): items of kind 1 are paired with those of kind 0 under the
+    same key and chunk, unless they have the same component `own`, or both are left over and it is the other's turn.
+    With `once`, only in the first band they share."""
     placed = rows.join(signed, "id").repartition("key", "chunk").sortWithinPartitions("key", "chunk", "kind")
     share = percent / 100
 
@@ -129,10 +137,10 @@ def sift(rows: DataFrame, signed: DataFrame, percent: int, margin: float = MARGI
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sign = _matrix(batch.column("signature"))
+            sign, bands = _matrix(batch.column("signature")), _matrix(batch.column("bands32")).view("<u4")
             least = share - margin * (share * (1 - share) / sign.shape[1]) ** 0.5
-            key, chunk, kind, item, size, own = (
-                batch.column(c).to_numpy() for c in ("key", "chunk", "kind", "id", "size", "own")
+            key, band, chunk, kind, item, size, own = (
+                batch.column(c).to_numpy() for c in ("key", "band", "chunk", "kind", "id", "size", "own")
             )
             both = batch.column("both").to_numpy(zero_copy_only=False)
             new = np.flatnonzero((key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1])) + 1
@@ -140,12 +148,12 @@ def sift(rows: DataFrame, signed: DataFrame, percent: int, margin: float = MARGI
             for low, high in zip((0, *new), (*new, len(key)), strict=True):
                 group = (key[low], chunk[low])
                 middle = low + int(np.searchsorted(kind[low:high], 1))
-                here = [x[low:middle] for x in (item, size, own, both, sign)]
+                here = [x[low:middle] for x in (item, size, own, both, sign, bands)]
                 if at == group:
                     held = [np.concatenate(x) for x in zip(held, here, strict=True)]
                 else:
                     at, held = group, here
-                against, sizes, owns, boths, signs = held
+                against, sizes, owns, boths, signs, keys = held
                 # as many at once as keep the compared bytes few
                 step = max(1, (8 << 20) // max(1, signs.size))
                 for start in range(middle, high, step):
@@ -154,18 +162,26 @@ def sift(rows: DataFrame, signed: DataFrame, percent: int, margin: float = MARGI
                     near &= (own[asked, None] != owns) & (~boths | (item[asked, None] < against))
                     a, b = np.nonzero(near)
                     alike = (sign[asked][a] == signs[b]).mean(axis=1) >= least
-                    n = int(np.count_nonzero(alike))
-                    if n:
-                        for out, x in zip(found, (np.full(n, key[low]), np.full(n, chunk[low])), strict=False):
-                            out.append(x)
-                        found[2].append(item[asked][a[alike]])
-                        found[3].append(against[b[alike]])
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64())
-            pairs = [pa.array(np.concatenate(x) if x else [], t) for x, t in zip(found, types, strict=True)]
-            yield pa.RecordBatch.from_arrays(pairs, ["key", "chunk", "id", "pivot"])
-
-    columns = ["key", "chunk", "kind", "id", "size", "own", "both", "signature"]
-    return placed.select(*columns).mapInArrow(run, "key long, chunk int, id long, pivot long")
+                    a, b = a[alike], b[alike]
+                    if once and len(a):
+                        mine = (bands[asked][a] == keys[b]).argmax(axis=1) == band[low]
+                        a, b = a[mine], b[mine]
+                    if len(a):
+                        # partners of one item stand together
+                        firsts = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
+                        found[0].append(np.full(len(firsts), key[low]))
+                        found[1].append(np.full(len(firsts), chunk[low]))
+                        found[2].append(item[asked][a[firsts]])
+                        found[3].extend(np.split(against[b], firsts[1:]))
+            out = [np.concatenate(x) if x else [] for x in found[:3]]
+            sizes_of = np.array([0, *map(len, found[3])], np.int64).cumsum().astype(np.int32)
+            partners = pa.array(np.concatenate(found[3]) if found[3] else [], pa.int64())
+            arrays = [pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int64()), strict=True)]
+            arrays.append(pa.ListArray.from_arrays(pa.array(sizes_of), partners))
+            yield pa.RecordBatch.from_arrays(arrays, ["key", "chunk", "id", "pivots"])
+
+    columns = ["key", "band", "chunk", "kind", "id", "size", "own", "both", "signature", "bands32"]
+    return placed.select(*columns).mapInArrow(run, "key long, chunk int, id long, pivots array<long>")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -204,14 +220,13 @@ def compare(pairs: DataFrame, texts: DataFrame, sets: Sets, percent: int) -> Dat
     return placed.select("pivot", "part", "kind", "id", "text").mapInArrow(run, "a long, b long")
 
 
-def compare_within(pairs: DataFrame, texts: DataFrame, sets: Sets, percent: int) -> DataFrame:
-    """As `compare`, for pairs (key, chunk, id, pivot) of which many share their items.
+def compare_within(found: DataFrame, texts: DataFrame, sets: Sets, percent: int) -> DataFrame:
+    """As `compare`, for items with their partners in a chunk (key, chunk, id, pivots), of which many share partners.
 
-    A pair is compared in one of its buckets. There a text is fetched and cut up once for all its pairs; a
-    chunk has about CHUNK pivots, whose sets the task holds."""
-    at = pairs.groupBy("id", "pivot").agg(F.min(F.struct("key", "chunk")).alias("at")).select("at.*", "id", "pivot")
-    asked = at.groupBy("key", "chunk", "id").agg(F.collect_list("pivot").alias("pivots"), F.lit(1).alias("kind"))
-    held = at.select("key", "chunk", F.col("pivot").alias("id")).distinct()
+    A text is fetched and cut up once for all its partners there; a chunk has about CHUNK partners, whose sets
+    the task holds."""
+    asked = found.select("key", "chunk", "id", "pivots", F.lit(1).alias("kind"))
+    held = found.select("key", "chunk", F.explode("pivots").alias("id")).distinct()
     held = held.select("*", F.array().cast("array<bigint>").alias("pivots"), F.lit(0).alias("kind"))
     placed = asked.union(held).join(texts, "id").repartition("key", "chunk").sortWithinPartitions("key", "chunk", "kind")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
@@ -12,6 +14,8 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _STEP = _U(0xD6E8FEB86659FD93)
 _MASK = (1 << 64) - 1
+#: Bytes of a word that is hashed by itself.
+LONG = 32
 #: Bytes hashed at once; a longer text is cut at white space.
 _BLOCK = 1 << 21
 
@@ -97,7 +101,12 @@ def placed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
         start[edges] |= inside[edges]
         end[edges - 1] |= inside[edges - 1]
         starts, ends = np.flatnonzero(start), np.flatnonzero(end) + 1
-        hashes.append(spans_hash(block, starts, ends))
+        hashed = spans_hash(block, starts, ends)
+        # sums modulo 2^64 can be made to agree for long words; theirs is a cryptographic hash
+        for k in np.flatnonzero(ends - starts > LONG).tolist():
+            word = block[starts[k] : ends[k]].tobytes().lower()
+            hashed[k] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        hashes.append(hashed)
         first.append(starts + low)
         low = high
     if not hashes:

@@ -37,7 +37,7 @@ _GOLDEN = 0x9E3779B97F4A7C15
 #: Permutations (bytes of them) drawn out at once.
 _PERMUTED = 24 << 20
 
-SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, signature binary"
+SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, signature binary, bands32 binary"
 
 
 def _draw(member: np.ndarray, step: int, places: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,11 +107,12 @@ def band_keys(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return key
 
 
-def bytes_of(signature: np.ndarray) -> pa.Array:
-    """A byte of each number, a binary value for each row."""
-    n, places = signature.shape
-    data = pa.py_buffer(np.ascontiguousarray(signature.astype(np.uint8)))
-    offsets = pa.py_buffer((np.arange(n + 1) * places).astype(np.int32))
+def bytes_of(numbers: np.ndarray, kind: str = "u1") -> pa.Array:
+    """The low bytes of each number, a binary value for each row."""
+    n = len(numbers)
+    data = np.ascontiguousarray(numbers.astype(kind))
+    offsets = pa.py_buffer((np.arange(n + 1) * data.shape[1] * data.itemsize).astype(np.int32))
+    data = pa.py_buffer(data)
     return pa.Array.from_buffers(pa.binary(), n, [None, offsets, data])
 
 
@@ -124,8 +125,8 @@ def sketch(docs: DataFrame, words: int) -> DataFrame:
             sizes = np.diff(offsets)
             sets = shingles.fingerprint(member, offsets).view(np.int64)
             signed = signatures(member, offsets)
-            keys = band_keys(signed).view(np.int64)
-            keys = keys[sizes > 0].reshape(-1)
+            every = band_keys(signed)
+            keys = every.view(np.int64)[sizes > 0].reshape(-1)
             starts = np.concatenate(([0], np.cumsum(np.where(sizes > 0, BANDS, 0)))).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -135,8 +136,9 @@ def sketch(docs: DataFrame, words: int) -> DataFrame:
                     pa.array(sets[:, 1]),
                     pa.ListArray.from_arrays(pa.array(starts), pa.array(keys)),
                     bytes_of(signed),
+                    bytes_of(every, "<u4"),
                 ],
-                ["doc_id", "n_shingles", "set_a", "set_b", "bands", "signature"],
+                ["doc_id", "n_shingles", "set_a", "set_b", "bands", "signature", "bands32"],
             )
 
     return docs.mapInArrow(run, SKETCH)
@@ -155,7 +157,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         F.min("doc_id").alias("id"), F.first("bands").alias("bands")
     )
     bands = classes.select("id", "bands")
-    signed = sketched.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("size"), "signature")
+    signed = sketched.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("size"), "signature", "bands32")
     by_id = texts.withColumnRenamed("doc_id", "id")
     linked = near.links(
         bands,

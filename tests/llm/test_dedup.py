@@ -132,6 +132,39 @@ def test_lines_against_all_pairs(spark):
     assert line_dedup.dedup_lines(documents(spark, [])).count() == 0
 
 
+def test_rows_that_share_an_id_are_documents_of_their_own(spark):
+    rows = [(5, "shared line\nonly in the first"), (5, "only in the second\nshared line"), (None, "shared line\nwithout id")]
+    rows += [(None, "without id"), (7, "all here"), (7, "all here")]
+    table = spark.createDataFrame([(k, t, n, "x") for n, (k, t) in enumerate(rows)], "doc_id long, text string, _row int, _check string")
+    got = {r._row: r.text for r in line_dedup.dedup_lines(table.coalesce(1)).collect()}
+    # null ids come first, then the row of input
+    assert got == {0: "only in the first", 1: "only in the second", 2: "shared line\nwithout id", 3: "", 4: "all here", 5: ""}
+
+
+def test_long_words_are_told_apart(spark):
+    """Sums modulo 2^64 cannot tell these words from each other."""
+    signs = [bin(k).count("1") % 2 for k in range(2048)]
+    a, b = ("".join("ab"[s ^ flip] for s in signs) for flip in (0, 1))
+    rows = [(1, f"one {a} two three"), (2, f"one {b} two three"), (3, f"one {a.upper()} two three")]
+    got = {r.doc_id: r.component_id for r in superminhash.near_duplicates(documents(spark, rows), words=4).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
+def test_left_over_items_of_a_bucket(spark, monkeypatch):
+    """One base and copies with so many edits that few are alike, in buckets of several chunks."""
+    monkeypatch.setattr(near, "CHUNK", 7)
+    draw = random.Random(21)
+    base = [f"w{k}" for k in range(160)]
+    texts = [" ".join(base)]
+    for _ in range(120):
+        copy = list(base)
+        for at in draw.sample(range(160), draw.randint(1, 9)):
+            copy[at] = f"x{draw.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    got = {r.doc_id: r.component_id for r in superminhash.near_duplicates(documents(spark, list(enumerate(texts))), words=4).collect()}
+    assert [got[k] for k in range(len(texts))] == _components(word_sets(texts, 4))
+
+
 def test_isolated_lines_at_the_bound_are_found(spark):
     draw = random.Random(12)
     rows = []
