@@ -3,14 +3,19 @@
 Two lines are linked if the sets of their shingles of `CHARS` characters (A-Z as a-z; a shorter line
 is one shingle) have a Jaccard similarity of 0.8 or more. Signatures are one-permutation MinHash: a
 shingle's hash picks a place and offers its value there; empty places borrow from a place drawn
-for them. 28 bands of four places miss a pair at 0.8 with probability 4e-7, closer pairs more rarely; the
+for them. 26 bands of four places miss a pair at 0.8 with probability 1e-6, closer pairs more rarely; the
 sift of `near.links` has a margin of `MARGIN` deviations.
-Equal lines are one item throughout. `near.links` compares whole lines and joins what is linked;
-of each component the occurrence with the smallest document and line number stays.
+Equal lines are one item throughout: they meet in one shuffle, with their text, and only what they
+have in common goes on. `near.links` compares whole lines and joins what is linked; of each component the
+occurrence with the smallest document, row and line number stays.
+
+Rows are told apart by their place in the input, whatever their ids. The input is read twice, and
+each row's place is checked against a digest of its text before lines are taken out, so an input that comes in
+another order the second time stops the job; write it to a table first.
 
 Defined cases: lines end at a line feed; lines without a word are kept and never compared; null text
-stays null; a document whose lines all go has the empty text and stays; rows with the same doc_id keep and
-lose the same line numbers; other columns are passed through; an empty table gives no rows.
+stays null; a document whose lines all go has the empty text and stays; rows with the same doc_id, or none, are
+documents of their own (null ids first); other columns are passed through; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +25,6 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,7 +33,7 @@ from ledgerwork.llm import near, runtime, shingles
 from ledgerwork.llm.superminhash import band_keys, bytes_of
 
 CHARS = 7
-BANDS, ROWS = 28, 4
+BANDS, ROWS = 26, 4
 PLACES = BANDS * ROWS
 #: Standard deviations of the sift; places that borrow in short lines vary together, so more than for documents.
 MARGIN = 8
@@ -40,13 +44,13 @@ _ALIKE = shingles.mix(np.arange(1, 1 << 16, dtype=_U))
 _ALIKE = np.concatenate((shingles.mix(np.array([1 << 40], _U)), _ALIKE))
 _ALIKE[65:91] = _ALIKE[97:123]
 
-_KEYS = [f"k{b}" for b in range(BANDS)]
-LINES = "id long, doc_id long, line int, set_a long, set_b long, " + ", ".join(f"{k} long" for k in _KEYS)
-LINES += ", signature binary"
+LINES = "row long, doc_id long, line int, check long, text string"
+SKETCH = "id long, bands array<long>"
+SIGNED = "id long, size int, signature binary, bands32 binary"
 
 
-def char_shingles(lines: list[str], size: int = CHARS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of every shingle of every line in order, n + 1 offsets, and a number for each whole line."""
+def char_shingles(lines: list[str], size: int = CHARS) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every shingle of every line in order, and n + 1 offsets."""
     lengths = np.array([len(x) for x in lines], np.int64)
     chars = np.frombuffer("".join(lines).encode("utf-32-le"), "<u4")
     each = _ALIKE[chars & 0xFFFF]
@@ -58,17 +62,16 @@ def char_shingles(lines: list[str], size: int = CHARS) -> tuple[np.ndarray, np.n
     sums[0] = 0
     np.cumsum(each * power[: len(chars)], out=sums[1:])
     starts = np.concatenate(([0], np.cumsum(lengths)))
-    whole = shingles.mix((sums[starts[1:]] - sums[starts[:-1]]) * inverse[starts[:-1]] + lengths.astype(_U))
     counts = np.where(lengths > 0, np.maximum(lengths - size + 1, 1), 0)
     offsets = np.concatenate(([0], np.cumsum(counts)))
     first = np.arange(offsets[-1]) + np.repeat(starts[:-1] - offsets[:-1], counts)
     last = np.minimum(first + size, np.repeat(starts[1:], counts))
-    return shingles.mix((sums[last] - sums[first]) * inverse[first]), offsets, whole
+    return shingles.mix((sums[last] - sums[first]) * inverse[first]), offsets
 
 
 def char_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles of each line, ascending, and the n + 1 offsets."""
-    shingle, offsets, _ = char_shingles(pc.fill_null(column, "").to_pylist())
+    shingle, offsets = char_shingles(pc.fill_null(column, "").to_pylist())
     return shingles.distinct(shingle, offsets)
 
 
@@ -99,83 +102,80 @@ def signatures(shingle: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return filled.reshape(n, PLACES)
 
 
-def _sketch(docs: DataFrame) -> DataFrame:
-    """One row per line that has a word. `id` is unique and the same when a task is run again."""
+def _lines(docs: DataFrame) -> DataFrame:
+    """`docs` (row, doc_id, text) -> one row per line that has a word, `check` a digest of its document's text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 40
         for batch in runtime.slices(batches, "text", 1 << 20):
-            lines, doc_ids, at = [], [], []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            columns = [], [], [], [], []
+            rows = (batch.column(c).to_pylist() for c in ("row", "doc_id", "check", "text"))
+            for row, doc_id, check, text in zip(*rows, strict=True):
                 for k, line in enumerate((text or "").split("\n")):
                     if line and not line.isspace():
-                        lines.append(line)
-                        doc_ids.append(doc_id)
-                        at.append(k)
-            if not lines:
-                continue
-            shingle, offsets, whole = char_shingles(lines)
-            signed = signatures(shingle, offsets).astype(_U)
-            keys = band_keys(signed, BANDS).view(np.int64)
-            also = np.add.reduceat(shingles.mix(shingle + _U(1)), offsets[:-1])
-            ids = number + np.arange(len(lines))
-            number += len(lines)
-            columns = [pa.array(ids), pa.array(doc_ids, pa.int64()), pa.array(at, pa.int32())]
-            columns += [pa.array(whole.view(np.int64)), pa.array(also.view(np.int64))]
-            columns += [pa.array(np.ascontiguousarray(keys[:, b])) for b in range(BANDS)]
-            columns.append(bytes_of(signed))
-            yield pa.RecordBatch.from_arrays(columns, ["id", "doc_id", "line", "set_a", "set_b", *_KEYS, "signature"])
-
-    return docs.mapInArrow(run, LINES)
-
-
-def _line_texts(docs: DataFrame, lines: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, text) of some lines."""
-    wanted = (
-        lines.select("id", "doc_id", "line")
-        .join(ids, "id", "left_semi")
-        .groupBy("doc_id")
-        .agg(F.collect_list(F.struct("line", "id")).alias("wanted"))
-    )
+                        for column, value in zip(columns, (row, doc_id, k, check, line), strict=True):
+                            column.append(value)
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string())
+            arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, ["row", "doc_id", "line", "check", "text"])
+
+    return docs.select("row", "doc_id", F.xxhash64("text").alias("check"), "text").mapInArrow(run, LINES)
+
+
+def _signed(column: pa.Array) -> np.ndarray:
+    shingle, offsets = char_shingles(column.to_pylist())
+    return signatures(shingle, offsets).astype(_U)
+
+
+def _bands(classes: DataFrame) -> DataFrame:
+    """`classes` (id, text) -> the band keys of each line."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in runtime.slices(batches, "text", 1 << 20):
+            keys = band_keys(_signed(batch.column("text")), BANDS).view(np.int64)
+            starts = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * BANDS)
+            listed = pa.ListArray.from_arrays(starts, pa.array(np.ascontiguousarray(keys).reshape(-1)))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), listed], ["id", "bands"])
+
+    return classes.select("id", "text").mapInArrow(run, SKETCH)
+
+
+def _signatures(texts: DataFrame) -> DataFrame:
+    """(id, text) to what `near.sift` needs. Sizes are not told, so no pair is left out for them."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in runtime.slices(batches, "text", 1 << 20):
-            found, texts = [], []
-            for asked, text in zip(batch.column("wanted").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                parts = (text or "").split("\n")
-                for x in asked:
-                    if x["line"] < len(parts):
-                        found.append(x["id"])
-                        texts.append(parts[x["line"]])
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(texts, pa.string())], ["id", "text"])
+            signed = _signed(batch.column("text"))
+            one = pa.array(np.ones(batch.num_rows, np.int32))
+            arrays = [batch.column("id"), one, bytes_of(signed), bytes_of(band_keys(signed, BANDS), "<u4")]
+            yield pa.RecordBatch.from_arrays(arrays, ["id", "size", "signature", "bands32"])
 
-    return docs.join(wanted, "doc_id").select("wanted", "text").mapInArrow(run, "id long, text string")
+    return texts.select("id", "text").mapInArrow(run, SIGNED)
 
 
 def dropped_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """(doc_id, lines): the numbers of the lines that go, for documents that lose any."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    lines = runtime.keep(_sketch(texts))
-    classes = lines.groupBy("set_a", "set_b").agg(F.min("id").alias("id"), *[F.first(k).alias(k) for k in _KEYS])
-    bands = classes.select("id", F.array(*_KEYS).alias("bands"))
-    # the number of distinct shingles is not known here, so no pair is left out for its sizes
-    signed = lines.select("id", F.lit(1).alias("size"), "signature")
-    linked = runtime.keep(near.links(bands, signed, lambda ids: _line_texts(texts, lines, ids), char_sets, percent, MARGIN))
-
-    # an equal line is found by its two numbers, a similar one by the component of its class
-    place = F.struct("doc_id", "line").alias("place")
-    equal = lines.select("set_a", "set_b", "id", place).groupBy("set_a", "set_b").agg(
-        F.count(F.lit(1)).alias("lines"), F.min("id").alias("id"), F.min("place").alias("place")
+    """`docs` (row, doc_id, text) -> (row, check, lines): the lines that go, for documents that lose any."""
+    lines = _lines(docs)
+    place = F.struct("doc_id", "row", "line")
+    # equal lines by two hashes; the text goes through the shuffle once a task and line
+    halves = [F.xxhash64("text").alias("half_a"), F.xxhash64(F.reverse("text"), F.length("text")).alias("half_b")]
+    equal = lines.select(*halves, place.alias("place"), "text").groupBy("half_a", "half_b").agg(
+        F.count(F.lit(1)).alias("n"), F.min("place").alias("place"), F.first("text").alias("text")
     )
-    joined = equal.join(linked, "id", "left").where("lines > 1 or component is not null")
-    several = runtime.keep(joined.select("set_a", "set_b", F.coalesce("component", "id").alias("component"), "place"))
+    classes = runtime.keep(equal.withColumn("id", F.monotonically_increasing_id()))
+
+    def texts(ids: DataFrame) -> DataFrame:
+        return classes.select("id", "text").join(ids, "id", "left_semi")
+
+    linked = near.links(_bands(classes), lambda ids: _signatures(texts(ids)), texts, char_sets, percent, MARGIN)
+    joined = classes.drop("text").join(linked, "id", "left").where("n > 1 or component is not null")
+    several = runtime.keep(joined.select("half_a", "half_b", F.coalesce("component", "id").alias("component"), "place"))
     stays = several.groupBy("component").agg(F.min("place").alias("stays"))
-    known = several.join(stays, "component").select("set_a", "set_b", "stays")
+    known = several.join(stays, "component").select("half_a", "half_b", "stays")
     return (
-        lines.select("set_a", "set_b", "doc_id", "line")
-        .join(known, ["set_a", "set_b"])
-        .where("doc_id != stays.doc_id or line != stays.line")
-        .groupBy("doc_id")
+        lines.select("row", "line", "check", *halves)
+        .join(known, ["half_a", "half_b"])
+        .where("row != stays.row or line != stays.line")
+        .groupBy("row", "check")
         .agg(F.collect_list("line").alias("lines"))
     )
 
@@ -184,9 +184,17 @@ def dedup_lines(docs: DataFrame, percent: int = 80, lines: str = "n_lines", drop
     """The documents without the lines that go; `text` changes, all other columns stay.
 
     Adds the columns `lines` and `dropped`, the numbers of lines before and of those that went."""
-    of, lost = runtime.free_name("_of", docs), runtime.free_name("_lost", docs)
-    gone = dropped_lines(docs, percent).select(F.col("doc_id").alias(of), F.col("lines").alias(lost))
-    rows = docs.join(gone, docs["doc_id"].cast("long") == gone[of], "left").drop(of)
+    row, check, of, lost = (runtime.free_name(n, docs) for n in ("_row", "_check", "_of", "_lost"))
+    placed = docs.withColumn(row, F.monotonically_increasing_id())
+    texts = placed.select(
+        F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
+    )
+    gone = runtime.keep(dropped_lines(texts, percent))
+    gone = gone.select(F.col("row").alias(of), F.col("check").alias(check), F.col("lines").alias(lost))
+    moved = F.raise_error(F.lit("the rows came in another order: write them to a table first"))
+    same = F.col(of).isNull() | (F.col(check) == F.xxhash64(F.col("text").cast("string")))
+    rows = placed.join(gone, F.col(row) == F.col(of), "left").withColumn(lost, F.when(same, F.col(lost)).otherwise(moved))
+    rows = rows.drop(row, of, check)
     schema = T.StructType(
         [*docs.schema.fields, T.StructField(lines, T.LongType()), T.StructField(dropped, T.LongType())]
     )
