@@ -30,28 +30,30 @@ from tokenizers import Tokenizer, normalizers
 
 from ledgerwork.llm import runtime
 
-#: Words, and pieces of words, that a Python worker remembers; beyond it, it forgets all.
-WORDS = 400_000
+#: Pieces of words that a Python worker remembers; beyond it, it forgets all.
+PIECES_KNOWN = 800_000
 #: Parts in which the pieces of one length are ranked.
 PARTS = 256
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, offset long"
 
-#: White space that the tokenizer drops and never merges across.
-_WORD = re.compile("[^ \t\n\r]+")
+#: The split pattern's classes in the faster of the two pattern libraries, and the characters on which they
+#: differ: numbers that are no digits, rare white space, and all but Latin letters and common signs.
+_LETTERS, _DIGIT, _SIGNS = r"[^\W\d_]+", r"\d", r"(?:[^\s\w]|_)+"
+_ODD = re.compile("[\x1c-\x1f\x85\xa0\xb2\xb3\xb9\xbc-\xbe]|[^\x00-\u024f\u2010-\u2027]")
 
 
 class Words:
-    """Token ids of whole texts, words and their pieces met before from memory.
+    """Token ids of whole texts, pieces of words met before from memory.
 
     For tokenizers that put NFC and lower case before a split pattern whose matches hold no white
-    space, and mark the end of each match: a text's ids are those of its words, a word's those of its matches. New
-    matches of many texts are encoded together and told apart by the end marks."""
+    space, and mark the end of each match: a text's ids are those of its matches. New matches of many texts are
+    encoded together and told apart by the end marks. Texts that quote a special token's string are the library's
+    as a whole, as it takes such strings for the token."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         # pieces are normalized already, and a second time could change them
         self.plain = Tokenizer.from_file(path)
         self.plain.encode_special_tokens = True
@@ -61,8 +63,12 @@ class Words:
         end = spec["model"]["end_of_word_suffix"]
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[number for token, number in spec["model"]["vocab"].items() if token.endswith(end)]] = True
-        self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        self.words: dict[str, bytes] = {}
+        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.split = regex.compile(pattern)
+        fast = pattern.replace(r"[\p{L}]+", _LETTERS).replace(r"[\p{N}]", _DIGIT).replace(r"[^\s\p{L}\p{N}]+", _SIGNS)
+        self.fast = None if r"\p" in fast else re.compile(fast)
+        quoted = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, quoted)) or "(?!)")
         self.pieces: dict[str, bytes] = {}
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
@@ -75,25 +81,25 @@ class Words:
             raise ValueError("the tokenizer does not mark the end of each piece")
         return [data[low:high] for low, high in zip([0, *bounds], bounds, strict=False)]
 
+    def _split(self, text: str) -> list[str]:
+        text = _lower(text)
+        return (self.split if self.fast is None or _ODD.search(text) else self.fast).findall(text)
+
     def ids(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.words) > WORDS:
-            self.words.clear()
-        if len(self.pieces) > WORDS:
-            self.words.clear()
+        if len(self.pieces) > PIECES_KNOWN:
             self.pieces.clear()
-        words = self.words
-        split = [_WORD.findall(_lower(text)) for text in texts]
-        new = {word for found in split for word in found if word not in words}
-        parts = {word: self.split.findall(word) for word in new}
-        missing = list({piece for found in parts.values() for piece in found if piece not in self.pieces})
+        quoting = [self.special.search(text) is not None for text in texts]
+        split = [[] if quotes else self._split(text) for text, quotes in zip(texts, quoting, strict=True)]
+        missing = list(set().union(*split).difference(self.pieces))
         if missing:
             self.pieces.update(zip(missing, self._encode(missing), strict=True))
         of = self.pieces.__getitem__
-        for word, found in parts.items():
-            words[word] = b"".join(map(of, found))
-        for found in split:
-            yield b"".join(map(words.__getitem__, found))
+        for text, found, quotes in zip(texts, split, quoting, strict=True):
+            if quotes:
+                yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            else:
+                yield b"".join(map(of, found))
 
 
 def _lower(text: str) -> str:
