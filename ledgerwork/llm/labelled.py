@@ -1,4 +1,4 @@
-"""Bounded samples of labelled documents, and the calibration the classifiers share."""
+"""Bounded samples of labelled documents, bounded in rows and bytes, and the calibration the classifiers share."""
 
 from __future__ import annotations
 
@@ -12,13 +12,10 @@ def held_out(doc_id: Column | str, parts: int, part: int) -> Column:
     return F.pmod(F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id), F.lit(parts)) == part
 
 
-def sample(
-    docs: DataFrame, labels: DataFrame, label: str, parts: int, part: int, bounds: dict[int, int]
-) -> tuple[list[tuple[str, int]], float]:
-    """(text, label) of at most `bounds[label]` documents of each label, none held out, and the share of label 1.
+def choose(labels: DataFrame, label: str, parts: int, part: int, bounds: dict[int, int]) -> tuple[DataFrame, float]:
+    """(doc_id, label) of at most `bounds[label]` rows of each label, none held out, and the share of label 1.
 
-    The share counts all labels that may be learned from. Documents are drawn by a hash of their
-    id; equal texts count once."""
+    The share counts all labels that may be learned from. Rows are drawn by a hash of their id."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
     known = known.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id", parts, part))
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
@@ -28,10 +25,26 @@ def sample(
     for value, most in bounds.items():
         some = known.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         chosen = some if chosen is None else chosen.union(some)
-    # at most as many ids as the bounds say, hence the broadcast
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").collect()
-    return list(dict.fromkeys((r["text"], r["label"]) for r in rows)), share
+    return chosen, share
+
+
+def texts_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(doc_id, text, label) of the chosen rows, of which there are so few that they may be broadcast."""
+    texts = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+    )
+    return texts.join(F.broadcast(chosen), "doc_id")
+
+
+def passages(rows: DataFrame, longest: int) -> list[tuple[str, int]]:
+    """(text, label) of `texts_of` for the driver: of a text of more than `longest` characters a passage of so
+    many, from a place drawn by a hash of text and id. Equal passages count once."""
+    size = F.length("text")
+    start = F.pmod(F.xxhash64("text", "doc_id"), F.greatest(size - longest, F.lit(1))).cast("int") + 1
+    passage = F.when(size > longest, F.substring("text", start, F.lit(longest))).otherwise(F.col("text"))
+    drawn = rows.select("doc_id", passage.alias("text"), "label")
+    found = drawn.orderBy(F.xxhash64("doc_id"), "doc_id", "text").collect()
+    return list(dict.fromkeys((r["text"], r["label"]) for r in found))
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

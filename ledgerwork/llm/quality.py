@@ -26,6 +26,8 @@ from ledgerwork.llm import labelled, runtime, shingles
 
 #: Most labelled documents that are learned from, by label.
 SAMPLE = {0: 2_000, 1: 2_000}
+#: Characters of a sampled document that are learned from; of a longer one, a passage.
+LONGEST = 20_000
 #: Bytes of a passage.
 PASSAGE = 512
 #: Width of the encoding and of the attention.
@@ -145,7 +147,8 @@ def train(x: np.ndarray, bags: np.ndarray, label: np.ndarray) -> Weights:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    rows, share = labelled.sample(docs, labels, "quality", 3, 1, SAMPLE)
+    chosen, share = labelled.choose(labels, "quality", 3, 1, SAMPLE)
+    rows = labelled.passages(labelled.texts_of(docs, chosen), LONGEST)
     label = np.array([value for _, value in rows], float)
     if not rows or label.min() == label.max():
         return Model(None, None, None, share)

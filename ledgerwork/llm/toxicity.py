@@ -1,7 +1,7 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are made of bounded samples of labelled documents. Both begin with the same
-ordinary text. The ordinary one goes on with more of that, the toxic one with the passages that
+Two zstandard dictionaries are made of bounded samples of labelled documents, of long ones a passage. Both begin
+with the same ordinary text, pieces from places drawn by a hash. The ordinary one goes on with more of that, the toxic one with the passages that
 set toxic texts apart: runs of letter groups that are many times as frequent there, counted
 over different contexts so that copies of one document count once, each adding letter groups that
 none before it has. Every whole text is cut into overlapping windows; how much shorter a
@@ -16,6 +16,7 @@ documents are not used; an empty table gives no rows.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -32,12 +33,16 @@ from ledgerwork.llm import labelled, runtime, shingles
 
 #: Most labelled documents that are learned from, by label. Half make the dictionaries, half the calibration.
 SAMPLE = {1: 1_500, 0: 5_000}
+#: Characters of a document that its dictionary is made of; of a longer one, a passage. Calibration takes whole texts.
+LONGEST = 4_000
+#: Bytes of the pieces of ordinary text.
+PIECE = 40
 #: Bytes of a window, and from one window to the next.
 WINDOW, STEP = 48, 32
 #: Bytes of the common part and of the parts that differ.
 COMMON, OWN = 24_000, 4_000
 #: Letter groups: bytes of one, contexts it must occur in, and how many times as frequent it must be in toxic text.
-GROUP, LEAST, TIMES = 6, 3, 20
+GROUP, LEAST, TIMES = 7, 3, 20
 LEVEL = 3
 GAINS = (3, 5, 7, 9)
 
@@ -133,22 +138,52 @@ def features(text: str, ordinary: bytes, toxic: bytes) -> list[float]:
     return [top[0], sum(largest), *np.log1p(above), *(a / n for a in above), np.log(n)]
 
 
+def _pieces(texts: list[bytes], number: int) -> bytes:
+    """A piece of each text, from a place drawn by a hash of text and number."""
+    out = []
+    for text in texts:
+        at = zlib.crc32(text + bytes([number])) % max(1, len(text) - PIECE)
+        out.append(text[at : at + PIECE])
+    return b" ".join(out)
+
+
+def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
+    """Contents of the ordinary and of the toxic dictionary."""
+    own = passages(toxic, telling_groups(toxic, ordinary), OWN)
+    common = _pieces(ordinary, 0)[:COMMON]
+    return common + _pieces(ordinary, 1)[: len(own)], common + own
+
+
+def _features_of(rows: DataFrame, ordinary: bytes, toxic: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of whole texts (text, label), computed where the texts are."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in runtime.slices(batches, "text", 4 << 20):
+            found = [features(text, ordinary, toxic) for text in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(found, pa.list_(pa.float64()))], ["label", "x"])
+
+    found = rows.select("label", "text").mapInArrow(run, "label int, x array<double>").collect()
+    return np.array([r["x"] for r in found], float), np.array([r["label"] for r in found], float)
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    rows, share = labelled.sample(docs, labels, "toxic", 5, 0, SAMPLE)
-    by = {value: [text for text, label in rows if label == value] for value in (0, 1)}
-    if min(map(len, by.values())) < 4:
-        return Model(b"", b"", (), (), (), share)
-    learned = {value: [t.lower().encode() for t in texts[::2]] for value, texts in by.items()}
-    own = passages(learned[1], telling_groups(learned[1], learned[0]), OWN)
-    starts = [t[:40] for t in learned[0]]
-    common = b" ".join(starts)[:COMMON]
-    more = b" ".join(t[40:80] for t in learned[0])[: len(own)]
-    ordinary, toxic = common + more, common + own
+    chosen, share = labelled.choose(labels, "toxic", 5, 0, SAMPLE)
+    half = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(2))
+    rows = labelled.texts_of(docs, chosen.withColumn("half", half))
+    learned = labelled.passages(rows.where("half = 0"), LONGEST)
+    by = {value: [text.lower().encode() for text, label in learned if label == value] for value in (0, 1)}
+    nothing = Model(b"", b"", (), (), (), share)
+    if min(map(len, by.values())) < 2:
+        return nothing
+    ordinary, toxic = dictionaries(by[1], by[0])
     if len(toxic) < 8:
-        return Model(b"", b"", (), (), (), share)
-    pairs = [(text, value) for value, texts in by.items() for text in texts[1::2]]
-    x = np.array([features(text, ordinary, toxic) for text, _ in pairs], float)
-    mean, scale, weights = labelled.logistic(x, np.array([value for _, value in pairs], float), share)
+        return nothing
+    x, label = _features_of(rows.where("half = 1"), ordinary, toxic)
+    if not 0 < label.sum() < len(label):
+        return nothing
+    # the order in which tasks end does not change the sums
+    order = np.lexsort((*x.T, label))
+    mean, scale, weights = labelled.logistic(x[order], label[order], share)
     return Model(ordinary, toxic, tuple(mean), tuple(scale), tuple(weights), share)
 
 
