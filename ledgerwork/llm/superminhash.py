@@ -176,3 +176,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         F.coalesce("component", "doc_id").alias("component_id"),
         (F.coalesce("component", "doc_id") == F.col("doc_id")).alias("kept"),
     )
+
+
+def without_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each group of near duplicates, the first in the input; all columns stay.
+
+    Rows are told apart by their place, whatever their ids, so exact repeats of a row are a group as well. `docs` is
+    read twice and has to come in the same order, as a table does."""
+    row, gone_row = runtime.free_name("_row", docs), runtime.free_name("_gone", docs)
+    placed = docs.withColumn(row, F.monotonically_increasing_id())
+    found = near_duplicates(placed.select(F.col(row).alias("doc_id"), "text"), words, percent)
+    gone = runtime.keep(found.where("not kept").select(F.col("doc_id").alias(gone_row)))
+    return placed.join(gone, F.col(row) == F.col(gone_row), "left_anti").drop(row)
