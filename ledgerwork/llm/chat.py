@@ -81,47 +81,69 @@ def _constant(value: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.tile(np.frombuffer(value, np.uint8), n), np.arange(n + 1, dtype=np.int64) * len(value)
 
 
+_SPAN = pa.struct([("start", pa.int64()), ("length", pa.int64())])
+_PARTS = pa.schema(
+    [
+        ("conv_id", pa.int64()),
+        ("part", pa.int64()),
+        ("last", pa.bool_()),
+        ("n_turns", pa.int64()),
+        ("formatted", pa.string()),
+        ("spans", pa.list_(_SPAN)),
+    ]
+)
+
+
 def _format(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted turns to parts of conversations. Every part but a conversation's last has `last` false."""
-    held: tuple | None = None  # the last part so far: whether it was the last is known with the next row
+    held: pa.RecordBatch | None = None  # the last part so far: whether it was the last is known with the next row
     for batch in runtime.slices(batches, "text", 8 << 20):
-        n = batch.num_rows
-        if not n:
+        if not batch.num_rows:
             continue
-        role, text = escape(*_bytes_and_offsets(batch.column("role"))), escape(*_bytes_and_offsets(batch.column("text")))
-        fixed = [_constant(value, n) for value in (BEFORE_ROLE, AFTER_ROLE, AFTER_TEXT)]
-        out, starts = assemble([fixed[0], role, fixed[1], text, fixed[2]])
-        ids = batch.column("conv_id").to_pylist()
-        learn = pc.equal(batch.column("role"), LOSS_ROLE).fill_null(False).to_pylist()
-        # characters before each byte: bytes that do not continue a UTF-8 character
-        chars = np.concatenate(([0], np.cumsum((out & 0xC0) != 0x80)))
-        bounds = [0, *(k for k in range(1, n) if ids[k] != ids[k - 1]), n]
-        rows = []
-        for first, end in zip(bounds, bounds[1:], strict=False):
-            here = ids[first]
-            part = 0
-            if held is not None:
-                same = held[0] == here
-                rows.append((held[0], held[1], not same, *held[2:]))
-                part = held[1] + 1 if same else 0
-            base = starts[5 * first]
-            spans = [
-                {"start": int(chars[starts[5 * k + 3]] - chars[base]), "length": int(chars[starts[5 * k + 4]] - chars[starts[5 * k + 3]])}
-                for k in range(first, end)
-                if learn[k]
-            ]
-            held = (here, part, end - first, out[base : starts[5 * end]].tobytes().decode(), spans)
-        yield _parts(rows)
+        parts = _assembled(batch)
+        if held is not None:
+            same = held.column("conv_id")[0].as_py() == batch.column("conv_id")[0].as_py()
+            yield _with_last(held, not same)
+            if same:
+                first = np.zeros(parts.num_rows, np.int64)
+                first[0] = held.column("part")[0].as_py() + 1
+                parts = parts.set_column(1, _PARTS.field("part"), pa.array(first))
+        yield parts.slice(0, parts.num_rows - 1)
+        held = parts.slice(parts.num_rows - 1)
     if held is not None:
-        yield _parts([(held[0], held[1], True, *held[2:])])
-
-
-def _parts(rows: list[tuple]) -> pa.RecordBatch:
-    span = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
-    types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.string(), span]
-    columns = zip(*rows, strict=True) if rows else [()] * 6
-    names = ["conv_id", "part", "last", "n_turns", "formatted", "spans"]
-    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names)
+        yield held
+
+
+def _with_last(parts: pa.RecordBatch, last: bool) -> pa.RecordBatch:
+    return parts.set_column(2, _PARTS.field("last"), pa.array([last] * parts.num_rows))
+
+
+def _assembled(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """One part for each conversation of a batch of turns, each taken for its conversation's last.
+
+    The buffer the turns are copied into is the data buffer of the column `formatted`; its offsets are those of
+    the first turns."""
+    n = batch.num_rows
+    role, text = escape(*_bytes_and_offsets(batch.column("role"))), escape(*_bytes_and_offsets(batch.column("text")))
+    fixed = [_constant(value, n) for value in (BEFORE_ROLE, AFTER_ROLE, AFTER_TEXT)]
+    out, starts = assemble([fixed[0], role, fixed[1], text, fixed[2]])
+    ids = batch.column("conv_id")
+    known = ids.is_valid().to_numpy(zero_copy_only=False)
+    number = ids.fill_null(0).to_numpy()
+    new = np.r_[True, (number[1:] != number[:-1]) | (known[1:] != known[:-1])]
+    bounds = np.r_[np.flatnonzero(new), n]
+    k = len(bounds) - 1
+    learn = np.flatnonzero(pc.equal(batch.column("role"), LOSS_ROLE).fill_null(False).to_numpy(zero_copy_only=False))
+    # characters before each byte: bytes that do not continue a UTF-8 character
+    chars = np.concatenate(([0], np.cumsum((out & 0xC0) != 0x80)))
+    begin, end = chars[starts[5 * learn + 3]], chars[starts[5 * learn + 4]]
+    of = bounds[np.searchsorted(bounds, learn, "right") - 1]
+    offsets = pa.py_buffer(starts[5 * bounds].astype(np.int32))
+    formatted = pa.StringArray.from_buffers(k, offsets, pa.py_buffer(out))
+    spans = pa.StructArray.from_arrays([pa.array(begin - chars[starts[5 * of]]), pa.array(end - begin)], fields=list(_SPAN))
+    spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(learn, bounds).astype(np.int32)), spans)
+    columns = [ids.take(pa.array(bounds[:-1])), pa.array(np.zeros(k, np.int64)), pa.array(np.ones(k, bool))]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(bounds)), formatted, spans], schema=_PARTS)
 
 
 def format_chats(turns: DataFrame) -> DataFrame:
