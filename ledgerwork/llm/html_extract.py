@@ -33,6 +33,8 @@ from ledgerwork.llm import gbt, runtime
 
 #: Pages of the table and made pages that the trees learn from, at most.
 SAMPLE, MADE = 400, 600
+#: Characters of the longest page that trees are made from; all pages are extracted.
+LONGEST = 200_000
 TREES, DEPTH, RATE, SEED = 40, 4, 0.3, 11
 
 # Names of HTML elements by what they are.
@@ -73,7 +75,11 @@ for _k, _group in enumerate(TOKENS):
     for _token in _group.split():
         _KINDS_OF_TOKEN.setdefault(_token, []).append(_k)
 
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
+#: An attribute: a quote opens a value only behind the equals sign, and one that is never closed lasts to the end.
+_ATTRIBUTE = r"""[\s/]*+[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>"'][^\s>]*+|(?=>|\Z)))?+"""
+_TAG = re.compile(
+    r"<!--.*?(?:-->|$)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:" + _ATTRIBUTE + r")*+)([\s/]*)>?", re.S
+)
 _NAMED = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
 
@@ -130,11 +136,11 @@ class Page:
                         if tags[stack[k]] in SCOPE[tag]:
                             break
                 element = self._open(tag, match[3], stack[-1])
-                closed = (match[3] or "").endswith("/")
-                if tag in RAW and not (tag == "svg" and closed):
+                # a slash closes foreign elements only, and not from inside a value
+                if tag in RAW and not (tag == "svg" and match[4].endswith("/")):
                     end = re.compile(f"</{tag}[^>]*>?", re.I).search(source, at)
                     at = end.end() if end else size
-                elif tag not in VOID and not closed:
+                elif tag not in VOID and tag not in RAW:
                     stack.append(element)
             elif match[1]:
                 tag = match[1].lower()
@@ -319,8 +325,11 @@ def _own_labels(page: Page) -> np.ndarray | None:
 def fit(pages: DataFrame) -> gbt.Trees:
     """Trees from made pages and a bounded sample of the given ones, drawn by a hash of the page."""
     xs, ys = _made_pages()
-    rows = pages.select("html").where("html is not null").orderBy(F.xxhash64("html")).limit(SAMPLE).collect()
-    for row in rows:
+    # hashes first, so that no task sends pages that are not chosen; equal pages are one
+    short = pages.select("html", F.xxhash64("html").alias("hash")).where(F.length("html") <= LONGEST)
+    chosen = [r["hash"] for r in short.select("hash").distinct().orderBy("hash").limit(SAMPLE).collect()]
+    rows = short.where(F.col("hash").isin(chosen)).groupBy("hash").agg(F.min("html").alias("html")).orderBy("hash")
+    for row in rows.collect():
         page = Page(row["html"])
         label = _own_labels(page)
         if label is not None:
@@ -330,7 +339,8 @@ def fit(pages: DataFrame) -> gbt.Trees:
 
 
 def extract(pages: DataFrame, trees: gbt.Trees, name: str = "text") -> DataFrame:
-    """The rows with a further column `name`, the page's main text."""
+    """The rows with a further column `name` (with underscores if it is taken), the page's main text."""
+    name = runtime.free_name(name, pages)
     schema = T.StructType([*pages.schema.fields, T.StructField(name, T.StringType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

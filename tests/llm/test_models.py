@@ -147,3 +147,29 @@ def test_made_pages_that_were_not_learned_from(trees):
         both = sum(min(want.count(w), got.count(w)) for w in set(want))
         share.append(2 * both / (len(want) + len(got)) if want or got else 1)
     assert np.mean(share) > 0.97
+
+
+@pytest.mark.parametrize(
+    "source, parents, texts",
+    [
+        ("<p data-x=it's>one", [-1, 0], [(1, "one")]),
+        ('<p title="it>one', [-1, 0], []),
+        ("<p title=\"it>one\" class='a'>two", [-1, 0], [(1, "two")]),
+        ("<a href=/x/>in</a>out", [-1, 0], [(1, "in"), (0, "out")]),
+        ("<div/>inside", [-1, 0], [(1, "inside")]),
+        ('<svg class="icon"/>after', [-1, 0], [(0, "after")]),
+        ("<svg><p>no</p></svg>yes", [-1, 0], [(0, "yes")]),
+        ("x<br/>y<img src=a/>z", [-1, 0, 0], [(0, "x"), (0, "y"), (0, "z")]),
+        ("<script/>no</script>yes", [-1, 0], [(0, "yes")]),
+        ("<p =x a=>e", [-1, 0], [(1, "e")]),
+    ],
+)
+def test_tags_are_read_as_browsers_do(source, parents, texts):
+    page = html_extract.Page(source)
+    assert (page.parents, [t for t in page.texts if t[1]]) == (parents, texts)
+
+
+def test_extracted_column_does_not_clash(spark):
+    pages = spark.createDataFrame([(1, "u", "<article><p>Some words of an article, and more of them.</p></article>", "own")], "page_id long, url string, html string, text string")
+    out = html_extract.extract(pages, html_extract.fit(pages))
+    assert out.columns == ["page_id", "url", "html", "text", "_text"] and out.first().text == "own"
