@@ -264,6 +264,23 @@ QUERIES = {
         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) due_on FROM raw_payment""",
     "import_wide_payments": """SELECT contract_no, receipt_no, amount, CAST(make_date(2024, m, 1) AS DATE) due_on, settled_on,
         10.0e0 mgmt_fee, 0.0e0 loss_fee FROM wide_payment WHERE amount IS NOT NULL AND settled_on IS NOT NULL""",
+    "ledger_contracts": f"SELECT {LEDGER} FROM ledger WHERE contract_no IN ('4', '7', '10', '13', '100', '1000')",
+    "ledger_receipts": f"""SELECT {LEDGER} FROM ledger WHERE CAST(receipt_no AS BIGINT) BETWEEN 1 AND 2000 AND (qty_m3 IS NULL OR qty_m3 <> 0)""",
+    "unpaid_bills_contracts": "SELECT * FROM unpaid WHERE contract_no IN ('4', '7', '10', '13', '100', '1000')",
+    "subscribers_settled": "SELECT * FROM credit WHERE credit = 0",
+    "subscribers_chosen": "SELECT * FROM credit WHERE contract_no IN ('4', '7', '10', '13', '100', '1000')",
+    "membership_history_text": "SELECT contract_no, receipt_no, amount, paid_on FROM membership_payment",
+    "import_membership_first": """SELECT CAST(contract AS VARCHAR) contract_no, receipt_no, amount, COALESCE(paid_on, DATE '2024-03-01') paid_on
+        FROM (SELECT * FROM raw_membership ORDER BY row_no LIMIT 256) r WHERE source = 0 AND contract IS NOT NULL""",
+    "stock_of_known_products": """SELECT product, stock, CAST(trunc(stock) AS BIGINT) stock_units FROM (SELECT k.product,
+        COALESCE((SELECT SUM(qty) FROM purchase a WHERE CAST(a.product AS BIGINT) % 11 = k.place), 0)
+        - COALESCE((SELECT SUM(qty) FROM product_use u WHERE CAST(u.product AS BIGINT) % 11 = k.place), 0) stock
+        FROM (VALUES ('Compteur', 0), ('Pompe', 1), ('Filtre', 2), ('Réservoir', 3), ('Tuyau irrigation', 4), ('Capteur de niveau', 5),
+        ('Vanne à bille', 6), ('Distributeur', 7), ('Adoucisseur', 8), ('Kit de traitement', 9), ('Divers', 10)) k(product, place)) x""",
+    "supplier_totals_early": """SELECT COALESCE(SUM(credit), 0.0e0) credit_total, COUNT(*) FILTER (receipt_no IS NULL) months_unpaid
+        FROM account WHERE month < DATE '1990-01-01'""",
+    "strict_reading_load": "SELECT * FROM meter_reading",
+    "table_copies": """SELECT contract_no, COUNT(*) payments, SUM(amount) amount, COUNT(*) * 15.0e0 fees FROM consumption_payment GROUP BY 1""",
     "payment_sheet_files": """SELECT row_number() OVER (ORDER BY row_no) - 1 row_no, contract_raw, due_raw, settled_raw, receipt_raw, amount FROM raw_payment""",
     "table_round_trip": """SELECT contract_no, COUNT(*) n_readings, SUM(index_m3) index_sum, MAX(read_on) last_read_on FROM (
         SELECT contract_no, read_on, CASE WHEN year(read_on) = 1997 THEN index_m3 + 1 ELSE index_m3 END index_m3 FROM meter_reading

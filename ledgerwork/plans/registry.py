@@ -14,7 +14,7 @@ from ledgerwork.functions.shared import use_checkpoint_folder
 from ledgerwork.functions.text import to_number
 from ledgerwork.operators import analytics, blocks, cash, checks, imports, invoices, ledger, maintenance, members, readings, stock, supplier
 from ledgerwork.plans.mapping import SHEET_MONTHS, Tables
-from ledgerwork.sources import sheets, tables
+from ledgerwork.sources import defaults, sheets, tables
 
 Job = Callable[[Tables], DataFrame]
 
@@ -173,6 +173,43 @@ def _invoice_files(t: Tables) -> DataFrame:
     return t.spark.read.parquet(folder).withColumn("month", F.col("month").cast("string"))
 
 
+def _strict_reading_load(t: Tables) -> DataFrame:
+    """Readings whose dates are text, loaded by the strict parse and read back."""
+    folder = _folder(t, "meter_reading")
+    raw = t.meter_reading.withColumn("read_on", F.date_format("read_on", "yyyy-M-d"))
+    tables.strict_days(raw, folder, "meter_reading", ["read_on"], "contract_no")
+    return tables.load_table(t.spark, folder, "meter_reading")
+
+
+def _table_copies(t: Tables) -> DataFrame:
+    """Payments with a fee column added, copied without their dates, and summed through a view."""
+    folder, view = _folder(t, "payments"), f"payments_{uuid.uuid4().hex}"
+    wider = tables.with_column_default(t.consumption_payment.drop("loss_fee"), "loss_fee", "double", 5.0)
+    tables.copy_columns(wider, ["contract_no", "receipt_no", "amount", "mgmt_fee", "loss_fee"], folder)
+    tables.save_view(t.spark.read.parquet(folder), view)
+    sums = t.spark.sql(
+        f"SELECT contract_no, count(*) AS payments, sum(amount) AS amount, sum(mgmt_fee + loss_fee) AS fees FROM {view} GROUP BY contract_no"
+    )
+    tables.drop_view(t.spark, view)
+    return sums
+
+
+def _stock_of_known_products(t: Tables) -> DataFrame:
+    """Stock of the known product list; a part counts as one of its products."""
+    names = F.array(*[F.lit(name) for name in defaults.PRODUCTS])
+    place = (F.col("product").cast("long") % len(defaults.PRODUCTS) + 1).cast("int")
+    bought, used = [df.withColumn("product", F.element_at(names, place)) for df in (t.purchase, t.product_use)]
+    return stock.stock_on_hand(defaults.products(t.spark), bought, used)
+
+
+def _supplier_totals_early(t: Tables) -> DataFrame:
+    """The totals of an account that has no month yet."""
+    return supplier.supplier_totals(_account(t).where(F.col("month") < F.lit("1990-01-01").cast("date")))
+
+
+SOME_CONTRACTS = ["4", "7", "10", "13", "100", "1000"]
+
+
 JOBS: dict[str, Job] = {
     "bills": lambda t: ledger.bills(t.meter_reading),
     "dated_payments": lambda t: ledger.dated_payments(t.consumption_payment),
@@ -227,6 +264,19 @@ JOBS: dict[str, Job] = {
     "import_wide_payments": lambda t: imports.import_wide_payments(
         t.wide_payment, [(f"2024-{number:02d}-01", name) for number, name in enumerate(SHEET_MONTHS, 1)]
     ),
+    "ledger_contracts": lambda t: ledger.ledger(t.meter_reading, t.consumption_payment, contracts=SOME_CONTRACTS),
+    "ledger_receipts": lambda t: ledger.filter_ledger(_ledger(t), receipts=[str(n) for n in range(1, 2001)], qty="nonzero"),
+    "unpaid_bills_contracts": lambda t: ledger.unpaid_bills(_ledger(t), contracts=SOME_CONTRACTS),
+    "subscribers_settled": lambda t: members.filter_subscribers(_credit(t), credit="zero"),
+    "subscribers_chosen": lambda t: members.filter_subscribers(_credit(t), contracts=SOME_CONTRACTS),
+    "membership_history_text": lambda t: members.membership_history(
+        t.membership_payment.withColumn("paid_on", F.date_format("paid_on", "yyyy-MM-dd"))
+    ),
+    "import_membership_first": lambda t: imports.import_membership_office(t.raw_membership, first_rows=imports.OFFICE_ROWS),
+    "stock_of_known_products": _stock_of_known_products,
+    "supplier_totals_early": _supplier_totals_early,
+    "strict_reading_load": _strict_reading_load,
+    "table_copies": _table_copies,
     "payment_sheet_files": _payment_sheet_files,
     "table_round_trip": _table_round_trip,
     "invoice_files": _invoice_files,

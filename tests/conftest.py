@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -14,6 +15,7 @@ from ledgerwork import session as settings  # noqa: E402
 def session() -> SparkSession:
     builder = SparkSession.builder.master("local[8]").appName("ledgerwork-tests")
     builder = builder.config("spark.driver.memory", "8g").config("spark.ui.enabled", "false")
+    builder = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tests-"))
     spark = settings.apply(builder, 8).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
