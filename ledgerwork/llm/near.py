@@ -80,7 +80,7 @@ def links(
         "key", "band", F.inline(first_sides), "id", F.col("id").alias("own"), F.lit(False).alias("both")
     )
     columns = ["key", "band", "chunk", "kind", "id", "own", "both"]
-    found = sift(alone.select(*columns), signed, percent, margin, once=False)
+    found = sift(alone.select(*columns), signed, percent, margin, once=False).where("kind = 1")
     pairs = found.select("id", F.explode("pivots").alias("pivot")).distinct()
     first = runtime.keep(compare(pairs, involved, sets, percent))
     joined = components(first)
@@ -124,7 +124,8 @@ def links(
 
 
 def sift(rows: DataFrame, signed: DataFrame, percent: int, margin: float, once: bool) -> DataFrame:
-    """(key, chunk, id, pivots): the items that each one may be linked with, by size and signature.
+    """(key, chunk, kind, id, pivots): for items of kind 1 those they may be linked with, by size and signature;
+    each of these stands there once as an item of kind 0, without any.
 
     `rows` (key, band, chunk, kind, id, own, both): items of kind 1 are paired with those of kind 0 under the
     same key and chunk, unless they have the same component `own`, or both are left over and it is the other's turn.
@@ -133,7 +134,7 @@ def sift(rows: DataFrame, signed: DataFrame, percent: int, margin: float, once:
     share = percent / 100
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, None
+        at, held, told = None, None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -144,15 +145,16 @@ def sift(rows: DataFrame, signed: DataFrame, percent: int, margin: float, once:
             )
             both = batch.column("both").to_numpy(zero_copy_only=False)
             new = np.flatnonzero((key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1])) + 1
-            found = [], [], [], []
+            found = [], [], [], [], []
             for low, high in zip((0, *new), (*new, len(key)), strict=True):
                 group = (key[low], chunk[low])
                 middle = low + int(np.searchsorted(kind[low:high], 1))
                 here = [x[low:middle] for x in (item, size, own, both, sign, bands)]
                 if at == group:
                     held = [np.concatenate(x) for x in zip(held, here, strict=True)]
+                    told = np.concatenate((told, np.zeros(middle - low, bool)))
                 else:
-                    at, held = group, here
+                    at, held, told = group, here, np.zeros(middle - low, bool)
                 against, sizes, owns, boths, signs, keys = held
                 # as many at once as keep the compared bytes few
                 step = max(1, (8 << 20) // max(1, signs.size))
@@ -169,19 +171,26 @@ def sift(rows: DataFrame, signed: DataFrame, percent: int, margin: float, once:
                     if len(a):
                         # partners of one item stand together
                         firsts = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
-                        found[0].append(np.full(len(firsts), key[low]))
-                        found[1].append(np.full(len(firsts), chunk[low]))
-                        found[2].append(item[asked][a[firsts]])
-                        found[3].extend(np.split(against[b], firsts[1:]))
-            out = [np.concatenate(x) if x else [] for x in found[:3]]
-            sizes_of = np.array([0, *map(len, found[3])], np.int64).cumsum().astype(np.int32)
-            partners = pa.array(np.concatenate(found[3]) if found[3] else [], pa.int64())
-            arrays = [pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int64()), strict=True)]
+                        untold = np.unique(b)
+                        untold = untold[~told[untold]]
+                        told[untold] = True
+                        kinds = np.repeat((0, 1), (len(untold), len(firsts)))
+                        found[0].append(np.full(len(kinds), key[low]))
+                        found[1].append(np.full(len(kinds), chunk[low]))
+                        found[2].append(kinds)
+                        found[3].append(np.concatenate((against[untold], item[asked][a[firsts]])))
+                        found[4].extend([against[:0]] * len(untold))
+                        found[4].extend(np.split(against[b], firsts[1:]))
+            out = [np.concatenate(x) if x else [] for x in found[:4]]
+            sizes_of = np.array([0, *map(len, found[4])], np.int64).cumsum().astype(np.int32)
+            partners = pa.array(np.concatenate(found[4]) if found[4] else [], pa.int64())
+            types = (pa.int64(), pa.int32(), pa.int32(), pa.int64())
+            arrays = [pa.array(x, t) for x, t in zip(out, types, strict=True)]
             arrays.append(pa.ListArray.from_arrays(pa.array(sizes_of), partners))
-            yield pa.RecordBatch.from_arrays(arrays, ["key", "chunk", "id", "pivots"])
+            yield pa.RecordBatch.from_arrays(arrays, ["key", "chunk", "kind", "id", "pivots"])
 
     columns = ["key", "band", "chunk", "kind", "id", "size", "own", "both", "signature", "bands32"]
-    return placed.select(*columns).mapInArrow(run, "key long, chunk int, id long, pivots array<long>")
+    return placed.select(*columns).mapInArrow(run, "key long, chunk int, kind int, id long, pivots array<long>")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -221,14 +230,11 @@ def compare(pairs: DataFrame, texts: DataFrame, sets: Sets, percent: int) -> Dat
 
 
 def compare_within(found: DataFrame, texts: DataFrame, sets: Sets, percent: int) -> DataFrame:
-    """As `compare`, for items with their partners in a chunk (key, chunk, id, pivots), of which many share partners.
+    """As `compare`, for what `sift` finds: items of a chunk, of which many share their partners.
 
     A text is fetched and cut up once for all its partners there; a chunk has about CHUNK partners, whose sets
     the task holds."""
-    asked = found.select("key", "chunk", "id", "pivots", F.lit(1).alias("kind"))
-    held = found.select("key", "chunk", F.explode("pivots").alias("id")).distinct()
-    held = held.select("*", F.array().cast("array<bigint>").alias("pivots"), F.lit(0).alias("kind"))
-    placed = asked.union(held).join(texts, "id").repartition("key", "chunk").sortWithinPartitions("key", "chunk", "kind")
+    placed = found.join(texts, "id").repartition("key", "chunk").sortWithinPartitions("key", "chunk", "kind")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, known = None, {}
