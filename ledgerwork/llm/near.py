@@ -25,7 +25,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerwork.llm import runtime, shingles
@@ -54,16 +54,13 @@ def links(
     table that is joined with it) the items' sizes, a byte for each place, equal with a probability of the
     similarity, and the low 32 bits of each band's key. `fetch` turns some ids (id) into texts (id, text); `sets`
     gives the distinct members of each text's set. Two items are linked if 100 * shared >= percent * union."""
-    # dealt by key once, for the pivots and for the join with them; no key has more than one row of an item
-    spread = items.select("id", F.posexplode("bands").alias("band", "key")).repartition("key")
-    order = F.xxhash64("id", "key")
-    buckets = (
-        spread.groupBy("key")
-        .agg(F.count(F.lit(1)).alias("items"), F.min_by("id", order).alias("pivot"))
-        .where("items > 1")
-        .select("key", "pivot", F.ceil(F.col("items") / CHUNK).cast("int").alias("chunks"))
-    )
-    members = runtime.keep(spread.join(buckets, "key"))
+    # no key has more than one row of an item; the pivot is the item that is least when mixed with the key
+    spread = items.select("id", F.posexplode("bands").alias("band", "key"))
+    bucket = Window.partitionBy("key")
+    mixed = F.min(F.col("id").bitwiseXOR(F.col("key"))).over(bucket).bitwiseXOR(F.col("key"))
+    sized = spread.select("id", "band", "key", F.count(F.lit(1)).over(bucket).alias("items"), mixed.alias("pivot"))
+    chunks = F.ceil(F.col("items") / CHUNK).cast("int").alias("chunks")
+    members = runtime.keep(sized.where("items > 1").select("id", "band", "key", "pivot", chunks))
     ids = runtime.keep(members.select("id").distinct())
     signed = runtime.keep(signatures(ids) if callable(signatures) else signatures.join(ids, "id", "left_semi").dropDuplicates(["id"]))
     involved = runtime.keep(fetch(ids))
@@ -76,12 +73,8 @@ def links(
     # the pivot goes to all chunks of its bucket, an item to one
     is_pivot = F.col("id") == F.col("pivot")
     first_sides = F.when(is_pivot, F.transform(all_chunks, lambda c: side(c, 0))).otherwise(F.array(side(at_chunk, 1)))
-    alone = members.select(
-        "key", "band", F.inline(first_sides), "id", F.col("id").alias("own"), F.lit(False).alias("both")
-    )
-    columns = ["key", "band", "chunk", "kind", "id", "own", "both"]
-    found = sift(alone.select(*columns), signed, percent, margin, once=False).where("kind = 1")
-    pairs = found.select("id", F.explode("pivots").alias("pivot")).distinct()
+    alone = members.select("key", F.inline(first_sides), "id")
+    pairs = runtime.keep(sift_pivots(alone, signed, percent, margin).distinct())
     first = runtime.keep(compare(pairs, involved, sets, percent))
     joined = components(first)
 
@@ -106,9 +99,7 @@ def links(
     asked = F.when(F.col("left_over"), F.transform(all_chunks, lambda c: side(c, 1)))
     sides = F.concat(F.coalesce(asked, F.array().cast("array<struct<chunk:int,kind:int>>")), F.array(side(at_chunk, 0)))
     rest = dealt.select("key", "band", F.inline(sides), "id", "own", F.col("left_over").alias("both"))
-    second = runtime.keep(
-        compare_within(sift(rest.select(*columns), signed, percent, margin, once=True), involved, sets, percent)
-    )
+    second = runtime.keep(compare_within(sift(rest, signed, percent, margin), involved, sets, percent))
     none = second.isEmpty()
     if not none:
         carried = second.join(at_id.withColumnRenamed("id", "a").withColumnRenamed("own", "root_a"), "a", "left").join(
@@ -118,18 +109,50 @@ def links(
         # what the first round linked keeps its component as its neighbour
         joined = components(joined.select(F.col("id").alias("a"), F.col("component").alias("b")).union(between))
     joined = runtime.keep(joined)
-    for table in (members, ids, signed, involved, first, placed, second):
+    for table in (members, ids, signed, involved, pairs, first, placed, second):
         runtime.drop(table)
     return joined
 
 
-def sift(rows: DataFrame, signed: DataFrame, percent: int, margin: float, once: bool) -> DataFrame:
+def sift_pivots(rows: DataFrame, signed: DataFrame, percent: int, margin: float) -> DataFrame:
+    """(id, pivot): the items (kind 1 of `rows`: key, chunk, kind, id) that may be linked with the pivot of their key
+    (kind 0, in each of its chunks), by size and signature."""
+    placed = rows.join(signed.drop("bands32"), "id").repartition("key", "chunk")
+    placed = placed.sortWithinPartitions("key", "chunk", "kind").select("kind", "id", "size", "signature")
+    share = percent / 100
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: pa.RecordBatch | None = None  # the pivot that the next rows may belong to
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if last is not None:
+                batch = pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
+            sign = _matrix(batch.column("signature"))
+            least = share - margin * (share * (1 - share) / sign.shape[1]) ** 0.5
+            kind, item, size = (batch.column(c).to_numpy() for c in ("kind", "id", "size"))
+            # a group begins with its pivot
+            pivot = np.maximum.accumulate(np.where(kind == 0, np.arange(len(kind)), 0))
+            near = np.minimum(size, size[pivot]) * 100 >= np.maximum(size, size[pivot]) * percent
+            rows = np.flatnonzero((kind == 1) & near)
+            alike = np.zeros(len(rows), bool)
+            for low in range(0, len(rows), 1 << 14):
+                some = rows[low : low + (1 << 14)]
+                alike[low : low + len(some)] = (sign[some] == sign[pivot[some]]).mean(axis=1) >= least
+            rows = rows[alike]
+            last = batch.slice(int(pivot[-1]), 1)
+            yield pa.RecordBatch.from_arrays([pa.array(item[rows]), pa.array(item[pivot[rows]])], ["id", "pivot"])
+
+    return placed.mapInArrow(run, "id long, pivot long")
+
+
+def sift(rows: DataFrame, signed: DataFrame, percent: int, margin: float) -> DataFrame:
     """(key, chunk, kind, id, pivots): for items of kind 1 those they may be linked with, by size and signature;
     each of these stands there once as an item of kind 0, without any.
 
     `rows` (key, band, chunk, kind, id, own, both): items of kind 1 are paired with those of kind 0 under the
-    same key and chunk, unless they have the same component `own`, or both are left over and it is the other's turn.
-    With `once`, only in the first band they share."""
+    same key and chunk in the first band they share, unless they have the same component `own`, or both are left over
+    and it is the other's turn."""
     placed = rows.join(signed, "id").repartition("key", "chunk").sortWithinPartitions("key", "chunk", "kind")
     share = percent / 100
 
@@ -165,7 +188,7 @@ def sift(rows: DataFrame, signed: DataFrame, percent: int, margin: float, once:
                     a, b = np.nonzero(near)
                     alike = (sign[asked][a] == signs[b]).mean(axis=1) >= least
                     a, b = a[alike], b[alike]
-                    if once and len(a):
+                    if len(a):
                         mine = (bands[asked][a] == keys[b]).argmax(axis=1) == band[low]
                         a, b = a[mine], b[mine]
                     if len(a):
