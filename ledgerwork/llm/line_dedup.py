@@ -3,7 +3,7 @@
 Two lines are linked if the sets of their shingles of `CHARS` characters (A-Z as a-z; a shorter line
 is one shingle) have a Jaccard similarity of 0.8 or more. Signatures are one-permutation MinHash: a
 shingle's hash picks a place and offers its value there; empty places borrow from a place drawn
-for them. 26 bands of four places miss a pair at 0.8 with probability 1e-6, closer pairs more rarely; the
+for them. 20 bands of three places miss a pair at 0.8 with probability 6e-7, closer pairs more rarely; the
 sift of `near.links` has a margin of `MARGIN` deviations.
 Equal lines are one item throughout: they meet in one shuffle, with their text, and only what they
 have in common goes on. `near.links` compares whole lines and joins what is linked; of each component the
@@ -33,8 +33,9 @@ from ledgerwork.llm import near, runtime, shingles
 from ledgerwork.llm.superminhash import band_keys, bytes_of
 
 CHARS = 7
-BANDS, ROWS = 26, 4
-PLACES = BANDS * ROWS
+BANDS, ROWS = 20, 3
+#: Places of a signature; the bands use the first of them, the sift all.
+PLACES = 104
 #: Standard deviations of the sift; places that borrow in short lines vary together, so more than for documents.
 MARGIN = 8
 
@@ -126,12 +127,16 @@ def _signed(column: pa.Array) -> np.ndarray:
     return signatures(shingle, offsets).astype(_U)
 
 
+def _keys(signed: np.ndarray) -> np.ndarray:
+    return band_keys(signed[:, : BANDS * ROWS], BANDS)
+
+
 def _bands(classes: DataFrame) -> DataFrame:
     """`classes` (id, text) -> the band keys of each line."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in runtime.slices(batches, "text", 1 << 20):
-            keys = band_keys(_signed(batch.column("text")), BANDS).view(np.int64)
+            keys = _keys(_signed(batch.column("text"))).view(np.int64)
             starts = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * BANDS)
             listed = pa.ListArray.from_arrays(starts, pa.array(np.ascontiguousarray(keys).reshape(-1)))
             yield pa.RecordBatch.from_arrays([batch.column("id"), listed], ["id", "bands"])
@@ -146,7 +151,7 @@ def _signatures(texts: DataFrame) -> DataFrame:
         for batch in runtime.slices(batches, "text", 1 << 20):
             signed = _signed(batch.column("text"))
             one = pa.array(np.ones(batch.num_rows, np.int32))
-            arrays = [batch.column("id"), one, bytes_of(signed), bytes_of(band_keys(signed, BANDS), "<u4")]
+            arrays = [batch.column("id"), one, bytes_of(signed), bytes_of(_keys(signed), "<u4")]
             yield pa.RecordBatch.from_arrays(arrays, ["id", "size", "signature", "bands32"])
 
     return texts.select("id", "text").mapInArrow(run, SIGNED)
