@@ -167,6 +167,7 @@ def dropped_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.min("place").alias("place"), F.first("text").alias("text")
     )
     classes = runtime.keep(equal.withColumn("id", F.monotonically_increasing_id()))
+    runtime.release(docs.sparkSession)
 
     def texts(ids: DataFrame) -> DataFrame:
         return classes.select("id", "text").join(ids, "id", "left_semi")

@@ -61,6 +61,7 @@ def links(
     sized = spread.select("id", "band", "key", F.count(F.lit(1)).over(bucket).alias("items"), mixed.alias("pivot"))
     chunks = F.ceil(F.col("items") / CHUNK).cast("int").alias("chunks")
     members = runtime.keep(sized.where("items > 1").select("id", "band", "key", "pivot", chunks))
+    runtime.release(items.sparkSession)
     ids = runtime.keep(members.select("id").distinct())
     signed = runtime.keep(signatures(ids) if callable(signatures) else signatures.join(ids, "id", "left_semi").dropDuplicates(["id"]))
     involved = runtime.keep(fetch(ids))

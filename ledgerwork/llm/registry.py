@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerwork.llm import alignment, bpe_transducer, chat, html_extract, itq, line_dedup, packing, quality, repair, sharding, simhash, superminhash, toxicity
+from ledgerwork.llm import alignment, bpe_transducer, chat, html_extract, itq, line_dedup, oracles, packing, quality, repair, sharding, simhash, superminhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -96,4 +96,4 @@ QUERIES: dict[str, Query] = {
     "op13_lockstep_alignment": op13_lockstep_alignment,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = oracles.SQL

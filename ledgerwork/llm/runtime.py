@@ -37,6 +37,13 @@ def keep(df: DataFrame) -> DataFrame:
     return kept
 
 
+def release(spark: SparkSession) -> None:
+    """Have the shuffle files behind tables kept so far removed now, where they are large. The driver refers to the
+    last execution until another one has run."""
+    spark.range(1).count()
+    spark._jvm.System.gc()
+
+
 def drop(df: DataFrame) -> None:
     """Delete a table made by `keep` that nothing reads any more."""
     spark = df.sparkSession
