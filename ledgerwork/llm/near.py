@@ -11,8 +11,8 @@ them is left over, if they are in different components, or it is the pivot, and
 Its partners leave the task with the item, as one row for the item and chunk, so rows grow with the items.
 
 A pair is sifted before its texts are fetched: signatures give an estimate of the similarity, and a
-pair more than `margin` standard deviations under the bound is left out. The items of a bucket are dealt
-out in chunks of about `CHUNK` in both rounds, so no task holds a large bucket.
+pair more than `margin` standard deviations under the bound is left out. In the second round the items of a bucket are
+dealt out in chunks of about `CHUNK`, so no task holds a large bucket.
 
 Comparisons are streamed: the texts to compare with a pivot come sorted behind the pivot's text;
 the members of a pivot are dealt out over `SPREAD` groups, so no pivot is one task's work. In the second round,
@@ -55,12 +55,12 @@ def links(
     similarity, and the low 32 bits of each band's key. `fetch` turns some ids (id) into texts (id, text); `sets`
     gives the distinct members of each text's set. Two items are linked if 100 * shared >= percent * union."""
     # no key has more than one row of an item; the pivot is the item that is least when mixed with the key
-    spread = items.select("id", F.posexplode("bands").alias("band", "key"))
+    spread = items.select("id", F.explode("bands").alias("key"))
     bucket = Window.partitionBy("key")
     mixed = F.min(F.col("id").bitwiseXOR(F.col("key"))).over(bucket).bitwiseXOR(F.col("key"))
-    sized = spread.select("id", "band", "key", F.count(F.lit(1)).over(bucket).alias("items"), mixed.alias("pivot"))
+    sized = spread.select("id", "key", F.count(F.lit(1)).over(bucket).alias("items"), mixed.alias("pivot"))
     chunks = F.ceil(F.col("items") / CHUNK).cast("int").alias("chunks")
-    members = runtime.keep(sized.where("items > 1").select("id", "band", "key", "pivot", chunks))
+    members = runtime.keep(sized.where("items > 1").select("id", "key", "pivot", chunks))
     runtime.release(items.sparkSession)
     ids = runtime.keep(members.select("id").distinct())
     signed = runtime.keep(signatures(ids) if callable(signatures) else signatures.join(ids, "id", "left_semi").dropDuplicates(["id"]))
@@ -71,11 +71,12 @@ def links(
     def side(chunk: Column, kind: int) -> Column:
         return F.struct(chunk.alias("chunk"), F.lit(kind).alias("kind"))
 
-    # the pivot goes to all chunks of its bucket, an item to one
+    # an item and a pivot meet in many buckets, and each may be the pivot in some: once here
     is_pivot = F.col("id") == F.col("pivot")
-    first_sides = F.when(is_pivot, F.transform(all_chunks, lambda c: side(c, 0))).otherwise(F.array(side(at_chunk, 1)))
-    alone = members.select("key", F.inline(first_sides), "id")
-    pairs = runtime.keep(sift_pivots(alone, signed, percent, margin).distinct())
+    met = members.where(~is_pivot).groupBy(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
+    met = met.agg(F.max("pivot").alias("pivot"))
+    met = met.select(F.when(F.col("pivot") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("id"), "pivot")
+    pairs = runtime.keep(sift_pivots(met, signed, percent, margin))
     first = runtime.keep(compare(pairs, involved, sets, percent))
     joined = components(first)
 
@@ -86,7 +87,6 @@ def links(
         .join(at_pivot, "pivot", "left")
         .select(
             "key",
-            "band",
             "chunks",
             "id",
             F.coalesce("own", "id").alias("own"),
@@ -99,7 +99,7 @@ def links(
     dealt = placed.where("not is_pivot").join(open_keys.where("open and items > 2").select("key"), "key")
     asked = F.when(F.col("left_over"), F.transform(all_chunks, lambda c: side(c, 1)))
     sides = F.concat(F.coalesce(asked, F.array().cast("array<struct<chunk:int,kind:int>>")), F.array(side(at_chunk, 0)))
-    rest = dealt.select("key", "band", F.inline(sides), "id", "own", F.col("left_over").alias("both"))
+    rest = dealt.select("key", F.inline(sides), "id", "own", F.col("left_over").alias("both"))
     second = runtime.keep(compare_within(sift(rest, signed, percent, margin), involved, sets, percent))
     none = second.isEmpty()
     if not none:
@@ -115,43 +115,33 @@ def links(
     return joined
 
 
-def sift_pivots(rows: DataFrame, signed: DataFrame, percent: int, margin: float) -> DataFrame:
-    """(id, pivot): the items (kind 1 of `rows`: key, chunk, kind, id) that may be linked with the pivot of their key
-    (kind 0, in each of its chunks), by size and signature."""
-    placed = rows.join(signed.drop("bands32"), "id").repartition("key", "chunk")
-    placed = placed.sortWithinPartitions("key", "chunk", "kind").select("kind", "id", "size", "signature")
+def sift_pivots(pairs: DataFrame, signed: DataFrame, percent: int, margin: float) -> DataFrame:
+    """The `pairs` (id, pivot) that may be linked, by size and signature."""
+    one = signed.select("id", "size", "signature")
+    other = signed.select(*[F.col(c).alias(f"pivot_{c}") for c in one.columns])
+    both = pairs.join(one, "id").join(other, F.col("pivot") == F.col("pivot_id"))
     share = percent / 100
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: pa.RecordBatch | None = None  # the pivot that the next rows may belong to
         for batch in batches:
             if not batch.num_rows:
                 continue
-            if last is not None:
-                batch = pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
-            sign = _matrix(batch.column("signature"))
-            least = share - margin * (share * (1 - share) / sign.shape[1]) ** 0.5
-            kind, item, size = (batch.column(c).to_numpy() for c in ("kind", "id", "size"))
-            # a group begins with its pivot
-            pivot = np.maximum.accumulate(np.where(kind == 0, np.arange(len(kind)), 0))
-            near = np.minimum(size, size[pivot]) * 100 >= np.maximum(size, size[pivot]) * percent
-            rows = np.flatnonzero((kind == 1) & near)
-            alike = np.zeros(len(rows), bool)
-            for low in range(0, len(rows), 1 << 14):
-                some = rows[low : low + (1 << 14)]
-                alike[low : low + len(some)] = (sign[some] == sign[pivot[some]]).mean(axis=1) >= least
-            rows = rows[alike]
-            last = batch.slice(int(pivot[-1]), 1)
-            yield pa.RecordBatch.from_arrays([pa.array(item[rows]), pa.array(item[pivot[rows]])], ["id", "pivot"])
-
-    return placed.mapInArrow(run, "id long, pivot long")
+            sizes = [batch.column(c).to_numpy() for c in ("size", "pivot_size")]
+            near = np.minimum(*sizes) * 100 >= np.maximum(*sizes) * percent
+            signs = [_matrix(batch.column(c)) for c in ("signature", "pivot_signature")]
+            least = share - margin * (share * (1 - share) / signs[0].shape[1]) ** 0.5
+            near &= (signs[0] == signs[1]).mean(axis=1) >= least
+            yield batch.select(["id", "pivot"]).filter(pa.array(near))
+
+    columns = ("id", "pivot", "size", "pivot_size", "signature", "pivot_signature")
+    return both.select(*columns).mapInArrow(run, "id long, pivot long")
 
 
 def sift(rows: DataFrame, signed: DataFrame, percent: int, margin: float) -> DataFrame:
     """(key, chunk, kind, id, pivots): for items of kind 1 those they may be linked with, by size and signature;
     each of these stands there once as an item of kind 0, without any.
 
-    `rows` (key, band, chunk, kind, id, own, both): items of kind 1 are paired with those of kind 0 under the
+    `rows` (key, chunk, kind, id, own, both): items of kind 1 are paired with those of kind 0 under the
     same key and chunk in the first band they share, unless they have the same component `own`, or both are left over
     and it is the other's turn."""
     placed = rows.join(signed, "id").repartition("key", "chunk").sortWithinPartitions("key", "chunk", "kind")
@@ -164,8 +154,8 @@ def sift(rows: DataFrame, signed: DataFrame, percent: int, margin: float) -> Dat
                 continue
             sign, bands = _matrix(batch.column("signature")), _matrix(batch.column("bands32")).view("<u4")
             least = share - margin * (share * (1 - share) / sign.shape[1]) ** 0.5
-            key, band, chunk, kind, item, size, own = (
-                batch.column(c).to_numpy() for c in ("key", "band", "chunk", "kind", "id", "size", "own")
+            key, chunk, kind, item, size, own = (
+                batch.column(c).to_numpy() for c in ("key", "chunk", "kind", "id", "size", "own")
             )
             both = batch.column("both").to_numpy(zero_copy_only=False)
             new = np.flatnonzero((key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1])) + 1
@@ -190,7 +180,8 @@ def sift(rows: DataFrame, signed: DataFrame, percent: int, margin: float) -> Dat
                     alike = (sign[asked][a] == signs[b]).mean(axis=1) >= least
                     a, b = a[alike], b[alike]
                     if len(a):
-                        mine = (bands[asked][a] == keys[b]).argmax(axis=1) == band[low]
+                        band = (bands[low] == np.uint32(int(key[low]) & 0xFFFFFFFF)).argmax()
+                        mine = (bands[asked][a] == keys[b]).argmax(axis=1) == band
                         a, b = a[mine], b[mine]
                     if len(a):
                         # partners of one item stand together
@@ -213,7 +204,7 @@ def sift(rows: DataFrame, signed: DataFrame, percent: int, margin: float) -> Dat
             arrays.append(pa.ListArray.from_arrays(pa.array(sizes_of), partners))
             yield pa.RecordBatch.from_arrays(arrays, ["key", "chunk", "kind", "id", "pivots"])
 
-    columns = ["key", "band", "chunk", "kind", "id", "size", "own", "both", "signature", "bands32"]
+    columns = ["key", "chunk", "kind", "id", "size", "own", "both", "signature", "bands32"]
     return placed.select(*columns).mapInArrow(run, "key long, chunk int, kind int, id long, pivots array<long>")
 
 
