@@ -172,14 +172,18 @@ def dropped_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     def texts(ids: DataFrame) -> DataFrame:
         return classes.select("id", "text").join(ids, "id", "left_semi")
 
-    linked = near.links(_bands(classes), lambda ids: _signatures(texts(ids)), texts, char_sets, percent, MARGIN)
-    joined = classes.drop("text").join(linked, "id", "left").where("n > 1 or component is not null")
+    # the texts are needed no longer once those that share a bucket have been fetched
+    known = runtime.keep(classes.drop("text"))
+    linked = near.links(
+        _bands(classes), lambda ids: _signatures(texts(ids)), texts, char_sets, percent, MARGIN, lambda: runtime.drop(classes)
+    )
+    joined = known.join(linked, "id", "left").where("n > 1 or component is not null")
     several = runtime.keep(joined.select("half_a", "half_b", F.coalesce("component", "id").alias("component"), "place"))
     stays = several.groupBy("component").agg(F.min("place").alias("stays"))
-    known = several.join(stays, "component").select("half_a", "half_b", "stays")
+    chosen = several.join(stays, "component").select("half_a", "half_b", "stays")
     return (
         lines.select("row", "line", "check", *halves)
-        .join(known, ["half_a", "half_b"])
+        .join(chosen, ["half_a", "half_b"])
         .where("row != stays.row or line != stays.line")
         .groupBy("row", "check")
         .agg(F.collect_list("line").alias("lines"))

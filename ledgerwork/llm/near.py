@@ -47,13 +47,15 @@ def links(
     sets: Sets,
     percent: int,
     margin: float = MARGIN,
+    fetched: Callable[[], None] = lambda: None,
 ) -> DataFrame:
     """`items` (id, bands) -> (id, component) of every item that is linked.
 
     `signatures` (id, size, signature, bands32) has for the ids it is asked for (a function of a table of ids, or a
     table that is joined with it) the items' sizes, a byte for each place, equal with a probability of the
     similarity, and the low 32 bits of each band's key. `fetch` turns some ids (id) into texts (id, text); `sets`
-    gives the distinct members of each text's set. Two items are linked if 100 * shared >= percent * union."""
+    gives the distinct members of each text's set; `fetched` is called when nothing further is asked of these two and
+    of `items`. Two items are linked if 100 * shared >= percent * union."""
     # no key has more than one row of an item; the pivot is the item that is least when mixed with the key
     spread = items.select("id", F.explode("bands").alias("key"))
     bucket = Window.partitionBy("key")
@@ -65,6 +67,8 @@ def links(
     ids = runtime.keep(members.select("id").distinct())
     signed = runtime.keep(signatures(ids) if callable(signatures) else signatures.join(ids, "id", "left_semi").dropDuplicates(["id"]))
     involved = runtime.keep(fetch(ids))
+    fetched()
+    runtime.release(items.sparkSession)
     at_chunk = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
     all_chunks = F.sequence(F.lit(0), F.col("chunks") - 1)
 
