@@ -31,7 +31,9 @@ from tokenizers import Tokenizer, normalizers
 from ledgerwork.llm import runtime
 
 #: Pieces of words that a Python worker remembers; beyond it, it forgets all.
-PIECES_KNOWN = 800_000
+PIECES_KNOWN = 500_000
+#: Pieces encoded at once; the library holds many times their size meanwhile.
+AT_ONCE = 5_000
 #: Parts in which the pieces of one length are ranked.
 PARTS = 256
 
@@ -92,8 +94,9 @@ class Words:
         quoting = [self.special.search(text) is not None for text in texts]
         split = [[] if quotes else self._split(text) for text, quotes in zip(texts, quoting, strict=True)]
         missing = list(set().union(*split).difference(self.pieces))
-        if missing:
-            self.pieces.update(zip(missing, self._encode(missing), strict=True))
+        for low in range(0, len(missing), AT_ONCE):
+            part = missing[low : low + AT_ONCE]
+            self.pieces.update(zip(part, self._encode(part), strict=True))
         of = self.pieces.__getitem__
         for text, found, quotes in zip(texts, split, quoting, strict=True):
             if quotes:
@@ -122,7 +125,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int, capacity: int) -> DataFram
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _words(path)
-        for batch in runtime.slices(batches, "text", 4 << 20):
+        for batch in runtime.slices(batches, "text", 2 << 20):
             rows = []
             texts = [text or "" for text in batch.column("text").to_pylist()]
             for doc_id, found in zip(batch.column("doc_id").to_pylist(), words.ids(texts), strict=True):

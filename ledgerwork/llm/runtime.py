@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -66,8 +67,20 @@ def text_bytes(column: pa.Array) -> pa.Array:
     return column.cast(pa.large_binary()).fill_null(b"")
 
 
+def give_back() -> None:
+    """Free memory of the Python worker back to the system: workers live on and would hold it beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not the GNU library
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that the text of one piece has at most `limit` bytes, or one row."""
+    """The batches cut so that the text of one piece has at most `limit` bytes, or one row.
+
+    What a batch leaves free goes back to the system before the next one comes."""
+    give_back()
     for batch in batches:
         lengths = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
         first, size = 0, 0
@@ -78,3 +91,5 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             size += n
         if first < len(lengths):
             yield batch.slice(first)
+        del batch, lengths
+        give_back()

@@ -120,7 +120,7 @@ def sketch(docs: DataFrame, words: int) -> DataFrame:
     """Size and fingerprint of each document's shingle set and the band keys of its signature."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in runtime.slices(batches, "text", 2 << 20):
+        for batch in runtime.slices(batches, "text", 1 << 19):
             member, offsets = shingles.word_shingles(batch.column("text"), words)
             sizes = np.diff(offsets)
             sets = shingles.fingerprint(member, offsets).view(np.int64)

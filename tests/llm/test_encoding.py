@@ -8,12 +8,13 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from helpers import ODD_TEXTS, documents
 from tokenizers import Tokenizer as Reference
 
-from ledgerwork.llm import bpe_transducer, chat, packing
+from ledgerwork.llm import bpe_transducer, chat, packing, runtime
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -148,3 +149,24 @@ def test_chats_read_back(spark):
         assert r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{t}\n" for _, a, t in rows).encode()).hexdigest()
         assert (r.loss_chars, r.loss_sha256) == (len(learned), hashlib.sha256(learned.encode()).hexdigest())
     assert chat.digests(chat.format_chats(table.limit(0))).count() == 0
+
+
+def test_new_words_are_encoded_in_parts(monkeypatch):
+    path = WORDS
+    words, parts = packing.Words(path), []
+    encode = words._encode
+    monkeypatch.setattr(packing, "AT_ONCE", 3)
+    monkeypatch.setattr(words, "_encode", lambda pieces: parts.append(len(pieces)) or encode(pieces))
+    texts = ["one two three four five six seven", "", "eight nine, ten one"]
+    plain = Reference.from_file(path)
+    expected = [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert list(words.ids(texts)) == expected
+    assert max(parts) <= 3 and sum(parts) == 11
+
+
+def test_free_memory_is_given_back_after_each_batch(monkeypatch):
+    given = []
+    monkeypatch.setattr(runtime, "give_back", lambda: given.append(1))
+    batch = pa.record_batch([pa.array(["a", None, "bc"])], ["text"])
+    assert sum(x.num_rows for x in runtime.slices(iter([batch, batch[:0], batch]), "text", 1)) == 6
+    assert len(given) == 4
