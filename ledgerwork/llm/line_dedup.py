@@ -38,6 +38,8 @@ BANDS, ROWS = 20, 3
 PLACES = 104
 #: Standard deviations of the sift; places that borrow in short lines vary together, so more than for documents.
 MARGIN = 8
+#: Bytes of lines that one numpy step handles; its arrays hold some hundred times as many and stay in the cache.
+SLICE = 1 << 17
 
 _U = np.uint64
 _NONE = np.uint32(0xFFFFFFFF)
@@ -135,7 +137,7 @@ def _bands(classes: DataFrame) -> DataFrame:
     """`classes` (id, text) -> the band keys of each line."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in runtime.slices(batches, "text", 1 << 20):
+        for batch in runtime.slices(batches, "text", SLICE):
             keys = _keys(_signed(batch.column("text"))).view(np.int64)
             starts = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * BANDS)
             listed = pa.ListArray.from_arrays(starts, pa.array(np.ascontiguousarray(keys).reshape(-1)))
@@ -148,7 +150,7 @@ def _signatures(texts: DataFrame) -> DataFrame:
     """(id, text) to what `near.sift` needs. Sizes are not told, so no pair is left out for them."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in runtime.slices(batches, "text", 1 << 20):
+        for batch in runtime.slices(batches, "text", SLICE):
             signed = _signed(batch.column("text"))
             one = pa.array(np.ones(batch.num_rows, np.int32))
             arrays = [batch.column("id"), one, bytes_of(signed), bytes_of(_keys(signed), "<u4")]
@@ -175,7 +177,7 @@ def dropped_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     # the texts are needed no longer once those that share a bucket have been fetched
     known = runtime.keep(classes.drop("text"))
     linked = near.links(
-        _bands(classes), lambda ids: _signatures(texts(ids)), texts, char_sets, percent, MARGIN, lambda: runtime.drop(classes)
+        _bands(classes), _signatures, texts, char_sets, percent, MARGIN, lambda: runtime.drop(classes)
     )
     joined = known.join(linked, "id", "left").where("n > 1 or component is not null")
     several = runtime.keep(joined.select("half_a", "half_b", F.coalesce("component", "id").alias("component"), "place"))

@@ -51,11 +51,11 @@ def links(
 ) -> DataFrame:
     """`items` (id, bands) -> (id, component) of every item that is linked.
 
-    `signatures` (id, size, signature, bands32) has for the ids it is asked for (a function of a table of ids, or a
-    table that is joined with it) the items' sizes, a byte for each place, equal with a probability of the
-    similarity, and the low 32 bits of each band's key. `fetch` turns some ids (id) into texts (id, text); `sets`
-    gives the distinct members of each text's set; `fetched` is called when nothing further is asked of these two and
-    of `items`. Two items are linked if 100 * shared >= percent * union."""
+    `signatures` (id, size, signature, bands32) has the items' sizes, a byte for each place, equal with a probability of
+    the similarity, and the low 32 bits of each band's key: a table, or a function that makes it of the texts
+    (id, text) of items. `fetch` turns some ids (id) into texts (id, text); `sets` gives the distinct members of each
+    text's set; `fetched` is called when nothing further is asked of `fetch` and of `items`. Two items are linked if
+    100 * shared >= percent * union."""
     # no key has more than one row of an item; the pivot is the item that is least when mixed with the key
     spread = items.select("id", F.explode("bands").alias("key"))
     bucket = Window.partitionBy("key")
@@ -65,15 +65,18 @@ def links(
     members = runtime.keep(sized.where("items > 1").select("id", "key", "pivot", chunks))
     runtime.release(items.sparkSession)
     ids = runtime.keep(members.select("id").distinct())
-    signed = runtime.keep(signatures(ids) if callable(signatures) else signatures.join(ids, "id", "left_semi").dropDuplicates(["id"]))
+    # the texts go through one shuffle; signatures are made of those fetched
     involved = runtime.keep(fetch(ids))
     fetched()
     runtime.release(items.sparkSession)
+    signed = signatures(involved) if callable(signatures) else signatures.join(ids, "id", "left_semi").dropDuplicates(["id"])
+    signed = runtime.keep(signed)
+    runtime.drop(ids)
     at_chunk = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
-    all_chunks = F.sequence(F.lit(0), F.col("chunks") - 1)
+    other_chunks = F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: c != at_chunk)
 
-    def side(chunk: Column, kind: int) -> Column:
-        return F.struct(chunk.alias("chunk"), F.lit(kind).alias("kind"))
+    def side(chunk: Column, kind: Column) -> Column:
+        return F.struct(chunk.alias("chunk"), kind.alias("kind"))
 
     # an item and a pivot meet in many buckets, and each may be the pivot in some: once here
     is_pivot = F.col("id") == F.col("pivot")
@@ -83,6 +86,8 @@ def links(
     pairs = runtime.keep(sift_pivots(met, signed, percent, margin))
     first = runtime.keep(compare(pairs, involved, sets, percent))
     joined = components(first)
+    for table in (pairs, first):
+        runtime.drop(table)
 
     at_id = joined.select("id", F.col("component").alias("own"))
     at_pivot = joined.select(F.col("id").alias("pivot"), F.col("component").alias("pivots"))
@@ -98,12 +103,16 @@ def links(
             is_pivot.alias("is_pivot"),
         )
     )
+    runtime.drop(members)
     # buckets that have left-over items; the pivot has been paired with all
     open_keys = placed.groupBy("key").agg(F.count(F.lit(1)).alias("items"), F.max("left_over").alias("open"))
     dealt = placed.where("not is_pivot").join(open_keys.where("open and items > 2").select("key"), "key")
-    asked = F.when(F.col("left_over"), F.transform(all_chunks, lambda c: side(c, 1)))
-    sides = F.concat(F.coalesce(asked, F.array().cast("array<struct<chunk:int,kind:int>>")), F.array(side(at_chunk, 0)))
-    rest = dealt.select("key", F.inline(sides), "id", "own", F.col("left_over").alias("both"))
+    # an item stands once in its own chunk, a left-over one in the others as well
+    asked = F.when(F.col("left_over"), F.transform(other_chunks, lambda c: side(c, F.lit(2))))
+    here = F.array(side(at_chunk, F.col("left_over").cast("int")))
+    sides = F.concat(here, F.coalesce(asked, F.array().cast("array<struct<chunk:int,kind:int>>")))
+    rest = dealt.select("key", F.inline(sides), "id", "own")
+    runtime.release(items.sparkSession)
     second = runtime.keep(compare_within(sift(rest, signed, percent, margin), involved, sets, percent))
     none = second.isEmpty()
     if not none:
@@ -114,7 +123,7 @@ def links(
         # what the first round linked keeps its component as its neighbour
         joined = components(joined.select(F.col("id").alias("a"), F.col("component").alias("b")).union(between))
     joined = runtime.keep(joined)
-    for table in (members, ids, signed, involved, pairs, first, placed, second):
+    for table in (signed, involved, placed, second):
         runtime.drop(table)
     return joined
 
@@ -142,13 +151,15 @@ def sift_pivots(pairs: DataFrame, signed: DataFrame, percent: int, margin: float
 
 
 def sift(rows: DataFrame, signed: DataFrame, percent: int, margin: float) -> DataFrame:
-    """(key, chunk, kind, id, pivots): for items of kind 1 those they may be linked with, by size and signature;
-    each of these stands there once as an item of kind 0, without any.
-
-    `rows` (key, chunk, kind, id, own, both): items of kind 1 are paired with those of kind 0 under the
-    same key and chunk in the first band they share, unless they have the same component `own`, or both are left over
-    and it is the other's turn."""
-    placed = rows.join(signed, "id").repartition("key", "chunk").sortWithinPartitions("key", "chunk", "kind")
+    """(key, chunk, kind, id, pivots): for left-over items (kind 1) those they may be linked with, by size and
+    signature; each of these stands there once as an item of kind 0, without any.
+
+    `rows` (key, chunk, kind, id, own): an item's kind is 1 if it is left over, in chunks other than its own 2, and else
+    0. Left-over items are paired with those of kind 0 and 1 under the same key and chunk in the first band they
+    share, unless they have the same component `own`; two left-over ones where the smaller id is asked. Ids
+    descend, so what an item of kind 1 is paired with stands before it."""
+    placed = rows.join(signed, "id").repartition("key", "chunk")
+    placed = placed.sortWithinPartitions("key", "chunk", "kind", F.desc("id"))
     share = percent / 100
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,12 +172,12 @@ def sift(rows: DataFrame, signed: DataFrame, percent: int, margin: float) -> Dat
             key, chunk, kind, item, size, own = (
                 batch.column(c).to_numpy() for c in ("key", "chunk", "kind", "id", "size", "own")
             )
-            both = batch.column("both").to_numpy(zero_copy_only=False)
+            both = kind == 1
             new = np.flatnonzero((key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1])) + 1
             found = [], [], [], [], []
             for low, high in zip((0, *new), (*new, len(key)), strict=True):
                 group = (key[low], chunk[low])
-                middle = low + int(np.searchsorted(kind[low:high], 1))
+                asks, middle = (low + np.searchsorted(kind[low:high], (1, 2))).tolist()
                 here = [x[low:middle] for x in (item, size, own, both, sign, bands)]
                 if at == group:
                     held = [np.concatenate(x) for x in zip(held, here, strict=True)]
@@ -176,7 +187,7 @@ def sift(rows: DataFrame, signed: DataFrame, percent: int, margin: float) -> Dat
                 against, sizes, owns, boths, signs, keys = held
                 # as many at once as keep the compared bytes few
                 step = max(1, (8 << 20) // max(1, signs.size))
-                for start in range(middle, high, step):
+                for start in range(asks, high, step):
                     asked = slice(start, min(start + step, high))
                     near = np.minimum(size[asked, None], sizes) * 100 >= np.maximum(size[asked, None], sizes) * percent
                     near &= (own[asked, None] != owns) & (~boths | (item[asked, None] < against))
@@ -208,7 +219,7 @@ def sift(rows: DataFrame, signed: DataFrame, percent: int, margin: float) -> Dat
             arrays.append(pa.ListArray.from_arrays(pa.array(sizes_of), partners))
             yield pa.RecordBatch.from_arrays(arrays, ["key", "chunk", "kind", "id", "pivots"])
 
-    columns = ["key", "chunk", "kind", "id", "size", "own", "both", "signature", "bands32"]
+    columns = ["key", "chunk", "kind", "id", "size", "own", "signature", "bands32"]
     return placed.select(*columns).mapInArrow(run, "key long, chunk int, kind int, id long, pivots array<long>")
 
 
@@ -230,7 +241,7 @@ def compare(pairs: DataFrame, texts: DataFrame, sets: Sets, percent: int) -> Dat
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, against = None, []
-        for batch in runtime.slices(batches, "text", 2 << 20):
+        for batch in runtime.slices(batches, "text", 1 << 18):
             member, offsets = sets(batch.column("text"))
             found = [], []
             columns = (batch.column(c).to_pylist() for c in ("pivot", "part", "kind", "id"))
@@ -257,7 +268,7 @@ def compare_within(found: DataFrame, texts: DataFrame, sets: Sets, percent: int)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, known = None, {}
-        for batch in runtime.slices(batches, "text", 2 << 20):
+        for batch in runtime.slices(batches, "text", 1 << 18):
             member, offsets = sets(batch.column("text"))
             found = [], []
             columns = (batch.column(c).to_pylist() for c in ("key", "chunk", "kind", "id", "pivots"))

@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pyarrow as pa
 from helpers import ODD_TEXTS, documents, find, join, word_sets
+from pyspark.sql import functions as F
 
 from ledgerwork.llm import components, itq, line_dedup, near, shingles, simhash, superminhash
 
@@ -253,3 +254,31 @@ def test_embeddings_with_a_common_direction(spark):
     want = (rows @ rows.T >= 0.95).sum(axis=1) - 1
     assert all(got[k] <= want[k] for k in got)
     assert sum(got.values()) >= 0.995 * want.sum()
+
+
+def test_links_fetch_texts_once_and_deal_an_item_once_to_a_chunk(spark, monkeypatch):
+    """Lines of one bucket: signatures are made of the texts fetched, and no item has two rows in its own chunk."""
+    base = [f"{k} sentence number {k} has its own long wording {k * 7919}" for k in range(6)]
+    lines = spark.createDataFrame(list(enumerate([*base, base[0] + "!", base[1] + "!"])), "id long, text string").coalesce(1)
+    asked, fetched, dealt = [], [], []
+    sift = near.sift
+
+    def signatures(texts):
+        asked.append(texts.columns)
+        return line_dedup._signatures(texts)
+
+    def fetch(ids):
+        fetched.append(ids.columns)
+        return lines.join(ids, "id", "left_semi")
+
+    def watched(rows, *rest):
+        dealt.extend(rows.select("key", "chunk", "id").collect())
+        return sift(rows, *rest)
+
+    monkeypatch.setattr(near, "sift", watched)
+    monkeypatch.setattr(near, "CHUNK", 3)
+    items = line_dedup._bands(lines).select("id", F.array(F.lit(77).cast("long"), F.col("bands")[0]).alias("bands"))
+    found = near.links(items, signatures, fetch, line_dedup.char_sets, 80, line_dedup.MARGIN)
+    assert sorted(map(tuple, found.collect())) == [(0, 0), (1, 1), (6, 0), (7, 1)]
+    assert len(fetched) == 1 and asked == [["id", "text"]]
+    assert len(dealt) and len(set(dealt)) == len(dealt)
