@@ -15,7 +15,7 @@ pair more than `margin` standard deviations under the bound is left out. In the
 dealt out in chunks of about `CHUNK`, so no task holds a large bucket.
 
 Comparisons are streamed: the texts to compare with a pivot come sorted behind the pivot's text;
-the members of a pivot are dealt out over `SPREAD` groups, so no pivot is one task's work. In the second round,
+the members of a pivot are dealt out in groups of about `MEMBERS`, so no pivot is one task's work. In the second round,
 where an item is paired with many of its bucket, the texts of a chunk are held instead and each comes once.
 """
 
@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 from ledgerwork.llm import runtime, shingles
 from ledgerwork.llm.components import components
 
-SPREAD = 32
+#: Items that a task compares with a pivot, about; each group of them has the pivot's text once.
+MEMBERS = 64
 #: Items of a bucket that a task compares others with at once, about.
 CHUNK = 500
 #: Standard deviations of the estimate by signature that a pair may be under the bound.
@@ -233,8 +234,9 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def compare(pairs: DataFrame, texts: DataFrame, sets: Sets, percent: int) -> DataFrame:
     """The `pairs` (id, pivot) whose texts' sets share enough, as links (a, b)."""
-    group = F.pmod(F.xxhash64("id"), F.lit(SPREAD)).alias("part")
-    asked = pairs.select("pivot", group, "id", F.lit(1).alias("kind"))
+    parts = pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("parts"))
+    group = F.pmod(F.xxhash64("id"), F.col("parts")).alias("part")
+    asked = pairs.join(parts, "pivot").select("pivot", group, "id", F.lit(1).alias("kind"))
     pivots = asked.select("pivot", "part").distinct().select("pivot", "part", F.col("pivot").alias("id"), F.lit(0).alias("kind"))
     rows = asked.union(pivots).join(texts, "id")
     placed = rows.repartition("pivot", "part").sortWithinPartitions("pivot", "part", "kind")
