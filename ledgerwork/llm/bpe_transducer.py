@@ -21,6 +21,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Most states and most remembered pieces of one task; beyond it, all are forgotten and built anew.
-STATES = 200_000
+STATES = 400_000
 PIECES = 300_000
 _NONE = 1 << 60
 _BYTE = [bytes((b,)) for b in range(256)]
@@ -60,7 +61,8 @@ class Transducer:
         # a state: (bytes that may begin a token, last token at each position before, between and after them)
         self._states: list[tuple[bytes, tuple[tuple[int, ...], ...]]] = [(b"", ((),))]
         self._numbers = {self._states[0]: 0}
-        self._moves: dict[tuple[int, int], tuple[int, tuple[int, ...]]] = {}
+        # by state and byte as one number
+        self._moves: dict[int, tuple[int, tuple[int, ...]]] = {}
 
     def merge(self, data: bytes) -> list[int]:
         """The merges applied one by one, lowest rank first: the definition the transducer is compiled from."""
@@ -125,11 +127,14 @@ class Transducer:
         paths = (*pending[rest:], here)
         open_paths = [p for p in paths if p is not None]
         # the last token of a path stays: what may follow it depends on it
-        most = min(map(len, open_paths)) - 1
         sure = 0
         first = open_paths[0]
-        while sure < most and all(p[sure] == first[sure] for p in open_paths):
-            sure += 1
+        if len(open_paths) == 1:
+            sure = max(0, len(first) - 1)
+        elif len(first) > 1:
+            most = min(map(len, open_paths)) - 1
+            while sure < most and all(p[sure] == first[sure] for p in open_paths):
+                sure += 1
         if sure > 0:
             paths = tuple(None if p is None else p[sure:] for p in paths)
         key = (window[rest:], paths)
@@ -146,13 +151,15 @@ class Transducer:
         state = 0
         moves = self._moves
         for byte in piece:
-            move = moves.get((state, byte))
-            if move is None:
-                move = moves[state, byte] = self._move(state, byte)
-            state, emitted = move
+            at = state << 8 | byte
+            if at in moves:
+                state, emitted = moves[at]
+            else:
+                state, emitted = moves[at] = self._move(state, byte)
             if emitted:
                 out += emitted
-        return out + list(self._states[state][1][-1])
+        out += self._states[state][1][-1]
+        return out
 
 
 class Utf8Decoder:
@@ -245,7 +252,7 @@ class _Units(dict):
     def piece(self, piece: str) -> bytes:
         ids = self.pieces.get(piece)
         if ids is None:
-            ids = b"".join([i.to_bytes(4, "little") for i in self.transducer.encode(piece.encode())])
+            ids = array("I", self.transducer.encode(piece.encode())).tobytes()
             if len(piece) <= 200:
                 self.pieces[piece] = ids
         return ids

@@ -170,3 +170,12 @@ def test_free_memory_is_given_back_after_each_batch(monkeypatch):
     batch = pa.record_batch([pa.array(["a", None, "bc"])], ["text"])
     assert sum(x.num_rows for x in runtime.slices(iter([batch, batch[:0], batch]), "text", 1)) == 6
     assert len(given) == 4
+
+
+def test_moves_of_many_states_are_kept_apart():
+    ranks = bpe_transducer.read_ranks(RANKS)
+    coder = bpe_transducer.Transducer(ranks)
+    draw = np.random.default_rng(5)
+    pieces = [bytes(draw.choice(list(b"etaoins \xc3\xa9\xf0\x9f"), draw.integers(1, 12)).tolist()) for _ in range(400)]
+    assert [coder.encode(p) for p in pieces] == [coder.merge(p) for p in pieces]
+    assert len(coder._states) > 256
