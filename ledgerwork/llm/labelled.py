@@ -36,15 +36,19 @@ def texts_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     return texts.join(F.broadcast(chosen), "doc_id")
 
 
-def passages(rows: DataFrame, longest: int) -> list[tuple[str, int]]:
-    """(text, label) of `texts_of` for the driver: of a text of more than `longest` characters a passage of so
-    many, from a place drawn by a hash of text and id. Equal passages count once."""
+def drawn(rows: DataFrame, longest: int) -> DataFrame:
+    """(doc_id, text, label) of `texts_of`, in an order that hangs on ids and texts only: of a text of more than
+    `longest` characters a passage of so many, from a place drawn by a hash of text and id."""
     size = F.length("text")
     start = F.pmod(F.xxhash64("text", "doc_id"), F.greatest(size - longest, F.lit(1))).cast("int") + 1
     passage = F.when(size > longest, F.substring("text", start, F.lit(longest))).otherwise(F.col("text"))
-    drawn = rows.select("doc_id", passage.alias("text"), "label")
-    found = drawn.orderBy(F.xxhash64("doc_id"), "doc_id", "text").collect()
-    return list(dict.fromkeys((r["text"], r["label"]) for r in found))
+    passages = rows.select("doc_id", passage.alias("text"), "label")
+    return passages.orderBy(F.xxhash64("doc_id"), "doc_id", "text")
+
+
+def passages(rows: DataFrame, longest: int) -> list[tuple[str, int]]:
+    """(text, label) of what is `drawn`, for the driver. Equal passages count once."""
+    return list(dict.fromkeys((r["text"], r["label"]) for r in drawn(rows, longest).collect()))
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

@@ -43,6 +43,9 @@ _CLASS[ord("0") : ord("9") + 1] = 2
 for _k, _name in enumerate(_CLASSES[4:], 4):
     _CLASS[list(_name.encode())] = _k
 
+#: Numbers that describe a passage: shares of the byte classes, repeats of words and of pairs, word length, length.
+FEATURES = len(_CLASSES) + 4
+
 Weights = dict[str, np.ndarray]
 
 
@@ -146,18 +149,39 @@ def train(x: np.ndarray, bags: np.ndarray, label: np.ndarray) -> Weights:
     return w
 
 
+def _features_of(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features of the passages of all texts (text, label), the offsets of the texts and their labels, computed where the
+    texts are: the driver gets numbers. Equal texts count once; the order of the rows stays."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in runtime.slices(batches, "text", 2 << 20):
+            x, bags = passages(batch.column("text"))
+            numbers = [x[low:high].tobytes() for low, high in zip(bags, bags[1:], strict=False)]
+            arrays = [batch.column("digest"), batch.column("label"), pa.array(numbers, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["digest", "label", "x"])
+
+    digests = rows.select(F.sha2("text", 256).alias("digest"), "label", "text")
+    found = digests.mapInArrow(run, "digest string, label int, x binary").collect()
+    once = {(r["digest"], r["label"]): r["x"] for r in reversed(found)}
+    several = [(label, np.frombuffer(once.pop((digest, label)))) for digest, label, _ in found if (digest, label) in once]
+    if not several:
+        return np.empty((0, 0)), np.zeros(1, int), np.empty(0)
+    x = np.concatenate([numbers for _, numbers in several]).reshape(-1, FEATURES)
+    bags = np.concatenate(([0], np.cumsum([len(numbers) // FEATURES for _, numbers in several])))
+    return x, bags, np.array([label for label, _ in several], float)
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     chosen, share = labelled.choose(labels, "quality", 3, 1, SAMPLE)
-    rows = labelled.passages(labelled.texts_of(docs, chosen), LONGEST)
-    label = np.array([value for _, value in rows], float)
-    if not rows or label.min() == label.max():
+    x, bags, label = _features_of(labelled.drawn(labelled.texts_of(docs, chosen), LONGEST))
+    if not len(label) or label.min() == label.max():
         return Model(None, None, None, share)
-    x, bags = passages(pa.array([text for text, _ in rows], pa.string()))
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
     w = train((x - mean) / scale, bags, label)
     drawn = label.mean()
     # the sample is even, the documents are not
     w["score_at"] = w["score_at"] + np.log(share / (1 - share)) - np.log(drawn / (1 - drawn))
+    runtime.give_back()
     return Model(mean, scale, w, share)
 
 

@@ -68,7 +68,8 @@ def text_bytes(column: pa.Array) -> pa.Array:
 
 
 def give_back() -> None:
-    """Free memory of the Python worker back to the system: workers live on and would hold it beside the JVM."""
+    """Free memory of the Python process back to the system: workers and the driver live on and would hold it beside the
+    JVM."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

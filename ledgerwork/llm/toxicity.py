@@ -184,6 +184,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     # the order in which tasks end does not change the sums
     order = np.lexsort((*x.T, label))
     mean, scale, weights = labelled.logistic(x[order], label[order], share)
+    # a driver that goes on to other work would hold it
+    runtime.give_back()
     return Model(ordinary, toxic, tuple(mean), tuple(scale), tuple(weights), share)
 
 

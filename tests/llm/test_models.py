@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import ODD_TEXTS, documents
 
@@ -173,3 +175,24 @@ def test_extracted_column_does_not_clash(spark):
     pages = spark.createDataFrame([(1, "u", "<article><p>Some words of an article, and more of them.</p></article>", "own")], "page_id long, url string, html string, text string")
     out = html_extract.extract(pages, html_extract.fit(pages))
     assert out.columns == ["page_id", "url", "html", "text", "_text"] and out.first().text == "own"
+
+
+def test_quality_texts_do_not_reach_the_driver(spark, monkeypatch):
+    """Passages are described where the texts are; a text that repeats counts once."""
+    texts, labels = _corpus(60, _junk)
+    table = spark.createDataFrame([(k, 1 - y) for k, y in labels], "doc_id long, quality int")
+    labelled_texts = spark.createDataFrame([(texts[k][1], y) for k, y in [*labels, *labels[:9]]], "text string, label int").coalesce(1)
+    x, bags, label = quality._features_of(labelled_texts)
+    want, want_bags = quality.passages(pa.array([t for _, t in texts]))
+    assert (x == want).all() and (bags == want_bags).all() and label.tolist() == [y for _, y in labels]
+
+    driver, described = os.getpid(), quality.passages
+
+    def elsewhere(column):
+        assert os.getpid() != driver
+        return described(column)
+
+    docs = documents(spark, texts)
+    whole = quality.fit(docs, table)
+    monkeypatch.setattr(quality, "passages", elsewhere)
+    assert quality.fit(docs, table).mean.tolist() == whole.mean.tolist()
