@@ -20,6 +20,7 @@ documents of their own (null ids first); other columns are passed through; an em
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -47,7 +48,8 @@ _ALIKE = shingles.mix(np.arange(1, 1 << 16, dtype=_U))
 _ALIKE = np.concatenate((shingles.mix(np.array([1 << 40], _U)), _ALIKE))
 _ALIKE[65:91] = _ALIKE[97:123]
 
-LINES = "row long, doc_id long, line int, check long, text string"
+DISTINCT = "half_a long, half_b long, doc_id long, row long, line int, n long, text string"
+PLACED = "row long, check long, line int, half_a long, half_b long"
 SKETCH = "id long, bands array<long>"
 SIGNED = "id long, size int, signature binary, bands32 binary"
 
@@ -64,12 +66,26 @@ def char_shingles(lines: list[str], size: int = CHARS) -> tuple[np.ndarray, np.n
     sums = np.empty(len(chars) + 1, _U)
     sums[0] = 0
     np.cumsum(each * power[: len(chars)], out=sums[1:])
-    starts = np.concatenate(([0], np.cumsum(lengths)))
+    ends = np.cumsum(lengths)
+    starts = ends - lengths
     counts = np.where(lengths > 0, np.maximum(lengths - size + 1, 1), 0)
     offsets = np.concatenate(([0], np.cumsum(counts)))
-    first = np.arange(offsets[-1]) + np.repeat(starts[:-1] - offsets[:-1], counts)
-    last = np.minimum(first + size, np.repeat(starts[1:], counts))
-    return shingles.mix((sums[last] - sums[first]) * inverse[first]), offsets
+    # a shingle from every place on, without those that reach over their line's end
+    within = np.ones(max(0, len(chars) - size + 1), bool)
+    some = lengths > 0
+    over = np.maximum(ends[some, None] - np.arange(1, size), starts[some, None]).reshape(-1)
+    within[over[over < len(within)]] = False
+    each = _spans(sums[size:] - sums[: len(within)], inverse[: len(within)])[within]
+    short = np.flatnonzero(some & (lengths < size))
+    if len(short):
+        whole = _spans(sums[ends[short]] - sums[starts[short]], inverse[starts[short]])
+        each = np.insert(each, offsets[short] - np.arange(len(short)), whole)
+    return each, offsets
+
+
+def _spans(sums: np.ndarray, inverse: np.ndarray) -> np.ndarray:
+    """Hash of spans by the sums over them and where they begin."""
+    return shingles.mix(sums * inverse)
 
 
 def char_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -105,23 +121,62 @@ def signatures(shingle: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return filled.reshape(n, PLACES)
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """`docs` (row, doc_id, text) -> one row per line that has a word, `check` a digest of its document's text."""
+def _digests(lines: list[str]) -> list[pa.Array]:
+    """Two numbers of each line, equal for equal lines."""
+    both = b"".join([hashlib.blake2b(line.encode(), digest_size=16).digest() for line in lines])
+    both = np.frombuffer(both, "<i8").reshape(-1, 2)
+    return [pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())]
+
+
+def _distinct_lines(docs: DataFrame) -> DataFrame:
+    """`docs` (row, doc_id, text) -> the different lines that have a word: how often they are there, their first
+    place and their text. Equal lines meet where they stand near each other only."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in runtime.slices(batches, "text", 1 << 20):
+            known, places, counts = {}, [], []
+            for row, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "text")), strict=True):
+                for k, line in enumerate((text or "").split("\n")):
+                    if line and not line.isspace():
+                        at = known.setdefault(line, len(places))
+                        if at == len(places):
+                            places.append((doc_id, row, k))
+                            counts.append(1)
+                        else:
+                            counts[at] += 1
+                            places[at] = min(places[at], (doc_id, row, k), key=_order)
+            lines = list(known)
+            columns = zip(*places, strict=True) if places else ((), (), ())
+            arrays = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32()), strict=True)]
+            arrays = [*_digests(lines), *arrays, pa.array(counts, pa.int64()), pa.array(lines, pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays, ["half_a", "half_b", "doc_id", "row", "line", "n", "text"])
+
+    return docs.mapInArrow(run, DISTINCT)
+
+
+def _order(place: tuple[int | None, int, int]) -> tuple[int, ...]:
+    """Places by document, null ids first, row and line."""
+    doc_id, row, line = place
+    return (0, 0, row, line) if doc_id is None else (1, doc_id, row, line)
+
+
+def _placed_lines(docs: DataFrame) -> DataFrame:
+    """`docs` (row, text) -> one row per line that has a word, `check` a digest of its document's text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in runtime.slices(batches, "text", 1 << 20):
-            columns = [], [], [], [], []
-            rows = (batch.column(c).to_pylist() for c in ("row", "doc_id", "check", "text"))
-            for row, doc_id, check, text in zip(*rows, strict=True):
+            at, numbers, lines = [], [], []
+            for n, text in enumerate(batch.column("text").to_pylist()):
                 for k, line in enumerate((text or "").split("\n")):
                     if line and not line.isspace():
-                        for column, value in zip(columns, (row, doc_id, k, check, line), strict=True):
-                            column.append(value)
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string())
-            arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, ["row", "doc_id", "line", "check", "text"])
+                        at.append(n)
+                        numbers.append(k)
+                        lines.append(line)
+            at = pa.array(at, pa.int64())
+            arrays = [batch.column("row").take(at), batch.column("check").take(at), pa.array(numbers, pa.int32())]
+            yield pa.RecordBatch.from_arrays([*arrays, *_digests(lines)], ["row", "check", "line", "half_a", "half_b"])
 
-    return docs.select("row", "doc_id", F.xxhash64("text").alias("check"), "text").mapInArrow(run, LINES)
+    return docs.select("row", F.xxhash64("text").alias("check"), "text").mapInArrow(run, PLACED)
 
 
 def _signed(column: pa.Array) -> np.ndarray:
@@ -161,12 +216,10 @@ def _signatures(texts: DataFrame) -> DataFrame:
 
 def dropped_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     """`docs` (row, doc_id, text) -> (row, check, lines): the lines that go, for documents that lose any."""
-    lines = _lines(docs)
-    place = F.struct("doc_id", "row", "line")
-    # equal lines by two hashes; the text goes through the shuffle once a task and line
-    halves = [F.xxhash64("text").alias("half_a"), F.xxhash64(F.reverse("text"), F.length("text")).alias("half_b")]
-    equal = lines.select(*halves, place.alias("place"), "text").groupBy("half_a", "half_b").agg(
-        F.count(F.lit(1)).alias("n"), F.min("place").alias("place"), F.first("text").alias("text")
+    # equal lines by a digest of 128 bits; the text goes through the shuffle once a part of a task and line
+    halves = ["half_a", "half_b"]
+    equal = _distinct_lines(docs).repartition(*halves).groupBy(*halves).agg(
+        F.sum("n").alias("n"), F.min(F.struct("doc_id", "row", "line")).alias("place"), F.first("text").alias("text")
     )
     classes = runtime.keep(equal.withColumn("id", F.monotonically_increasing_id()))
     runtime.release(docs.sparkSession)
@@ -184,8 +237,8 @@ def dropped_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     stays = several.groupBy("component").agg(F.min("place").alias("stays"))
     chosen = several.join(stays, "component").select("half_a", "half_b", "stays")
     return (
-        lines.select("row", "line", "check", *halves)
-        .join(chosen, ["half_a", "half_b"])
+        _placed_lines(docs)
+        .join(chosen, halves)
         .where("row != stays.row or line != stays.line")
         .groupBy("row", "check")
         .agg(F.collect_list("line").alias("lines"))

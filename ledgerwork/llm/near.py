@@ -25,7 +25,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerwork.llm import runtime, shingles
@@ -35,6 +35,10 @@ from ledgerwork.llm.components import components
 MEMBERS = 64
 #: Items of a bucket that a task compares others with at once, about.
 CHUNK = 500
+#: Bits of a key that say its part, and keys that are dealt to the parts at once.
+PART_BITS, DEALT = 12, 1 << 19
+#: Bytes of signatures that are compared at once.
+COMPARED = 8 << 20
 #: Standard deviations of the estimate by signature that a pair may be under the bound.
 MARGIN = 5
 
@@ -57,13 +61,8 @@ def links(
     (id, text) of items. `fetch` turns some ids (id) into texts (id, text); `sets` gives the distinct members of each
     text's set; `fetched` is called when nothing further is asked of `fetch` and of `items`. Two items are linked if
     100 * shared >= percent * union."""
-    # no key has more than one row of an item; the pivot is the item that is least when mixed with the key
-    spread = items.select("id", F.explode("bands").alias("key"))
-    bucket = Window.partitionBy("key")
-    mixed = F.min(F.col("id").bitwiseXOR(F.col("key"))).over(bucket).bitwiseXOR(F.col("key"))
-    sized = spread.select("id", "key", F.count(F.lit(1)).over(bucket).alias("items"), mixed.alias("pivot"))
-    chunks = F.ceil(F.col("items") / CHUNK).cast("int").alias("chunks")
-    members = runtime.keep(sized.where("items > 1").select("id", "key", "pivot", chunks))
+    # no key has more than one row of an item
+    members = runtime.keep(buckets(items))
     runtime.release(items.sparkSession)
     ids = runtime.keep(members.select("id").distinct())
     # the texts go through one shuffle; signatures are made of those fetched
@@ -106,15 +105,20 @@ def links(
     )
     runtime.drop(members)
     # buckets that have left-over items; the pivot has been paired with all
-    open_keys = placed.groupBy("key").agg(F.count(F.lit(1)).alias("items"), F.max("left_over").alias("open"))
-    dealt = placed.where("not is_pivot").join(open_keys.where("open and items > 2").select("key"), "key")
+    others = placed.where("not is_pivot")
+    # items of one component are not paired
+    open_keys = others.groupBy("key").agg(F.max("left_over").alias("open"), (F.min("own") != F.max("own")).alias("apart"))
+    dealt = others.join(open_keys.where("open and apart").select("key"), "key")
     # an item stands once in its own chunk, a left-over one in the others as well
     asked = F.when(F.col("left_over"), F.transform(other_chunks, lambda c: side(c, F.lit(2))))
     here = F.array(side(at_chunk, F.col("left_over").cast("int")))
     sides = F.concat(here, F.coalesce(asked, F.array().cast("array<struct<chunk:int,kind:int>>")))
     rest = dealt.select("key", F.inline(sides), "id", "own")
     runtime.release(items.sparkSession)
-    second = runtime.keep(compare_within(sift(rest, signed, percent, margin), involved, sets, percent))
+    # signatures have been shuffled and are gone before the texts of the few that are left are fetched
+    maybe = runtime.keep(sift(rest, signed, percent, margin))
+    runtime.release(items.sparkSession)
+    second = runtime.keep(compare_within(maybe, involved, sets, percent))
     none = second.isEmpty()
     if not none:
         carried = second.join(at_id.withColumnRenamed("id", "a").withColumnRenamed("own", "root_a"), "a", "left").join(
@@ -124,11 +128,59 @@ def links(
         # what the first round linked keeps its component as its neighbour
         joined = components(joined.select(F.col("id").alias("a"), F.col("component").alias("b")).union(between))
     joined = runtime.keep(joined)
-    for table in (signed, involved, placed, second):
+    for table in (signed, involved, placed, maybe, second):
         runtime.drop(table)
     return joined
 
 
+def buckets(items: DataFrame) -> DataFrame:
+    """`items` (id, bands) -> (id, key, pivot, chunks) for every key that several items have; the pivot is the item that is
+    least when mixed with the key.
+
+    Most keys have one item. So keys do not travel as rows but as bytes, those of a part of the numbers together, and
+    a part's keys are sorted at once."""
+
+    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, many = [], 0
+        for batch in batches:
+            batch = batch.filter(batch.column("id").is_valid())
+            bands = batch.column("bands")
+            counts = bands.value_lengths().fill_null(0).to_numpy()
+            held.append((np.repeat(batch.column("id").to_numpy(), counts), bands.flatten().to_numpy()))
+            many += len(held[-1][0])
+            if many >= DEALT:
+                yield _by_part(held)
+                held, many = [], 0
+        if many:
+            yield _by_part(held)
+
+    def meet(rows: pa.Table) -> pa.Table:
+        item, key = (np.frombuffer(b"".join(rows.column(c).to_pylist()), np.int64) for c in ("ids", "keys"))
+        order = np.argsort(key)
+        item, key = item[order], key[order]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        counts = np.diff(np.r_[first, len(key)])
+        pivot = np.minimum.reduceat(item ^ key, first) ^ key[first]
+        chunks = -(-counts // CHUNK)
+        several = np.repeat(counts > 1, counts)
+        columns = (item, key, np.repeat(pivot, counts), np.repeat(chunks, counts).astype(np.int32))
+        return pa.table([pa.array(x[several]) for x in columns], ["id", "key", "pivot", "chunks"])
+
+    dealt = items.select("id", "bands").mapInArrow(deal, "part int, ids binary, keys binary")
+    return dealt.groupBy("part").applyInArrow(meet, "id long, key long, pivot long, chunks int")
+
+
+def _by_part(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """Items and keys as bytes, a row for each part of the keys."""
+    item, key = (np.concatenate(x) for x in zip(*held, strict=True))
+    part = (shingles.mix(key.view(np.uint64)) >> np.uint64(64 - PART_BITS)).astype(np.uint16)
+    order = np.argsort(part, kind="stable")
+    parts, first = np.unique(part[order], return_index=True)
+    offsets = pa.py_buffer((np.append(first, len(order)) * 8).astype(np.int32))
+    found = [pa.Array.from_buffers(pa.binary(), len(parts), [None, offsets, pa.py_buffer(x[order])]) for x in (item, key)]
+    return pa.RecordBatch.from_arrays([pa.array(parts.astype(np.int32)), *found], ["part", "ids", "keys"])
+
+
 def sift_pivots(pairs: DataFrame, signed: DataFrame, percent: int, margin: float) -> DataFrame:
     """The `pairs` (id, pivot) that may be linked, by size and signature."""
     one = signed.select("id", "size", "signature")
@@ -164,61 +216,64 @@ def sift(rows: DataFrame, signed: DataFrame, percent: int, margin: float) -> Dat
     share = percent / 100
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held, told = None, None, None
+        # of the last group what the rows after it may be paired with, and whether it was told
+        carried = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sign, bands = _matrix(batch.column("signature")), _matrix(batch.column("bands32")).view("<u4")
+            rows = [batch.column(c).to_numpy() for c in ("key", "chunk", "kind", "id", "size", "own")]
+            rows += [_matrix(batch.column("signature")), _matrix(batch.column("bands32")).view("<u4")]
+            rows.append(np.zeros(batch.num_rows, bool))
+            before = 0
+            if carried is not None:
+                before = len(carried[0])
+                rows = [np.concatenate(x) for x in zip(carried, rows, strict=True)]
+            key, chunk, kind, item, size, own, sign, bands, told = rows
             least = share - margin * (share * (1 - share) / sign.shape[1]) ** 0.5
-            key, chunk, kind, item, size, own = (
-                batch.column(c).to_numpy() for c in ("key", "chunk", "kind", "id", "size", "own")
-            )
-            both = kind == 1
-            new = np.flatnonzero((key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1])) + 1
-            found = [], [], [], [], []
-            for low, high in zip((0, *new), (*new, len(key)), strict=True):
-                group = (key[low], chunk[low])
-                asks, middle = (low + np.searchsorted(kind[low:high], (1, 2))).tolist()
-                here = [x[low:middle] for x in (item, size, own, both, sign, bands)]
-                if at == group:
-                    held = [np.concatenate(x) for x in zip(held, here, strict=True)]
-                    told = np.concatenate((told, np.zeros(middle - low, bool)))
-                else:
-                    at, held, told = group, here, np.zeros(middle - low, bool)
-                against, sizes, owns, boths, signs, keys = held
-                # as many at once as keep the compared bytes few
-                step = max(1, (8 << 20) // max(1, signs.size))
-                for start in range(asks, high, step):
-                    asked = slice(start, min(start + step, high))
-                    near = np.minimum(size[asked, None], sizes) * 100 >= np.maximum(size[asked, None], sizes) * percent
-                    near &= (own[asked, None] != owns) & (~boths | (item[asked, None] < against))
-                    a, b = np.nonzero(near)
-                    alike = (sign[asked][a] == signs[b]).mean(axis=1) >= least
-                    a, b = a[alike], b[alike]
-                    if len(a):
-                        band = (bands[low] == np.uint32(int(key[low]) & 0xFFFFFFFF)).argmax()
-                        mine = (bands[asked][a] == keys[b]).argmax(axis=1) == band
-                        a, b = a[mine], b[mine]
-                    if len(a):
-                        # partners of one item stand together
-                        firsts = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
-                        untold = np.unique(b)
-                        untold = untold[~told[untold]]
-                        told[untold] = True
-                        kinds = np.repeat((0, 1), (len(untold), len(firsts)))
-                        found[0].append(np.full(len(kinds), key[low]))
-                        found[1].append(np.full(len(kinds), chunk[low]))
-                        found[2].append(kinds)
-                        found[3].append(np.concatenate((against[untold], item[asked][a[firsts]])))
-                        found[4].extend([against[:0]] * len(untold))
-                        found[4].extend(np.split(against[b], firsts[1:]))
-            out = [np.concatenate(x) if x else [] for x in found[:4]]
-            sizes_of = np.array([0, *map(len, found[4])], np.int64).cumsum().astype(np.int32)
-            partners = pa.array(np.concatenate(found[4]) if found[4] else [], pa.int64())
-            types = (pa.int64(), pa.int32(), pa.int32(), pa.int64())
-            arrays = [pa.array(x, t) for x, t in zip(out, types, strict=True)]
-            arrays.append(pa.ListArray.from_arrays(pa.array(sizes_of), partners))
-            yield pa.RecordBatch.from_arrays(arrays, ["key", "chunk", "kind", "id", "pivots"])
+            new = np.r_[True, (key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1])]
+            first, group = np.flatnonzero(new), np.cumsum(new) - 1
+            partners = np.add.reduceat((kind < 2).astype(np.int64), first)
+            asks = np.flatnonzero((kind > 0) & (np.arange(len(key)) >= before))
+            low = first[group[asks]]
+            counts = np.where(kind[asks] == 1, asks - low, partners[group[asks]])
+            ends = np.cumsum(counts)
+            found = [], [], [], [], [], []
+            start = 0
+            while start < len(asks):
+                done = ends[start - 1] if start else 0
+                stop = max(start + 1, int(np.searchsorted(ends, done + COMPARED // sign.shape[1], "right")))
+                of = np.repeat(np.arange(start, stop), counts[start:stop])
+                a = asks[of]
+                b = low[of] + np.arange(done, ends[stop - 1]) - (ends - counts)[of]
+                near = np.minimum(size[a], size[b]) * 100 >= np.maximum(size[a], size[b]) * percent
+                near &= (own[a] != own[b]) & ((kind[b] == 0) | (item[a] < item[b]))
+                a, b = a[near], b[near]
+                alike = (sign[a] == sign[b]).mean(axis=1) >= least
+                a, b = a[alike], b[alike]
+                at_key = (bands[a] == (key[a] & 0xFFFFFFFF).astype(np.uint32)[:, None]).argmax(axis=1)
+                mine = (bands[a] == bands[b]).argmax(axis=1) == at_key
+                a, b = a[mine], b[mine]
+                start = stop
+                if not len(a):
+                    continue
+                # partners of one item stand together
+                firsts = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
+                untold = np.unique(b[~told[b]])
+                told[untold] = True
+                both = np.concatenate((untold, a[firsts]))
+                kinds = np.repeat((0, 1), (len(untold), len(firsts)))
+                sizes = np.concatenate((np.zeros(len(untold), np.int64), np.diff(np.r_[firsts, len(a)])))
+                told_now = (key[both], chunk[both], kinds, item[both], sizes, item[b])
+                for column, values in zip(found, told_now, strict=True):
+                    column.append(values)
+            if found[0]:
+                out = [np.concatenate(x) for x in found]
+                types = (pa.int64(), pa.int32(), pa.int32(), pa.int64())
+                arrays = [pa.array(x, t) for x, t in zip(out, types, strict=False)]
+                offsets = pa.array(np.r_[0, out[4].cumsum()].astype(np.int32))
+                arrays.append(pa.ListArray.from_arrays(offsets, pa.array(out[5], pa.int64())))
+                yield pa.RecordBatch.from_arrays(arrays, ["key", "chunk", "kind", "id", "pivots"])
+            carried = [x[first[-1] : first[-1] + partners[-1]] for x in rows]
 
     columns = ["key", "chunk", "kind", "id", "size", "own", "signature", "bands32"]
     return placed.select(*columns).mapInArrow(run, "key long, chunk int, kind int, id long, pivots array<long>")

@@ -282,3 +282,64 @@ def test_links_fetch_texts_once_and_deal_an_item_once_to_a_chunk(spark, monkeypa
     assert sorted(map(tuple, found.collect())) == [(0, 0), (1, 1), (6, 0), (7, 1)]
     assert len(fetched) == 1 and asked == [["id", "text"]]
     assert len(dealt) and len(set(dealt)) == len(dealt)
+
+
+def test_buckets_against_a_plain_count(spark, monkeypatch):
+    """Keys travel together, not as a row each; items without id and keys of one item are in no bucket."""
+    monkeypatch.setattr(near, "DEALT", 300)
+    monkeypatch.setattr(near, "CHUNK", 4)
+    draw = random.Random(4)
+    rows = [(k * 7919 - 90_000, [draw.choice((draw.randrange(60), draw.getrandbits(63))) - 2**62 for _ in range(5)]) for k in range(400)]
+    rows = [(k, list(dict.fromkeys(keys))) for k, keys in rows] + [(None, [-(2**62)]), (5, []), (6, None)]
+    want = {}
+    for k, keys in rows:
+        for key in keys or () if k is not None else ():
+            want.setdefault(key, []).append(k)
+    want = {(k, key, min(x ^ key for x in ids) ^ key, -(-len(ids) // 4)) for key, ids in want.items() if len(ids) > 1 for k in ids}
+    got = near.buckets(spark.createDataFrame(rows, "id long, bands array<long>")).select("id", "key", "pivot", "chunks").collect()
+    assert set(map(tuple, got)) == want and len(got) == len(want) > 500
+    keys = shingles.mix(np.arange(1 << 17, dtype=np.uint64)).view(np.int64)
+    assert near._by_part([(keys, keys)]).num_rows <= 1 << near.PART_BITS
+
+
+def test_lines_meet_before_they_travel(spark):
+    """A line that stands often in a part of the input is one row of it, at its first place; ids that are null come first."""
+    rows = [(0, 7, "twice\ntwice\n\n \nonce"), (1, 3, "twice"), (2, None, "x\ntwice"), (3, None, None), (4, None, "twice")]
+    docs = spark.createDataFrame(rows, "row long, doc_id long, text string").coalesce(1)
+    found = line_dedup._distinct_lines(docs).collect()
+    assert sorted((r.text, r.n, r.doc_id, r.row, r.line) for r in found) == [
+        ("once", 1, 7, 0, 4), ("twice", 5, None, 2, 1), ("x", 1, None, 2, 0)
+    ]
+    halves = {(r.half_a, r.half_b): r.text for r in found}
+    placed = line_dedup._placed_lines(docs).collect()
+    assert [(r.row, r.line, halves[r.half_a, r.half_b]) for r in placed if r.row in (0, 2)] == [
+        (0, 0, "twice"), (0, 1, "twice"), (0, 4, "once"), (2, 0, "x"), (2, 1, "twice")
+    ]
+
+
+def test_sift_goes_on_over_batches(spark, monkeypatch):
+    """What one batch holds of a group is compared with what the next ones hold."""
+    draw = random.Random(30)
+    lines = [(k, "a line of words that all of them have in common %d" % draw.randrange(10**4)) for k in range(60)]
+    table = spark.createDataFrame(lines, "id long, text string").coalesce(1)
+    signed = line_dedup._signatures(table)
+    rows = [(77, 0, k % 3, k, k) for k, _ in lines]
+    rows = spark.createDataFrame(rows, "key long, chunk int, kind int, id long, own long")
+
+    def pairs():
+        found = near.sift(rows, signed, 50, 8).collect()
+        told = [r.id for r in found if r.kind == 0]
+        assert len(told) == len(set(told)) and set(told) == {p for r in found for p in r.pivots}
+        return {(r.id, p) for r in found if r.kind == 1 for p in r.pivots}
+
+    whole = pairs()
+    monkeypatch.setattr(near, "COMPARED", 1)
+    limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "7")
+    try:
+        assert pairs() == whole
+    finally:
+        spark.conf.set(limit, before)
+    kind = {k: k % 3 for k, _ in lines}
+    assert len(whole) > 100 and all(kind[p] < 2 and (kind[p] == 0 or a < p or kind[a] == 2) for a, p in whole)
